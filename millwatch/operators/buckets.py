@@ -47,25 +47,23 @@ def bucket_spans(spans: DataFrame, keys: Sequence[str], size: int, lo: str = "lo
 
 
 def carried_in(
-    points: DataFrame, buckets: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
+    points: DataFrame, buckets: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
-    """For each listed bucket, the last ``value`` of ``points`` in any earlier bucket.
+    """For each listed bucket, the last non-null ``values`` of ``points`` in any earlier bucket.
 
     ``points`` is reduced to one row per bucket before the running ``last``.
     """
-    per_bucket = points.groupBy(*keys, BUCKET).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("tail")
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    last_in_bucket = [F.max_by(v, F.when(F.col(v).isNotNull(), by)).alias(v) for v in values]
+    marked = (
+        points.groupBy(*keys, BUCKET)
+        .agg(*last_in_bucket)
+        .unionByName(buckets.select(*keys, BUCKET, F.lit(True).alias("listed")), allowMissingColumns=True)
     )
-    w = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    marked = buckets.select(*keys, BUCKET, F.lit(True).alias("listed")).unionByName(
-        per_bucket, allowMissingColumns=True
-    )
-    merged = marked.groupBy(*keys, BUCKET).agg(
-        F.max("listed").alias("listed"), F.first("tail", ignorenulls=True).alias("tail")
-    )
-    return merged.select(
-        *keys, BUCKET, "listed", F.last("tail", ignorenulls=True).over(w).getField("v").alias("carry")
-    ).filter("listed").drop("listed")
+    # A listed bucket sorts before the points of the same bucket, so it sees earlier ones only.
+    w = W.partitionBy(*keys).orderBy(BUCKET, F.col("listed").desc_nulls_last())
+    earlier = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return marked.withColumns({v: F.last(v, ignorenulls=True).over(earlier) for v in values}).filter("listed").drop("listed")
 
 
 def asof_last(
@@ -73,47 +71,31 @@ def asof_last(
     points: DataFrame,
     keys: Sequence[str],
     tick: str,
-    value: str,
+    values: Sequence[str],
     size: int = BUCKET_TICKS,
-    order: Sequence[str] = (),
     inclusive: bool = True,
 ) -> DataFrame:
-    """Attach to each probe the latest point at or before it (strictly before if not inclusive).
+    """Attach to each probe the latest non-null ``values`` at or before it (strictly before if
+    not inclusive). Points are unique per tick, or a tick's points agree.
 
     Points and probes of a bucket meet in one task; the value from earlier buckets comes as
-    one extra row per bucket. Both sides need ``keys`` and ``tick``; ``order`` ranks points
-    within a tick.
+    one extra row per bucket. Both sides need ``keys`` and ``tick``.
     """
-    probe_cols = [c for c in probes.columns if c != value]
-    carrier = F.struct(*[F.col(c) for c in probe_cols])
-    p = add_bucket(points.select(*keys, tick, value, *order), tick, size)
-    q = add_bucket(probes.select(*keys, tick, carrier.alias("probe")), tick, size)
-    seeds = carried_in(p, q.select(*keys, BUCKET).distinct(), keys, [tick, *order], value)
-    rank = F.struct(*order) if order else F.lit(0)
-    point_kind, probe_kind = (0, 1) if inclusive else (1, 0)
+    p = add_bucket(points.select(*keys, tick, *values), tick, size)
+    q = add_bucket(probes.select(*keys, tick, F.struct(*probes.columns).alias("probe")), tick, size)
+    seeds = carried_in(p, q.select(*keys, BUCKET).distinct(), keys, [tick], values)
+    point_kind, probe_kind = (1, 2) if inclusive else (2, 1)
     rows = (
-        seeds.select(
-            *keys, BUCKET, F.lit(None).cast("long").alias(tick), F.lit(-1).alias("kind"),
-            F.struct(F.col("carry").alias("v")).alias("held"),
-        )
-        .unionByName(
-            p.select(
-                *keys, BUCKET, tick, F.lit(point_kind).alias("kind"), rank.alias("rank"),
-                F.struct(F.col(value).alias("v")).alias("held"),
-            ),
-            allowMissingColumns=True,
-        )
-        .unionByName(
-            q.select(*keys, BUCKET, tick, F.lit(probe_kind).alias("kind"), "probe"), allowMissingColumns=True
-        )
+        seeds.withColumns({tick: F.lit(None).cast("long"), "kind": F.lit(0)})
+        .unionByName(p.withColumn("kind", F.lit(point_kind)))
+        .unionByName(q.withColumn("kind", F.lit(probe_kind)), allowMissingColumns=True)
     )
-    w = W.partitionBy(*keys, BUCKET).orderBy(
-        F.col(tick).asc_nulls_first(), "kind", "rank"
-    ).rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*keys, BUCKET).orderBy(F.col(tick).asc_nulls_first(), "kind")
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        rows.withColumn("held", F.last("held", ignorenulls=True).over(w))
+        rows.withColumns({v: F.last(v, ignorenulls=True).over(upto) for v in values})
         .filter(F.col("probe").isNotNull())
-        .select("probe.*", F.col("held.v").alias(value))
+        .select("probe.*", *values)
     )
 
 

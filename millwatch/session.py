@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A JSON object that repeats a key keeps the last value instead of failing the message.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # HotSpot never compiles a method above 8000 bytecodes. Rows with 48 measures exceed that in one
+    # generated method, so such stages fall back to split, compiled projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
@@ -33,6 +36,7 @@ def local_session(app: str = "millwatch", cores: str = "*", partitions: int = 8)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
     )
