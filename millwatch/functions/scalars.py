@@ -41,9 +41,14 @@ def tick_of(ts: Column, interval_ms: Column | int) -> Column:
     return ((micros - over) / step).cast("long") + (over > 0).cast("long")
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space (line ends included) around it."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
+
+
 def parse_duration(text: Column) -> Column:
     """``'7d' '12h' '30m' '45s'`` as seconds; null for anything else."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     amount = F.regexp_extract(trimmed, r"^(\d+)([smhd])$", 1).try_cast("long")
     unit = F.regexp_extract(trimmed, r"^(\d+)([smhd])$", 2)
     seconds = F.create_map(*[F.lit(x) for kv in DURATION_UNIT_SECONDS.items() for x in kv])
@@ -96,5 +101,5 @@ def normalized(value: Column, mean: Column, std: Column) -> Column:
 
 def state_or_default(state: Column) -> Column:
     """A stored state word; anything missing or unreadable means CALIBRATING."""
-    clean = F.trim(state)
+    clean = stripped(state)
     return F.when(clean.isin("CALIBRATING", "MONITORING"), clean).otherwise(F.lit("CALIBRATING"))

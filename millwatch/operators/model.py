@@ -86,8 +86,10 @@ def fit_forecaster(training: DataFrame, keys: list[str] = VERSION) -> DataFrame:
     ``training`` needs ``values``, ``prev`` and ``fit`` (true where the tick ends a full window).
     Types and normalisation use every training snapshot, the line only usable windows.
     """
+    # The very first snapshot has no predecessor but still counts for types and normalisation.
+    prev = F.coalesce("prev", F.array().cast("array<double>"))
     cells = training.select(
-        *keys, "fit", F.posexplode(F.arrays_zip(F.col("values").alias("y"), F.col("prev").alias("x"))).alias("pos", "c")
+        *keys, "fit", F.posexplode(F.arrays_zip(F.col("values").alias("y"), prev.alias("x"))).alias("pos", "c")
     ).select(
         *keys,
         "pos",
