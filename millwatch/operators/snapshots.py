@@ -36,7 +36,7 @@ def arrival_order(readings: DataFrame, ts: Column, ord_: Column) -> Column:
 
 
 def change_points(readings: DataFrame, config: DataFrame) -> DataFrame:
-    """Last reading of each tag in each tick: ``(equipment_id, pos, tick, value)``.
+    """Last reading of each tag in each tick: ``(equipment_id, pos, tick, value, at)``.
 
     A row with a null value is an explicit null: it overwrites the value before it. Reduced
     before the shuffle, so a tick that receives very many readings still sends one row per task.
@@ -52,7 +52,7 @@ def change_points(readings: DataFrame, config: DataFrame) -> DataFrame:
             arrival_order(readings, F.col("ts"), F.col("ord")).alias("at"),
         )
         .groupBy("equipment_id", "pos", "tick")
-        .agg(F.max_by("value", "at").alias("value"))
+        .agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
     )
 
 
@@ -66,13 +66,13 @@ def bucket_seeds(points: DataFrame, config: DataFrame, size: int, until: Column
     per_bucket = points.groupBy("equipment_id", "pos", BUCKET).agg(
         F.min("tick").alias("lo"), F.max("tick").alias("hi"), F.max_by("value", "tick").alias("value")
     )
-    unseen = config.select("equipment_id", F.posexplode("tags").alias("pos", "tag")).drop("tag")
+    end = F.lit(None).cast("long") if until is None else until.cast("long")
+    unseen = config.select("equipment_id", end.alias("hi"), F.posexplode("tags").alias("pos", "tag")).drop("tag")
     whole = W.partitionBy("equipment_id")
     tag = W.partitionBy("equipment_id", "pos").orderBy(BUCKET)
-    hi = F.max("hi").over(whole)
     return (
         per_bucket.unionByName(unseen, allowMissingColumns=True)
-        .withColumns({"lo": F.min("lo").over(whole), "hi": hi if until is None else F.greatest(hi, until)})
+        .withColumns({"lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole)})
         .filter(F.col("lo").isNotNull())
         .withColumn(BUCKET, F.coalesce(BUCKET, floor_div(F.col("lo"), size) - 1))
         .withColumn("last", F.coalesce(F.lead(BUCKET).over(tag), floor_div(F.col("hi"), size)))
@@ -103,9 +103,21 @@ def asof_snapshot(
     Values are held until the next reading, also over buckets without any: each bucket of each
     tag starts with one row that carries the value in. Only change points and these rows are
     shuffled; the dense grid is made after the shuffle and stays in its task until it is one
-    row per tick. The grid ends at the equipment's last reading, or at tick ``until`` if later.
+    row per tick. The grid ends at the equipment's last reading, or at tick ``until`` (an expression
+    over the config) if that is later.
     """
-    points = add_bucket(change_points(readings, config), "tick", size)
+    return snapshot_grid(change_points(readings, config).drop("at"), config, size, until, keep_empty)
+
+
+def snapshot_grid(
+    points: DataFrame,
+    config: DataFrame,
+    size: int = BUCKET_TICKS,
+    until: Column | None = None,
+    keep_empty: bool = False,
+) -> DataFrame:
+    """Snapshots from change points, see ``asof_snapshot``."""
+    points = add_bucket(points, "tick", size)
     seeds = bucket_seeds(points, config, size, until).withColumn("kind", F.lit(0))
     rows = seeds.unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     w = W.partitionBy("equipment_id", BUCKET, "pos").orderBy("tick", "kind")

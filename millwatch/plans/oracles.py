@@ -5,6 +5,8 @@ These are the reference answers: unbucketed windows, ordinary joins, real JSON p
 
 from __future__ import annotations
 
+import re
+
 from millwatch.functions.scalars import POSITIONS
 
 TAG_LIST = "['click','error','purchase','signup','view']"
@@ -30,10 +32,14 @@ PTS = f"""pts AS (
   QUALIFY row_number() OVER (PARTITION BY equipment_id, tag, tick ORDER BY ts DESC, ord DESC) = 1)"""
 
 
-def _grid(extra: str = "") -> str:
+# A stream closes the ticks before its newest reading, for every equipment.
+CLOSED = f"(SELECT max(epoch_us(ts)) FROM rd) // {HOUR_US}"
+
+
+def _grid(extra: str = "", end: str = "max(tick)") -> str:
     return f"""tags AS (
   SELECT unnest({TAG_LIST}{extra}) AS tag, unnest(range(len({TAG_LIST}{extra}))) AS pos),
-spans AS (SELECT equipment_id, min(tick) AS lo, max(tick) AS hi FROM pts GROUP BY 1),
+spans AS (SELECT equipment_id, min(tick) AS lo, {end} AS hi FROM pts GROUP BY 1),
 grid AS (SELECT equipment_id, tag, pos, unnest(generate_series(lo, hi)) AS tick FROM spans CROSS JOIN tags),
 held AS (
   SELECT g.equipment_id, g.tag, g.pos, g.tick, p.value
@@ -54,6 +60,11 @@ sn AS (
 
 
 SNAP = (EV, RD, PTS, _grid())
+STREAMED = (EV, RD, PTS, _grid(end=CLOSED))
+# Snapshots of the stream, seen by models fitted on the batch snapshots.
+LIVE_GRID = _grid(end=CLOSED)
+for _name in ("tags", "spans", "grid", "held", "kept", "win", "sn"):
+    LIVE_GRID = re.sub(rf"\b{_name}\b(?! *\()", f"s_{_name}", LIVE_GRID)
 
 
 def _fit(rows: str, keys: str = "equipment_id, model_version") -> str:
@@ -424,6 +435,20 @@ FROM (SELECT equipment_id, CAST(equipment_id[3:] AS INTEGER) AS n FROM ev)""",
     + """SELECT equipment_id, model_version, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag,
   count_if(anomaly_score >= 3) OVER (PARTITION BY equipment_id, model_version ORDER BY tick
     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM best""",
+    "stream_snapshots": _with(*STREAMED) + "SELECT equipment_id, tick, tag, value, seq, usable FROM sn",
+    "stream_control": _with(*STREAMED, CONTROL)
+    + "SELECT equipment_id, episode, state, valid_from, valid_to, model_version, fit_lo, fit_hi FROM ctl",
+    "stream_monitor": _with(
+        *MODEL, LIVE_GRID, "live AS (SELECT *, 0::BIGINT AS model_version FROM s_sn WHERE usable)", _score("live")
+    )
+    + """SELECT equipment_id, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag,
+  count_if(anomaly_score >= 3) OVER (PARTITION BY equipment_id ORDER BY tick
+    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM best""",
+    "stream_minute_features": _with(*FEAT, EWMA)
+    + """SELECT series_id, minute, ng, ng_sum_30, ng_mean_30, ng_std_30, ng_max_30, ng_slope_30, ewma_gap
+FROM rolled JOIN ewma USING (series_id, minute)
+JOIN (SELECT series_id, max(minute) AS done FROM cnt
+  WHERE minute < (SELECT max(minute) FROM cnt) GROUP BY 1) USING (series_id) WHERE minute <= done""",
     "result_envelope": _with(EV)
     + f"""SELECT 'alarms/' || equipment_id AS topic,
   strftime(make_timestamp(ord * {HOUR_US}), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS sent_at,

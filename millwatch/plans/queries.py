@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.functions.scalars import floored_std, normalized, parse_command, parse_duration
 from millwatch.operators import control, inspection, model, parse, risk, scoring, snapshots
@@ -13,6 +14,8 @@ from millwatch.operators.train_hook import train_hook
 from millwatch.plans.monitor import Settings, fit_models, monitor, score_rows, windowed_snapshots
 from millwatch.session import configure, scratch_path, stage
 from millwatch.sources import calibration, inspections, messages, models, volume
+from millwatch.streaming import minutes, telemetry
+from millwatch.streaming.state import BatchTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,7 +74,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return inspection.label_inspections(volume.inspections(spark, sf))
 
 
-def _micros(name: str) -> F.Column:
+def _micros(name: str) -> Column:
     return F.unix_micros(F.col(name)).alias(name)
 
 
@@ -220,7 +223,7 @@ def parse_command_words(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["parse_command"] = QUERIES.pop("parse_command_words")
 
 
-def _duration_text() -> F.Column:
+def _duration_text() -> Column:
     """Durations from part sizes: four good units, two bad ones, some with blanks around."""
     unit = F.element_at(F.array(*[F.lit(u) for u in ("s", "m", "h", "d", "w", "")]), (F.col("p_partkey") % 6 + 1).cast("int"))
     text = F.concat(F.col("p_size").cast("string"), unit)
@@ -242,7 +245,7 @@ def config_rows(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey") % 13
     text = F.array().cast("array<string>")
 
-    def unless(case: int, good: F.Column, bad: F.Column | None = None) -> F.Column:
+    def unless(case: int, good: Column, bad: Column | None = None) -> Column:
         return F.when(key == case, bad).otherwise(good) if bad is not None else F.when(key != case, good)
 
     rows = volume.table(spark, sf, "customer").select(
@@ -596,6 +599,83 @@ def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- streams: the whole table lands in three parts, each part is one run of the stream -----------------
+
+PARTS = 3
+
+
+def _run_in_parts(rows: DataFrame, at: str, start: Callable[[DataFrame], StreamingQuery]) -> str:
+    """Land ``rows`` in time order and let a restarted stream catch up after each part."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "landed")
+    rows = stage(rows, "source")
+    lo, hi = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    part = F.least(F.floor((F.unix_micros(at) - lo) * PARTS / (hi - lo + 1)), F.lit(PARTS - 1))
+    for i in range(PARTS):
+        rows.filter(part == i).write.mode("append").parquet(path)
+        start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+    return path
+
+
+def _stream_snapshots(spark: SparkSession, sf: str, on_snapshots=None) -> BatchTables:
+    root = scratch_path(spark, "snapshot-stream")
+    config = volume.equipment_config(spark, sf)
+    _run_in_parts(
+        volume.readings(spark, sf),
+        "ts",
+        lambda rows: telemetry.stream_snapshots(
+            rows, lambda: config, root, volume.WINDOW, on_snapshots=on_snapshots, availableNow=True
+        ),
+    )
+    return BatchTables(spark, root)
+
+
+@query
+def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    tables = _stream_snapshots(spark, sf)
+    rows = tables.all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA)
+    flat = snapshots.long_form(rows, volume.equipment_config(spark, sf))
+    usable = rows.select("equipment_id", "tick", "seq", "usable")
+    return flat.join(usable, ["equipment_id", "tick"])
+
+
+@query
+def stream_monitor(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the live stream under models fitted beforehand on the whole history."""
+    config = volume.equipment_config(spark, sf)
+    fitted = stage(_models(spark, sf)[1], "models")
+
+    def score(rows: DataFrame, tables: BatchTables, batch: int) -> None:
+        telemetry.monitor_step(rows, None, fitted, tables, batch)
+
+    tables = _stream_snapshots(spark, sf, score)
+    rows = rounded(tables.all_batches("alarms", telemetry.ALARM_SCHEMA), 4, "anomaly_score")
+    return rows.select("equipment_id", "tick", "anomaly_score", "top_deviant_tag", "alarm")
+
+
+@query
+def stream_control(spark: SparkSession, sf: str) -> DataFrame:
+    config = volume.equipment_config(spark, sf)
+    history = _stream_snapshots(spark, sf).all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA)
+    root = scratch_path(spark, "control-stream")
+    _run_in_parts(
+        _commands(spark, sf),
+        "ts",
+        lambda rows: telemetry.stream_control(rows, lambda: history, lambda: config, root, availableNow=True),
+    )
+    return BatchTables(spark, root).read("intervals", PARTS - 1, telemetry.INTERVAL_SCHEMA)
+
+
+@query
+def stream_minute_features(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "minute-stream")
+    labelled = _labelled(spark, sf).select("series_id", "inspected_at", "is_ng")
+    _run_in_parts(
+        labelled, "inspected_at", lambda rows: minutes.stream_minute_features(rows, root, availableNow=True)
+    )
+    rows = BatchTables(spark, root).all_batches("features", minutes.FEATURE_SCHEMA)
+    return rounded(rows, 6, "ng_mean_30", "ng_std_30", "ng_slope_30", "ewma_gap")
+
+
 def all_queries() -> dict[str, Query]:
     def wrap(fn: Query) -> Query:
         return lambda spark, sf: fn(configure(spark), sf)

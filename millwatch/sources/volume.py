@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions.scalars import POSITIONS
-from millwatch.session import configure
+from millwatch.session import configure, stage
 
 TAGS = ("click", "error", "purchase", "signup", "view")
 INTERVAL_MS = 3_600_000
@@ -51,7 +51,18 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CONFIG: dict[tuple[str, str], DataFrame] = {}
+
+
 def equipment_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings table of the equipments that occur in ``events``, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONFIG:
+        _CONFIG[key] = stage(_config_of_events(spark, sf_dir), "equipment-config")
+    return _CONFIG[key]
+
+
+def _config_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         event_rows(spark, sf_dir)
         .groupBy("equipment_id")
