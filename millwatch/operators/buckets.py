@@ -21,6 +21,16 @@ BUCKET = "bucket"
 BUCKET_TICKS = 4096
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lay rows out by (key, bucket).
+
+    Spark accepts rows already hashed by the key alone, e.g. after a shuffle join, as good enough
+    for a window over (key, bucket). That would put a whole series into one task again, so the
+    layout is stated wherever a bucketed window starts.
+    """
+    return df.repartition(*keys, BUCKET)
+
+
 def add_bucket(df: DataFrame, index: str, size: int) -> DataFrame:
     return df.withColumn(BUCKET, floor_div(F.col(index), size))
 
@@ -85,10 +95,11 @@ def asof_last(
     q = add_bucket(probes.select(*keys, tick, F.struct(*probes.columns).alias("probe")), tick, size)
     seeds = carried_in(p, q.select(*keys, BUCKET).distinct(), keys, [tick], values)
     point_kind, probe_kind = (1, 2) if inclusive else (2, 1)
-    rows = (
+    rows = spread(
         seeds.withColumns({tick: F.lit(None).cast("long"), "kind": F.lit(0)})
         .unionByName(p.withColumn("kind", F.lit(point_kind)))
-        .unionByName(q.withColumn("kind", F.lit(probe_kind)), allowMissingColumns=True)
+        .unionByName(q.withColumn("kind", F.lit(probe_kind)), allowMissingColumns=True),
+        keys,
     )
     w = W.partitionBy(*keys, BUCKET).orderBy(F.col(tick).asc_nulls_first(), "kind")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -105,8 +116,9 @@ def add_sequence(
     """Number the rows of each series 0, 1, 2, … in tick order (one row per tick).
 
     Row numbers are local to a bucket; a bucket starts at the row count of the buckets before it.
+    Rows that carry a bucket are taken to be laid out by it.
     """
-    bucketed = df if BUCKET in df.columns else add_bucket(df, tick, size)
+    bucketed = df if BUCKET in df.columns else spread(add_bucket(df, tick, size), keys)
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     starts = (
         bucketed.groupBy(*keys, BUCKET)
@@ -132,7 +144,7 @@ def add_run_length(
     """
     inside = W.partitionBy(*keys, BUCKET).orderBy(tick)
     rows = (
-        add_bucket(df, tick, size)
+        spread(add_bucket(df, tick, size), keys)
         .withColumn("place", F.row_number().over(inside))
         .withColumn("miss", F.when(~hit | hit.isNull(), F.col("place")))
         .withColumn("miss", F.last("miss", ignorenulls=True).over(inside))

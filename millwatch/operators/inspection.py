@@ -18,7 +18,7 @@ from millwatch.functions.scalars import (
     inspection_time,
     out_of_tolerance,
 )
-from millwatch.operators.buckets import BUCKET, BUCKET_TICKS, add_halo, bucket_spans, own_rows
+from millwatch.operators.buckets import BUCKET, BUCKET_TICKS, add_halo, bucket_spans, own_rows, spread
 from millwatch.sources.inspections import MEASURE_PREFIXES
 
 # Window lengths, target rule and averaging spans.
@@ -99,7 +99,7 @@ def minute_grid(
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     until = F.coalesce(F.lead("minute").over(w), F.col("stop"))
     return (
-        markers.unionByName(points, allowMissingColumns=True)
+        spread(markers.unionByName(points, allowMissingColumns=True), ["series_id"])
         .withColumns({c: F.first(c, ignorenulls=True).over(upto) for c in ("stop", "lo", "hi")})
         .withColumn("until", until)
         # A marker is followed at once by the real row of its own minute, if there is one.

@@ -21,6 +21,7 @@ from millwatch.operators.buckets import (
     add_halo,
     add_sequence,
     own_rows,
+    spread,
 )
 
 KEYS = ["equipment_id"]
@@ -122,7 +123,7 @@ def snapshot_grid(
     rows = seeds.unionByName(points.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     w = W.partitionBy("equipment_id", BUCKET, "pos").orderBy("tick", "kind")
     held = (
-        rows.repartition("equipment_id", BUCKET)
+        spread(rows, KEYS)
         .withColumn("stop", F.first("stop", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("next", F.coalesce(F.lead("tick").over(w), F.col("stop")))
         # A seed is followed at once by the reading of its own tick, if there is one.
@@ -190,7 +191,8 @@ def _window_columns(numbered: DataFrame, config: DataFrame, max_window: int, siz
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     gap = F.last(F.when(~complete(F.col("values")), F.col("seq")), ignorenulls=True).over(upto)
     before = F.greatest(F.coalesce(gap, F.lit(-1)), F.col(BUCKET) * size - max_window - 1, F.lit(-1))
-    rows = add_halo(numbered.join(config.select("equipment_id", "window_size"), KEYS), "seq", size, back=max_window)
+    sized = numbered.join(config.select("equipment_id", "window_size"), KEYS)
+    rows = spread(add_halo(sized, "seq", size, back=max_window), KEYS)
     rows = rows.withColumns({"usable": F.col("seq") - before > F.col("window_size"), **extra(w)})
     return own_rows(rows, "seq", size).drop(BUCKET)
 
@@ -201,7 +203,7 @@ def recent_n(snapshots: DataFrame, n: int, size: int = BUCKET_TICKS) -> DataFram
     Row counts per bucket tell which buckets can matter, so the ranking sorts fewer than
     ``n + size`` rows per equipment, however long its history.
     """
-    rows = snapshots if BUCKET in snapshots.columns else add_bucket(snapshots, "tick", size)
+    rows = snapshots if BUCKET in snapshots.columns else spread(add_bucket(snapshots, "tick", size), KEYS)
     newer = W.partitionBy("equipment_id").orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
     useful = (
         rows.groupBy("equipment_id", BUCKET)

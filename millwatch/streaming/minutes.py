@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millwatch.operators.buckets import BUCKET_TICKS, own_rows
+from millwatch.operators.buckets import BUCKET_TICKS, own_rows, spread
 from millwatch.operators.inspection import (
     EWMA_BLOCK,
     FEATURES,
@@ -45,6 +45,7 @@ def feature_step(counts: DataFrame, tables: BatchTables, batch: int, size: int =
     spans = rows.groupBy("series_id").agg(F.min("minute").alias("lo"), F.max("minute").alias("hi"))
     grid = minute_grid(rows, spans, size, back=ewma_halo()).join(known, "series_id", "left")
     # The series' true first minute seeds the averages.
+    grid = spread(grid, ["series_id"])
     grid = grid.withColumn("lo", F.coalesce("first", "lo"))
     featured = own_rows(with_features(grid), "minute", size)
     done = F.coalesce("done", F.lit(-(2**52)))

@@ -10,7 +10,7 @@ from millwatch.plans.monitor import Settings, fit_models, score_rows, windowed_s
 from millwatch.sources.models import model_load, model_save
 from tests.conftest import config_row, config_table, readings_table
 
-LAZY = Settings(max_window=3, stage=lambda df, name: df)
+STAGED = Settings(max_window=3)
 
 
 def snapshots(spark, **columns):
@@ -49,7 +49,7 @@ def test_binary_tags_have_no_normalization_and_ghosts_are_named(spark):
 def series(spark, a, b, window=3):
     rows = [("m1", t, i, float(v)) for i, pair in enumerate(zip(a, b)) for t, v in zip("ab", pair)]
     config = config_table(spark, config_row(window=window))
-    return windowed_snapshots(readings_table(spark, rows), config, LAZY), config
+    return windowed_snapshots(readings_table(spark, rows), config, STAGED), config
 
 
 def trained(rows):
