@@ -127,22 +127,38 @@ def _ordered(frame: tuple[int, int]) -> W:
     return W.partitionBy("series_id", BUCKET).orderBy("block", "minute").rowsBetween(*frame)
 
 
+def add_running_sums(grid: DataFrame) -> DataFrame:
+    """Sums over the last 30 minutes of y, y*y and x*y, from running totals.
+
+    Counts are whole numbers, so a difference of two totals is exact, and a row costs the same
+    whatever the window length. ``n`` is the number of minutes in the window.
+    """
+    upto = _ordered((W.unboundedPreceding, W.currentRow))
+    at = W.partitionBy("series_id", BUCKET).orderBy("block", "minute")
+    y = F.col("ng").cast("long")
+    totals = {"_y": F.sum(y).over(upto), "_yy": F.sum(y * y).over(upto), "_xy": F.sum((F.col("minute") - F.col("lo")) * y).over(upto)}
+    last_30 = {c: F.col(c) - F.coalesce(F.lag(c, ROLLING_MINUTES).over(at), F.lit(0)) for c in totals}
+    n = F.least(F.lit(ROLLING_MINUTES), F.col("minute") - F.col("lo") + 1)
+    return grid.withColumns(totals).withColumns({**last_30, "_n": n})
+
+
 def rolling_columns() -> dict[str, Column]:
     """Sum, mean, sample deviation and maximum of the last 30 minutes, this one included."""
-    w = _ordered((1 - ROLLING_MINUTES, 0))
+    n, y, yy = F.col("_n"), F.col("_y"), F.col("_yy")
     return {
-        "ng_sum_30": F.sum("ng").over(w).cast("double"),
-        "ng_mean_30": F.avg("ng").over(w),
-        "ng_std_30": F.coalesce(F.stddev_samp("ng").over(w), F.lit(0.0)),
-        "ng_max_30": F.max("ng").over(w).cast("double"),
+        "ng_sum_30": y.cast("double"),
+        "ng_mean_30": y / n,
+        "ng_std_30": F.when(n > 1, F.sqrt((n * yy - y * y) / (n * (n - 1)))).otherwise(F.lit(0.0)),
+        "ng_max_30": F.max("ng").over(_ordered((1 - ROLLING_MINUTES, 0))).cast("double"),
     }
 
 
 def slope_columns() -> dict[str, Column]:
-    """Least-squares slope per minute over the last 30 minutes."""
-    w = _ordered((1 - ROLLING_MINUTES, 0))
-    slope = F.regr_slope(F.col("ng").cast("double"), (F.col("minute") - F.col("lo")).cast("double"))
-    return {"ng_slope_30": F.coalesce(slope.over(w), F.lit(0.0))}
+    """Least-squares slope per minute over the last 30 minutes (minutes are evenly spaced)."""
+    n = F.col("_n")
+    mean_x = F.col("minute") - F.col("lo") - (n - 1) / F.lit(2.0)
+    spread_x = n * (n * n - 1) / F.lit(12.0)
+    return {"ng_slope_30": F.when(n > 1, (F.col("_xy") - mean_x * F.col("_y")) / spread_x).otherwise(F.lit(0.0))}
 
 
 def target_columns() -> dict[str, Column]:
@@ -192,9 +208,9 @@ def add_ewma(grid: DataFrame, span: int, name: str) -> DataFrame:
 def with_features(grid: DataFrame, spans: tuple[int, int] = EWMA_SPANS) -> DataFrame:
     """All six features and the target on a haloed grid; one exchange and one sort."""
     df = grid.withColumn("block", floor_div(F.col("minute"), EWMA_BLOCK))
-    df = df.withColumns({**rolling_columns(), **slope_columns(), **target_columns()})
+    df = add_running_sums(df).withColumns({**rolling_columns(), **slope_columns(), **target_columns()})
     df = add_ewma(add_ewma(df, spans[0], "_fast"), spans[1], "_slow")
-    return df.withColumn("ewma_gap", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", "block")
+    return df.withColumn("ewma_gap", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow", "block", "_n", "_y", "_yy", "_xy")
 
 
 def ewma_halo() -> int:
