@@ -15,6 +15,7 @@ from millwatch.operators.control import (
     state_asof,
     train_attempts,
 )
+from millwatch.operators.linear import fit_linear, linear_errors
 from millwatch.operators.model import (
     VERSION,
     error_stats,
@@ -34,6 +35,7 @@ class Settings:
     confirm: int = CONFIRM_TICKS
     max_training: int | None = MAX_TRAINING_SAMPLES
     bucket_ticks: int = BUCKET_TICKS
+    forecaster: str = "line"
     # Writes the two results that later passes read again; ``lambda df, name: df`` stays lazy.
     stage: Callable[[DataFrame, str], DataFrame] = stage
 
@@ -43,15 +45,24 @@ def windowed_snapshots(readings: DataFrame, config: DataFrame, s: Settings) -> D
     return with_window_state(number_snapshots(snapshots, s.bucket_ticks), config, s.max_window, s.bucket_ticks)
 
 
-def fit_models(training: DataFrame, config: DataFrame) -> DataFrame:
+def errors_of(rows: DataFrame) -> DataFrame:
+    """Forecast errors under the model a row is joined to, of either kind."""
+    return linear_errors(rows) if "coef" in rows.columns else raw_errors(rows)
+
+
+def fit_models(training: DataFrame, config: DataFrame, forecaster: str = "line") -> DataFrame:
     """One row per (equipment, version): tags, types, normalisation, forecast and error spread.
 
     ``training`` needs ``values``, ``prev`` and ``fit``. It is read twice, because the spread of
-    the error depends on the fitted forecast.
+    the error depends on the fitted forecast. ``forecaster`` is ``line`` (each tag from itself)
+    or ``linear`` (each tag from all tags).
     """
-    by_tag = fit_forecaster(training)
-    forecast = pack_model(by_tag)
-    errors = raw_errors(training.filter("fit").select(*VERSION, "values", "prev").join(forecast, VERSION))
+    if forecaster not in ("line", "linear"):
+        raise ValueError(f"unknown forecaster {forecaster!r}")
+    forecast = pack_model(fit_forecaster(training))
+    if forecaster == "linear":
+        forecast = forecast.join(fit_linear(training, forecast), VERSION)
+    errors = errors_of(training.filter("fit").select(*VERSION, "values", "prev").join(forecast, VERSION))
     spread = pack_model(error_stats(errors), ("err_mean", "err_std"))
     settings = config.select("equipment_id", "tags", F.col("window_size").alias("window_size"))
     return forecast.join(spread, VERSION).join(settings, "equipment_id")
@@ -60,7 +71,7 @@ def fit_models(training: DataFrame, config: DataFrame) -> DataFrame:
 def score_rows(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Anomaly score of usable rows under their model."""
     joined = rows.select(*VERSION, "tick", "values", "prev").join(models, VERSION)
-    return top_deviant(raw_errors(joined)).select(*VERSION, "tick", "anomaly_score", "top_deviant_tag")
+    return top_deviant(errors_of(joined)).select(*VERSION, "tick", "anomaly_score", "top_deviant_tag")
 
 
 def monitor(readings: DataFrame, commands: DataFrame, config: DataFrame, s: Settings) -> DataFrame:
@@ -82,5 +93,5 @@ def monitor(readings: DataFrame, commands: DataFrame, config: DataFrame, s: Sett
         "fit", F.col("usable") & (F.col("seq") - F.col("window_size") >= F.col("fit_lo"))
     )
     live = tagged.filter((F.col("state") == "MONITORING") & F.col("usable"))
-    scores = s.stage(score_rows(live, fit_models(training, config)), "scores")
+    scores = s.stage(score_rows(live, fit_models(training, config, s.forecaster)), "scores")
     return debounce(scores, s.threshold, s.confirm, s.bucket_ticks)

@@ -367,6 +367,15 @@ def forecast_fit(spark: SparkSession, sf: str) -> DataFrame:
     return fitted.select("equipment_id", "tag", "tag_type", "n_windows", "norm_mean", "norm_std", "slope", "offset")
 
 
+@query
+def forecast_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and spread of the normal error when each tag is forecast from all tags."""
+    fitted = fit_models(_training(spark, sf), volume.equipment_config(spark, sf), "linear")
+    cells = F.posexplode(F.arrays_zip("tags", "err_mean", "err_std")).alias("pos", "c")
+    rows = fitted.select("equipment_id", cells).select("equipment_id", "c.tags", "c.err_mean", "c.err_std")
+    return rounded(rows.withColumnRenamed("tags", "tag"), 5, "err_mean", "err_std")
+
+
 def _errors(spark: SparkSession, sf: str) -> DataFrame:
     training, fitted = _models(spark, sf)
     rows = training.filter("fit").select(*model.VERSION, "tick", "values", "prev")

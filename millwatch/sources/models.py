@@ -10,16 +10,19 @@ MODEL_SCHEMA = (
     "norm_mean ARRAY<DOUBLE>, norm_std ARRAY<DOUBLE>, slope ARRAY<DOUBLE>, offset ARRAY<DOUBLE>, "
     "err_mean ARRAY<DOUBLE>, err_std ARRAY<DOUBLE>"
 )
+# Present when the models see every tag.
+LINEAR_SCHEMA = MODEL_SCHEMA + ", coef ARRAY<ARRAY<DOUBLE>>"
 
 
 def model_save(models: DataFrame, path: str) -> None:
-    columns = [part.split()[0] for part in MODEL_SCHEMA.split(", ")]
+    schema = LINEAR_SCHEMA if "coef" in models.columns else MODEL_SCHEMA
+    columns = [part.split()[0] for part in schema.split(", ")]
     models.select(*columns).write.mode("append").parquet(path)
 
 
-def model_load(spark: SparkSession, path: str, newest: bool = True) -> DataFrame:
-    """All stored models, or each equipment's newest version."""
-    models = spark.read.schema(MODEL_SCHEMA).parquet(path)
+def model_load(spark: SparkSession, path: str, newest: bool = True, linear: bool = False) -> DataFrame:
+    """All stored models, or each equipment's newest version. A path holds one kind of model."""
+    models = spark.read.schema(LINEAR_SCHEMA if linear else MODEL_SCHEMA).parquet(path)
     if not newest:
         return models
     last = models.groupBy("equipment_id").agg(F.max("model_version").alias("model_version"))

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millwatch.operators import model
+from millwatch.operators.linear import fit_linear
 from millwatch.operators.risk import risk_score, risk_train
 from millwatch.operators.snapshots import asof_snapshot
 from millwatch.operators.train_hook import train_hook
@@ -75,6 +76,29 @@ def test_forecast_and_errors_by_hand(spark):
     assert np.isclose(fitted["err_std"][1], max(errors.std(), 1e-3, 0.05 * errors.mean()))
 
 
+def test_linear_forecaster_equals_least_squares_and_scores(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=90)
+    b = np.concatenate([[0.0], 2 * a[:-1]]) + 0.01 * rng.normal(size=90)
+    rows, config = series(spark, a, b)
+    training = trained(rows)
+    norm = model.pack_model(model.fit_forecaster(training))
+    # Small buckets: the sums of several tasks must add up.
+    coef = np.array(fit_linear(training, norm, size=16).first()["coef"])
+    z = np.column_stack([(v - v.mean()) / v.std() for v in (a, b)])
+    want = np.linalg.lstsq(np.column_stack([np.ones(87), z[2:-1]]), z[3:], rcond=None)[0].T
+    assert np.allclose(coef, want)
+    linear = fit_models(training, config, "linear")
+    line = fit_models(training, config)
+    # b follows a, which only the forecaster that sees a can use.
+    assert linear.first()["err_mean"][1] < 0.1 * line.first()["err_mean"][1]
+    model_save(linear, str(tmp_path / "linear"))
+    scores = score_rows(training.filter("usable"), model_load(spark, str(tmp_path / "linear"), linear=True))
+    assert scores.count() == 87
+    with pytest.raises(ValueError):
+        fit_models(training, config, "cubic")
+
+
 def test_constant_tag_is_forecast_by_its_mean(spark):
     rows, config = series(spark, [5.0] * 12, np.arange(12.0))
     fitted = fit_models(trained(rows), config).first()
