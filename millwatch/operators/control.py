@@ -96,7 +96,7 @@ def train_attempts(
         .withColumn("fit_lo", F.greatest("kept_from", cap))
         .withColumn(
             "reason",
-            F.when(F.col("n_samples") < F.col("min_samples"), "not enough calibration samples").when(
+            F.when(F.col("n_samples") < F.col("min_samples"), "too few samples").when(
                 F.coalesce(F.col("newest_usable") - F.col("window_size"), F.lit(-1)) < F.col("fit_lo"),
                 "no full window to train on",
             ),

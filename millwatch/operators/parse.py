@@ -58,17 +58,36 @@ def route_and_whitelist(entries: DataFrame, config: DataFrame) -> DataFrame:
     return entries.join(tag_lookup(config), ["topic", "tag"])
 
 
-def parse_records(messages: DataFrame, config: DataFrame) -> DataFrame:
+def record_time(clock: str, max_skew_s: int | None) -> Column:
+    """Time of a record: its stamp, or the time of receipt.
+
+    Ticks run from the first to the last reading, so one absurd stamp would stretch the grid by
+    years. With ``max_skew_s`` a stamp further than that from receipt is not believed.
+    """
+    if clock not in ("event", "arrival"):
+        raise ValueError(f"unknown clock {clock!r}")
+    if clock == "arrival":
+        return F.col("received_at")
+    stamp = F.col("stamp")
+    if max_skew_s is not None:
+        skew = F.abs(F.unix_micros("stamp") - F.unix_micros("received_at"))
+        stamp = F.when(skew <= max_skew_s * 1_000_000, stamp)
+    return F.coalesce(stamp, F.col("received_at"))
+
+
+def parse_records(
+    messages: DataFrame, config: DataFrame, clock: str = "event", max_skew_s: int | None = None
+) -> DataFrame:
     """Messages to ``readings(equipment_id, tag, ts, value, ord)``.
 
-    A stamp that cannot be read falls back to the time of receipt. A null value is kept: it
-    overwrites the tag's former value downstream.
+    A stamp that cannot be read falls back to the time of receipt; ``clock="arrival"`` uses
+    receipt throughout. A null value is kept: it overwrites the tag's former value downstream.
     """
     routed = route_and_whitelist(record_entries(messages), config)
     return routed.select(
         "equipment_id",
         "tag",
-        F.coalesce("stamp", "received_at").alias("ts"),
+        record_time(clock, max_skew_s).alias("ts"),
         reading_value(F.col("raw")).alias("value"),
         F.struct("received_at", "offset", "position").alias("ord"),
     )
@@ -83,13 +102,13 @@ def config_rows(config: DataFrame) -> DataFrame:
     """Check equipment settings; ``reasons`` lists every rule a row breaks."""
 
     def required(name: str) -> Column:
-        return F.when(F.col(name).isNull(), F.lit(f"missing required field: {name}"))
+        return F.when(F.col(name).isNull(), F.lit(f"{name} is missing"))
 
     def filled_list(name: str) -> Column:
-        return F.when(F.col(name).isNotNull() & (F.size(name) == 0), F.lit(f"{name} must be a non-empty list"))
+        return F.when(F.col(name).isNotNull() & (F.size(name) == 0), F.lit(f"{name} is empty"))
 
     def positive(name: str) -> Column:
-        return F.when(F.col(name) <= 0, F.lit(f"{name} must be a positive integer"))
+        return F.when(F.col(name) <= 0, F.lit(f"{name} is not positive"))
 
     fields = (
         "equipment_id", "subscribe_topics", "publish_topic", "command_topic", "tags",
@@ -103,7 +122,7 @@ def config_rows(config: DataFrame) -> DataFrame:
         positive("resample_interval_ms"),
         positive("window_size"),
         positive("min_samples"),
-        F.when(F.col("max_duration").isNotNull() & duration.isNull(), F.lit("invalid duration")),
+        F.when(F.col("max_duration").isNotNull() & duration.isNull(), F.lit("max_duration is no duration")),
     ]
     reasons = F.array_compact(F.array(*rules))
     return (

@@ -339,12 +339,12 @@ SELECT p_partkey, text, CAST(regexp_extract(trim(text), '^(\\d+)([smhd])$', 1) A
 FROM t WHERE regexp_matches(trim(text), '^\\d+[smhd]$')
 UNION ALL SELECT p_partkey, text, NULL FROM t WHERE NOT regexp_matches(trim(text), '^\\d+[smhd]$')""",
     "config_rows": """SELECT c_name AS equipment_id, c_custkey % 13 NOT BETWEEN 1 AND 10 AS valid,
-  CASE c_custkey % 13 WHEN 1 THEN 'missing required field: subscribe_topics'
-    WHEN 2 THEN 'subscribe_topics must be a non-empty list' WHEN 3 THEN 'missing required field: publish_topic'
-    WHEN 4 THEN 'tags must be a non-empty list' WHEN 5 THEN 'resample_interval_ms must be a positive integer'
-    WHEN 6 THEN 'window_size must be a positive integer' WHEN 7 THEN 'missing required field: window_size'
-    WHEN 8 THEN 'invalid duration' WHEN 9 THEN 'missing required field: max_duration'
-    WHEN 10 THEN 'min_samples must be a positive integer' ELSE '' END AS reasons,
+  CASE c_custkey % 13 WHEN 1 THEN 'subscribe_topics is missing'
+    WHEN 2 THEN 'subscribe_topics is empty' WHEN 3 THEN 'publish_topic is missing'
+    WHEN 4 THEN 'tags is empty' WHEN 5 THEN 'resample_interval_ms is not positive'
+    WHEN 6 THEN 'window_size is not positive' WHEN 7 THEN 'window_size is missing'
+    WHEN 8 THEN 'max_duration is no duration' WHEN 9 THEN 'max_duration is missing'
+    WHEN 10 THEN 'min_samples is not positive' ELSE '' END AS reasons,
   CASE WHEN c_custkey % 13 NOT IN (8, 9) THEN 604800::BIGINT END AS max_duration_s FROM customer""",
     "asof_snapshot": _with(*SNAP) + "SELECT equipment_id, tick, tag, value FROM held",
     "drop_empty_snapshot": _with(*SNAP) + "SELECT equipment_id, tick, seq FROM kept",

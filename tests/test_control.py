@@ -13,6 +13,7 @@ from millwatch.operators.control import (
     train_gate,
 )
 from millwatch.operators.snapshots import asof_snapshot, number_snapshots, with_window_state
+from millwatch.session import stage
 from millwatch.sources import calibration
 from tests.conftest import at, config_row, config_table, readings_table, tick
 from tests.test_snapshots import machine_rows, replay
@@ -22,7 +23,7 @@ COMMANDS = "equipment_id string, ts timestamp, command string, ord bigint"
 
 def intervals(spark, readings, commands, config, max_window=2, size=4096, max_training=20_000):
     numbered = number_snapshots(asof_snapshot(readings_table(spark, readings), config, size), size)
-    rows = with_window_state(numbered, config, max_window, size)
+    rows = stage(with_window_state(numbered, config, max_window, size), "rows")
     log = spark.createDataFrame([(m, at(t), c, i) for i, (m, t, c) in enumerate(commands)], COMMANDS)
     attempts = train_attempts(rows, log, config, max_training, size)
     return rows, attempts, control_intervals(attempts, log, config)
@@ -42,7 +43,7 @@ BOTH = [("m1", t, i, float(i + 1)) for i in range(10) for t in "ab"]
 def test_too_few_samples_is_rejected(spark):
     config = config_table(spark, config_row(min_samples=5))
     _, attempts, spans = intervals(spark, BOTH, [("m1", 3, "train")], config)
-    assert attempts.first()["reason"] == "not enough calibration samples" and attempts.first()["n_samples"] == 3
+    assert attempts.first()["reason"] == "too few samples" and attempts.first()["n_samples"] == 3
     assert shifted(spans) == [("CALIBRATING", None, None)]
 
 

@@ -60,6 +60,21 @@ def test_unreadable_stamp_falls_back_to_receipt(spark):
     assert parse(spark, record(a=1.0))[0][2] == at(0).timestamp()
 
 
+def test_clock_of_records(spark):
+    payload = bytearray(f'{{"records":[{{"timestamp":"{T}","a":1}},{{"timestamp":"1999-01-01T00:00:00Z","a":2}}]}}'.encode())
+    messages = spark.createDataFrame([("in/m1", payload, at(60), 7)], MESSAGE_SCHEMA)
+
+    def times(**options):
+        rows = parse_records(messages, config_table(spark), **options).orderBy("value").collect()
+        return [r["ts"].timestamp() - at(0).timestamp() for r in rows]
+
+    assert times(clock="arrival") == [60, 60]
+    assert times(max_skew_s=3600) == [0, 60]
+    assert times()[0] == 0 and times()[1] < -1e8
+    with pytest.raises(ValueError):
+        times(clock="sundial")
+
+
 def test_values_of_other_types(spark):
     assert parse(spark, record(a=None))[0][1] is None
     assert parse(spark, record(a=True))[0][1] == 1.0
@@ -135,15 +150,15 @@ def test_tick_edges(spark):
 def test_config_reasons(spark):
     good = config_row("ok", interval=50, window=100, keep="7d", min_samples=10_000)
     bad = {
-        "missing required field: subscribe_topics": (1, None),
-        "subscribe_topics must be a non-empty list": (1, []),
-        "missing required field: publish_topic": (2, None),
-        "tags must be a non-empty list": (4, []),
-        "resample_interval_ms must be a positive integer": (5, 0),
-        "window_size must be a positive integer": (6, -1),
-        "invalid duration": (7, "soon"),
-        "missing required field: max_duration": (7, None),
-        "min_samples must be a positive integer": (8, 0),
+        "subscribe_topics is missing": (1, None),
+        "subscribe_topics is empty": (1, []),
+        "publish_topic is missing": (2, None),
+        "tags is empty": (4, []),
+        "resample_interval_ms is not positive": (5, 0),
+        "window_size is not positive": (6, -1),
+        "max_duration is no duration": (7, "soon"),
+        "max_duration is missing": (7, None),
+        "min_samples is not positive": (8, 0),
     }
     rows = [good]
     for i, (place, value) in bad.items():
