@@ -88,12 +88,15 @@ def asof_last(
     """Attach to each probe the latest non-null ``values`` at or before it (strictly before if
     not inclusive). Points are unique per tick, or a tick's points agree.
 
-    Points and probes of a bucket meet in one task; the value from earlier buckets comes as
-    one extra row per bucket. Both sides need ``keys`` and ``tick``.
+    Made for few probes over many points: points shrink to one row per bucket before a shuffle,
+    and only points of buckets that hold a probe are shuffled as rows. The value from earlier
+    buckets comes as one extra row per bucket. Both sides need ``keys`` and ``tick``.
     """
     p = add_bucket(points.select(*keys, tick, *values), tick, size)
     q = add_bucket(probes.select(*keys, tick, F.struct(*probes.columns).alias("probe")), tick, size)
-    seeds = carried_in(p, q.select(*keys, BUCKET).distinct(), keys, [tick], values)
+    asked = q.select(*keys, BUCKET).distinct()
+    seeds = carried_in(p, asked, keys, [tick], values)
+    p = p.join(asked, [*keys, BUCKET], "left_semi")
     point_kind, probe_kind = (1, 2) if inclusive else (2, 1)
     rows = spread(
         seeds.withColumns({tick: F.lit(None).cast("long"), "kind": F.lit(0)})
@@ -110,6 +113,38 @@ def asof_last(
     )
 
 
+def within_intervals(
+    rows: DataFrame,
+    intervals: DataFrame,
+    keys: Sequence[str],
+    tick: str,
+    lo: str,
+    hi: str,
+    size: int = BUCKET_TICKS,
+) -> DataFrame:
+    """Join each row to the interval of its key with ``lo <= tick < hi``; a null bound is open.
+
+    Made for many rows and few intervals: intervals are cut at bucket borders, so the join is on
+    (key, bucket). Rows stay in place when the cut intervals fit a broadcast, and spread by bucket
+    when they do not.
+    """
+    spans = rows.groupBy(*keys).agg(F.min(tick).alias("_first"), F.max(tick).alias("_last"))
+    cut = (
+        intervals.join(spans, list(keys))
+        .withColumn("_from", F.greatest(F.coalesce(lo, "_first"), "_first"))
+        .withColumn("_to", F.least(F.coalesce(F.col(hi) - 1, F.col("_last")), "_last"))
+        .filter(F.col("_from") <= F.col("_to"))
+        .drop("_first", "_last", lo, hi)
+        .withColumn(BUCKET, F.explode(F.sequence(floor_div(F.col("_from"), size), floor_div(F.col("_to"), size))))
+    )
+    return (
+        add_bucket(rows, tick, size)
+        .join(cut, [*keys, BUCKET])
+        .filter(F.col(tick).between(F.col("_from"), F.col("_to")))
+        .drop(BUCKET, "_from", "_to")
+    )
+
+
 def add_sequence(
     df: DataFrame, keys: Sequence[str], tick: str, size: int = BUCKET_TICKS, name: str = "seq"
 ) -> DataFrame:

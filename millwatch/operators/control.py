@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millwatch.functions.scalars import parse_duration, state_or_default, tick_of
-from millwatch.operators.buckets import BUCKET_TICKS, asof_last
+from millwatch.operators.buckets import BUCKET_TICKS, asof_last, within_intervals
 from millwatch.operators.snapshots import KEYS
 
 # Fixed value: a model is fitted to at most this many of the newest samples.
@@ -162,12 +162,11 @@ STATE_COLUMNS = ["state", "episode", "model_version", "fit_lo", "fit_hi"]
 def state_asof(rows: DataFrame, intervals: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
     """Attach the state and model that held at each row's tick.
 
-    The state before the first command comes from the intervals too, so an equipment without
-    commands is CALIBRATING.
+    The intervals of a configured equipment cover all time, so every row keeps its place.
     """
-    opening = F.coalesce("valid_from", F.lit(-(2**52)))
-    points = intervals.select("equipment_id", opening.alias("tick"), F.struct(*STATE_COLUMNS).alias("held"))
-    return asof_last(rows, points, KEYS, "tick", ["held"], size).select(*rows.columns, "held.*")
+    spans = intervals.select("equipment_id", "valid_from", "valid_to", *STATE_COLUMNS)
+    joined = within_intervals(rows, spans, KEYS, "tick", "valid_from", "valid_to", size)
+    return joined.select(*rows.columns, *STATE_COLUMNS)
 
 
 def state_table(stored: DataFrame, config: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millwatch.functions.scalars import floored_std
-from millwatch.operators.buckets import add_run_length, asof_last
+from millwatch.operators.buckets import add_run_length, asof_last, within_intervals
 from millwatch.operators.scoring import debounce, result_envelope, top_deviant
 from tests.conftest import config_row, config_table, tick
 
@@ -81,6 +81,27 @@ def test_asof_equals_search(spark, size, inclusive):
         assert r["v"] == (max(near)[1] if near else None)
 
 
+@pytest.mark.parametrize("size", [2, 9, 1000])
+def test_intervals_equal_search(spark, size):
+    rng = random.Random(3)
+    spans = []
+    for k in ("k0", "k1"):
+        cuts = sorted(rng.sample(range(300), 12))
+        spans += [(k, lo, hi, f"{k}:{lo}") for lo, hi in zip([None, *cuts], [*cuts, None])]
+    spans += [("k2", 40, 60, "k2:40")]
+    rows = [(f"k{i % 4}", t, i) for i, t in enumerate(rng.choices(range(300), k=200))]
+    got = within_intervals(
+        spark.createDataFrame(rows, "k string, t bigint, id int"),
+        spark.createDataFrame(spans, "k string, lo bigint, hi bigint, name string"),
+        ["k"], "t", "lo", "hi", size,
+    ).collect()
+    want = [
+        (k, t, i, name) for k, t, i in rows for e, lo, hi, name in spans
+        if e == k and (lo is None or t >= lo) and (hi is None or t < hi)
+    ]
+    assert sorted((r["k"], r["t"], r["id"], r["name"]) for r in got) == sorted(want)
+
+
 def test_equal_scores_go_to_continuous_then_config_order(spark):
     rows = [
         (["b1", "c1", "c2"], ["binary", "continuous", "continuous"], [2.0, 2.0, 2.0]),
