@@ -43,3 +43,21 @@ SELECT doc_id, size, source_size, target,
     CAST(LEAST(floor(rate * place + shift) - floor(rate * (place - 1) + shift), 3) AS BIGINT) * size AS taken
 FROM placed
 """
+
+LLM_SQL["op5_substring_dedup"] = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS words
+    FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 11)) AS pos FROM texts WHERE len(w) >= 13)),
+firsts AS (SELECT words, MIN(doc_id) AS first FROM windows GROUP BY words),
+gone AS (
+    SELECT DISTINCT doc_id, UNNEST(range(pos, pos + 13)) AS pos
+    FROM windows JOIN firsts USING (words) WHERE first < doc_id),
+words AS (SELECT doc_id, UNNEST(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+judged AS (SELECT words.*, gone.pos IS NOT NULL AS lost FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos),
+kept AS (
+    SELECT doc_id, COUNT(*) FILTER (lost) AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY pos) FILTER (NOT lost), '') AS text
+    FROM judged GROUP BY doc_id)
+SELECT texts.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

@@ -10,6 +10,7 @@ from millwatch.llm.common import table
 from millwatch.llm.line_dedup import dedup_lines
 from millwatch.llm.mixing import copy_counts
 from millwatch.llm.simhash import simhash_groups
+from millwatch.llm.substring_dedup import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = copy_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
@@ -30,4 +35,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_line_dedup, op9_mixing, op10_simhash)}
+    return {q.__name__: q for q in (op1_line_dedup, op5_substring_dedup, op9_mixing, op10_simhash)}
