@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millwatch.llm.common import table
+from millwatch.llm.embedding_dedup import near_vectors
 from millwatch.llm.line_dedup import dedup_lines
 from millwatch.llm.mixing import copy_counts
 from millwatch.llm.simhash import simhash_groups
 from millwatch.llm.substring_dedup import dedup_substrings
+from millwatch.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +22,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows.where("vec_id % 100 = 0"), rows, 10)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = copy_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,4 +46,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_line_dedup, op5_substring_dedup, op9_mixing, op10_simhash)}
+    return {q.__name__: q for q in (op1_line_dedup, op3_embedding_dedup, op5_substring_dedup, op6_top_k, op9_mixing, op10_simhash)}
