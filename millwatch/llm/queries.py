@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millwatch.llm.common import table
 from millwatch.llm.embedding_dedup import near_vectors
+from millwatch.llm.language_id import identify
 from millwatch.llm.line_dedup import dedup_lines
 from millwatch.llm.mixing import copy_counts
 from millwatch.llm.simhash import simhash_groups
@@ -26,6 +27,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("text")
 
@@ -46,4 +52,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_line_dedup, op3_embedding_dedup, op5_substring_dedup, op6_top_k, op9_mixing, op10_simhash)}
+    return {q.__name__: q for q in (op1_line_dedup, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op9_mixing, op10_simhash)}
