@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millwatch.llm.common import table
 from millwatch.llm.embedding_dedup import near_vectors
+from millwatch.llm.html_extract import extract
 from millwatch.llm.language_id import identify
 from millwatch.llm.line_dedup import dedup_lines
 from millwatch.llm.mixing import copy_counts
+from millwatch.llm.sentencepiece_codec import encode
 from millwatch.llm.simhash import simhash_groups
 from millwatch.llm.substring_dedup import dedup_substrings
 from millwatch.llm.topk import top_k
@@ -23,6 +25,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, check=True).select("doc_id", "n_ids", "ids", "round_trip")
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +48,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where("vec_id % 100 = 0"), rows, 10)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = copy_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,4 +63,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_line_dedup, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op9_mixing, op10_simhash)}
+    return {q.__name__: q for q in (op1_line_dedup, op2_sentencepiece, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op8_html_extraction, op9_mixing, op10_simhash)}
