@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millwatch.llm.chat_format import format_chats
 from millwatch.llm.common import table
 from millwatch.llm.embedding_dedup import near_vectors
 from millwatch.llm.html_extract import extract
@@ -48,6 +49,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where("vec_id % 100 = 0"), rows, 10)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -63,4 +68,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_line_dedup, op2_sentencepiece, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op8_html_extraction, op9_mixing, op10_simhash)}
+    return {q.__name__: q for q in (op1_line_dedup, op2_sentencepiece, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op7_chat_format, op8_html_extraction, op9_mixing, op10_simhash)}
