@@ -16,10 +16,6 @@ from millwatch.functions.scalars import parse_duration, state_or_default, tick_o
 from millwatch.operators.buckets import BUCKET_TICKS, asof_last, within_intervals
 from millwatch.operators.snapshots import KEYS
 
-# Fixed value: a model is fitted to at most this many of the newest samples.
-MAX_TRAINING_SAMPLES = 20_000
-
-
 def command_ticks(commands: DataFrame, config: DataFrame) -> DataFrame:
     """One row per equipment and tick with commands: does a train come first, is there a recalibrate?
 
@@ -47,14 +43,15 @@ def train_attempts(
     snapshots: DataFrame,
     commands: DataFrame,
     config: DataFrame,
-    max_training: int | None = MAX_TRAINING_SAMPLES,
+    max_training: int | None = None,
     size: int = BUCKET_TICKS,
 ) -> DataFrame:
     """Every train command with the samples it finds: ``n_samples``, fit range and ``reason``.
 
     ``snapshots`` needs ``tick``, ``seq`` and ``usable``. A train sees the snapshots of its
     episode that are younger than ``max_duration``; ``fit_lo`` to ``fit_hi`` (exclusive) numbers
-    those the model may use. ``reason`` is null when the train can succeed.
+    those the model uses: all of them, or the newest ``max_training`` if a caller asks for that.
+    ``reason`` is null when the train can succeed.
     """
     log = W.partitionBy("equipment_id").orderBy("tick")
     before = log.rowsBetween(W.unboundedPreceding, -1)
@@ -135,6 +132,8 @@ def control_intervals(
         .withColumn("episode", (F.row_number().over(log.orderBy(F.col("start").asc_nulls_first())) - 1).cast("long"))
         .withColumn("end", F.lead("start").over(log.orderBy(F.col("start").asc_nulls_first())))
         .join(success, ["equipment_id", "episode"], "left")
+        # A recalibrate in the tick of the train leaves the model no time: it is never fitted or named.
+        .withColumn("trained", F.when(F.col("end").isNull() | (F.col("trained") < F.col("end")), F.col("trained")))
     )
 
     def span(state: str, lo: Column, hi: Column) -> Column:
@@ -145,13 +144,14 @@ def control_intervals(
         span("CALIBRATING", F.col("start"), F.coalesce(trained, end)),
         F.when(trained.isNotNull(), span("MONITORING", trained, end)),
     )
-    version = F.when(trained.isNotNull(), F.col("episode"))
+    version, used = F.when(trained.isNotNull(), F.col("episode")), trained.isNotNull()
     return (
         episodes.select(
-            "equipment_id", "episode", F.explode(F.array_compact(spans)).alias("s"), version.alias("model_version"), "fit_lo", "fit_hi"
+            "equipment_id", "episode", F.explode(F.array_compact(spans)).alias("s"), version.alias("model_version"),
+            F.when(used, F.col("fit_lo")).alias("fit_lo"), F.when(used, F.col("fit_hi")).alias("fit_hi"),
         )
         .select("equipment_id", "episode", "s.*", "model_version", "fit_lo", "fit_hi")
-        # A train and a recalibrate in one tick leave no time between them.
+        # An episode that starts and ends in one tick has no time.
         .filter(F.col("valid_to").isNull() | F.col("valid_from").isNull() | (F.col("valid_from") < F.col("valid_to")))
     )
 

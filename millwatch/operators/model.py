@@ -137,6 +137,29 @@ def pack_model(by_position: DataFrame, columns: tuple[str, ...] = PARAMETERS, ke
     return packed.select(*keys, *[F.col(f"cells.{c}").alias(c) for c in columns])
 
 
+def align_models(models: DataFrame, config: DataFrame) -> DataFrame:
+    """Models with every per-tag array in the order of today's config; incompatible ones are left out.
+
+    A model fits if its window size and its set of tags are those of the config. Which tag an array
+    element belongs to is decided by name, never by position.
+    """
+    wanted = config.select("equipment_id", F.col("tags").alias("want_tags"), F.col("window_size").alias("want_window"))
+    place = F.transform("want_tags", lambda t: F.array_position("tags", t).cast("int") - 1)
+
+    def ordered(name: str) -> Column:
+        return F.transform("place", lambda i: F.get(name, i))
+
+    same_tags = F.array_sort(F.array_distinct("tags")) == F.array_sort(F.array_distinct("want_tags"))
+    fitting = models.join(wanted, KEYS).filter((F.col("window_size") == F.col("want_window")) & same_tags)
+    columns = {c: ordered(c) for c in (*PARAMETERS, "err_mean", "err_std") if c in models.columns}
+    if "coef" in models.columns:
+        # Weights: an offset, then one per tag; rows and columns both follow the tags.
+        weights = lambda r: F.transform("place", lambda j: F.get(r, j + 1))
+        columns["coef"] = F.transform(ordered("coef"), lambda r: F.concat(F.slice(r, 1, 1), weights(r)))
+    fitting = fitting.withColumn("place", place).withColumns({**columns, "tags": F.col("want_tags")})
+    return fitting.select(*models.columns)
+
+
 def error_at(value: Column, prev: Column, i: Column) -> Column:
     """Absolute forecast error of the tag at position ``i`` of a row joined to its model."""
     shift, scale = F.get("norm_mean", i), F.get("norm_std", i)

@@ -163,20 +163,21 @@ def complete(values: Column) -> Column:
     return F.forall(values, lambda v: v.isNotNull())
 
 
-def with_window_state(numbered: DataFrame, config: DataFrame, max_window: int, size: int = BUCKET_TICKS) -> DataFrame:
+def with_window_state(numbered: DataFrame, config: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
     """Add ``prev`` (the snapshot before), ``window_size`` and ``usable``.
 
     A tick is usable when it and the ``window_size`` snapshots before it exist and miss no value.
-    ``max_window`` (at least every configured size) rows of halo make this local to a bucket.
+    A halo of the equipment's own ``window_size`` rows makes this local to a bucket; a window may be longer than one.
     """
-    return _window_columns(numbered, config, max_window, size, lambda w: {"prev": F.lag("values").over(w)})
+    return _window_columns(numbered, config, size, lambda w: {"prev": F.lag("values").over(w)})
 
 
-def sliding_windows(numbered: DataFrame, config: DataFrame, max_window: int, size: int = BUCKET_TICKS) -> DataFrame:
+def sliding_windows(numbered: DataFrame, config: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
     """``history`` (the ``window_size`` snapshots before a tick, oldest first) and ``target``."""
-    frame = (-max_window, -1)
+    longest = config.agg(F.max("window_size")).first()[0] or 1
+    frame = (-longest, -1)
     rows = _window_columns(
-        numbered, config, max_window, size, lambda w: {"before": F.collect_list("values").over(w.rowsBetween(*frame))}
+        numbered, config, size, lambda w: {"before": F.collect_list("values").over(w.rowsBetween(*frame))}
     )
     history = F.slice("before", -F.col("window_size"), F.col("window_size"))
     return rows.filter("usable").select(
@@ -184,15 +185,13 @@ def sliding_windows(numbered: DataFrame, config: DataFrame, max_window: int, siz
     )
 
 
-def _window_columns(numbered: DataFrame, config: DataFrame, max_window: int, size: int, extra) -> DataFrame:
-    if size <= max_window:
-        raise ValueError("a bucket must hold more ticks than the window")
+def _window_columns(numbered: DataFrame, config: DataFrame, size: int, extra) -> DataFrame:
     w = W.partitionBy("equipment_id", BUCKET).orderBy("seq")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     gap = F.last(F.when(~complete(F.col("values")), F.col("seq")), ignorenulls=True).over(upto)
-    before = F.greatest(F.coalesce(gap, F.lit(-1)), F.col(BUCKET) * size - max_window - 1, F.lit(-1))
+    before = F.greatest(F.coalesce(gap, F.lit(-1)), F.col(BUCKET) * size - F.col("window_size") - 1, F.lit(-1))
     sized = numbered.join(config.select("equipment_id", "window_size"), KEYS)
-    rows = spread(add_halo(sized, "seq", size, back=max_window), KEYS)
+    rows = spread(add_halo(sized, "seq", size, back=F.col("window_size")), KEYS)
     rows = rows.withColumns({"usable": F.col("seq") - before > F.col("window_size"), **extra(w)})
     return own_rows(rows, "seq", size).drop(BUCKET)
 

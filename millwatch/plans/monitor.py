@@ -9,15 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwatch.operators.buckets import BUCKET_TICKS
-from millwatch.operators.control import (
-    MAX_TRAINING_SAMPLES,
-    control_intervals,
-    state_asof,
-    train_attempts,
-)
+from millwatch.operators.control import control_intervals, state_asof, train_attempts
 from millwatch.operators.linear import fit_linear, linear_errors
 from millwatch.operators.model import (
     VERSION,
+    align_models,
     error_stats,
     fit_forecaster,
     pack_model,
@@ -30,10 +26,10 @@ from millwatch.session import stage
 
 @dataclass(frozen=True)
 class Settings:
-    max_window: int
     threshold: float = ALARM_THRESHOLD
     confirm: int = CONFIRM_TICKS
-    max_training: int | None = MAX_TRAINING_SAMPLES
+    # A train uses every sample its episode retains; a number here keeps the newest only.
+    max_training: int | None = None
     bucket_ticks: int = BUCKET_TICKS
     forecaster: str = "line"
     # Writes the two results that later passes read again; ``lambda df, name: df`` stays lazy.
@@ -42,7 +38,7 @@ class Settings:
 
 def windowed_snapshots(readings: DataFrame, config: DataFrame, s: Settings) -> DataFrame:
     snapshots = asof_snapshot(readings, config, s.bucket_ticks)
-    return with_window_state(number_snapshots(snapshots, s.bucket_ticks), config, s.max_window, s.bucket_ticks)
+    return with_window_state(number_snapshots(snapshots, s.bucket_ticks), config, s.bucket_ticks)
 
 
 def errors_of(rows: DataFrame) -> DataFrame:
@@ -68,9 +64,13 @@ def fit_models(training: DataFrame, config: DataFrame, forecaster: str = "line")
     return forecast.join(spread, VERSION).join(settings, "equipment_id")
 
 
-def score_rows(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """Anomaly score of usable rows under their model."""
-    joined = rows.select(*VERSION, "tick", "values", "prev").join(models, VERSION)
+def score_rows(rows: DataFrame, models: DataFrame, config: DataFrame) -> DataFrame:
+    """Anomaly score of usable rows under their model.
+
+    A model's arrays are first put in today's config order by tag. Rows of a model with another window
+    size or other tags get no score.
+    """
+    joined = rows.select(*VERSION, "tick", "values", "prev").join(align_models(models, config), VERSION)
     return top_deviant(errors_of(joined)).select(*VERSION, "tick", "anomaly_score", "top_deviant_tag")
 
 
@@ -93,5 +93,5 @@ def monitor(readings: DataFrame, commands: DataFrame, config: DataFrame, s: Sett
         "fit", F.col("usable") & (F.col("seq") - F.col("window_size") >= F.col("fit_lo"))
     )
     live = tagged.filter((F.col("state") == "MONITORING") & F.col("usable"))
-    scores = s.stage(score_rows(live, fit_models(training, config, s.forecaster)), "scores")
+    scores = s.stage(score_rows(live, fit_models(training, config, s.forecaster), config), "scores")
     return debounce(scores, s.threshold, s.confirm, s.bucket_ticks)

@@ -32,8 +32,9 @@ PTS = f"""pts AS (
   QUALIFY row_number() OVER (PARTITION BY equipment_id, tag, tick ORDER BY ts DESC, ord DESC) = 1)"""
 
 
-# A stream closes the ticks before its newest reading, for every equipment.
-CLOSED = f"(SELECT max(epoch_us(ts)) FROM rd) // {HOUR_US}"
+# A stream closes the ticks that an equipment's own newest reading has passed by the delay, a third of the whole span.
+DELAY_US = "(SELECT ((max(epoch_us(ts)) - min(epoch_us(ts))) // 3000 + 1000) * 1000 FROM rd)"
+CLOSED = f"(SELECT max(epoch_us(r.ts)) - {DELAY_US} FROM rd r WHERE r.equipment_id = pts.equipment_id) // {HOUR_US}"
 
 
 def _grid(extra: str = "", end: str = "max(tick)") -> str:
@@ -145,7 +146,7 @@ found AS (
 won AS (
   SELECT f.equipment_id, e.episode, f.tick AS trained, f.fit_lo, f.fit_hi
   FROM found f JOIN eps e ON e.equipment_id = f.equipment_id AND e.start IS NOT DISTINCT FROM f.since
-  WHERE n >= 48 AND newest_usable - 6 >= fit_lo
+  WHERE (e.stop IS NULL OR f.tick < e.stop) AND n >= 48 AND newest_usable - 6 >= fit_lo
   QUALIFY row_number() OVER (PARTITION BY f.equipment_id, e.episode ORDER BY f.tick) = 1),
 spans_all AS (
   SELECT equipment_id, episode, 'CALIBRATING' AS state, start AS valid_from, coalesce(trained, stop) AS valid_to,
@@ -378,14 +379,15 @@ FROM events GROUP BY 1""",
     + "SELECT equipment_id, tag, round(err_mean, 6) AS err_mean, round(err_std, 6) AS err_std FROM err",
     "anomaly_score": _with(*MODEL, LIVE_ALL, _score("live"))
     + "SELECT equipment_id, tick, round(anomaly_score, 5) AS anomaly_score FROM best",
+    "anomaly_score_other_order": _with(*MODEL, LIVE_ALL, _score("live"))
+    + "SELECT equipment_id, tick, round(anomaly_score, 5) AS anomaly_score FROM best WHERE CAST(equipment_id[3:] AS INTEGER) % 4 <> 0",
     "top_deviant": _with(*MODEL, LIVE_ALL, _score("live")) + "SELECT equipment_id, tick, top_deviant_tag FROM best",
     "debounce": """SELECT CAST(user_id AS VARCHAR) AS equipment_id, epoch_us(ts) // 864000000000 AS model_version, event_id AS tick,
   value AS anomaly_score,
   count_if(value >= 20) OVER (PARTITION BY user_id, epoch_us(ts) // 864000000000 ORDER BY event_id
     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM events""",
     "train_hook": _with(*SNAP)
-    + """SELECT equipment_id, count(*) AS n, CAST(pos AS INTEGER) AS pos, round(avg(value), 6) AS level FROM (
-  SELECT *, max(seq) OVER (PARTITION BY equipment_id) - seq AS age FROM sn) WHERE age < 200 GROUP BY equipment_id, pos""",
+    + "SELECT equipment_id, count(*) AS n, CAST(pos AS INTEGER) AS pos, round(avg(value), 6) AS level FROM sn GROUP BY equipment_id, pos",
     "control_intervals": _with(*CTL)
     + "SELECT equipment_id, episode, state, valid_from, valid_to, model_version, fit_lo, fit_hi FROM ctl",
     "state_asof": _with(*CTL)

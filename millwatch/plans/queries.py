@@ -19,7 +19,7 @@ from millwatch.streaming.state import BatchTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SETTINGS = Settings(max_window=volume.WINDOW)
+SETTINGS = Settings()
 
 
 def query(fn: Query) -> Query:
@@ -170,7 +170,7 @@ def class_weight(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def risk_train(spark: SparkSession, sf: str) -> DataFrame:
     rows = stage(inspection.ml_feature_table(_labelled(spark, sf)), "features")
-    fitted = risk.risk_train(rows, rounds=10, step=0.1)
+    fitted = risk.risk_train(rows)
     trees = fitted.model.stages[-1]
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -182,7 +182,7 @@ def risk_train(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
     rows = stage(inspection.ml_feature_table(_labelled(spark, sf)), "features")
-    fitted = risk.risk_train(rows, rounds=10, step=0.1)
+    fitted = risk.risk_train(rows)
     path = scratch_path(spark, "risk-model")
     fitted.model.write().overwrite().save(path)
     scored = risk.risk_score(type(fitted.model).load(path), rows)
@@ -283,7 +283,7 @@ def drop_empty_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     config = volume.equipment_config(spark, sf)
-    rows = snapshots.sliding_windows(snapshots.number_snapshots(_snapshots(spark, sf)), config, volume.WINDOW)
+    rows = snapshots.sliding_windows(snapshots.number_snapshots(_snapshots(spark, sf)), config)
     by_tag = rows.select(
         "equipment_id", "tick", "history", F.posexplode("target").alias("pos", "target")
     ).withColumn("history", F.array_join(F.transform("history", lambda v: F.format_string("%.2f", F.get(v, F.col("pos")))), ","))
@@ -397,7 +397,7 @@ def error_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     training, fitted = _models(spark, sf)
-    return score_rows(training.filter("usable"), fitted)
+    return score_rows(training.filter("usable"), fitted, volume.equipment_config(spark, sf))
 
 
 @query
@@ -405,6 +405,23 @@ def anomaly_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_scores(spark, sf), 5, "anomaly_score").select("equipment_id", "tick", "anomaly_score")
 
 
+@query
+def anomaly_score_other_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores under models whose tags were stored in another order than the config has today.
+
+    One equipment in four has since got another window size: its models are refused.
+    """
+    config = volume.equipment_config(spark, sf)
+    training = _training(spark, sf)
+    before = config.withColumn("tags", F.reverse("tags"))
+    turned = training.withColumns({"values": F.reverse("values"), "prev": F.reverse("prev")})
+    fitted = fit_models(turned, before)
+    changed = F.substring("equipment_id", 3, 10).cast("int") % 4 == 0
+    today = config.withColumn("window_size", F.when(changed, F.col("window_size") + 1).otherwise(F.col("window_size")))
+    scored = score_rows(training.filter("usable"), fitted, today)
+    return rounded(scored, 5, "anomaly_score").select("equipment_id", "tick", "anomaly_score")
+
+
 @query
 def top_deviant(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf).select("equipment_id", "tick", "top_deviant_tag")
@@ -424,22 +441,25 @@ def debounce(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_hook_means(spark: SparkSession, sf: str) -> DataFrame:
-    """A caller's function: mean level of each tag over the newest 200 samples."""
-
-    def fit(group):
-        import numpy as np
-        import pandas as pd
+    """A caller's functions: mean level of each tag over all samples, from sums and counts per bucket."""
+    import numpy as np
+    import pandas as pd
 
+    def partial(group: pd.DataFrame) -> pd.DataFrame:
         stacked = np.array([[np.nan if v is None else v for v in row] for row in group["values"]], dtype=float)
-        return pd.DataFrame(
-            {
-                "equipment_id": [group["equipment_id"].iloc[0]],
-                "n": [len(group)],
-                "level": [np.round(np.nanmean(stacked, axis=0), 6).tolist()],
-            }
-        )
-
-    rows = train_hook(_snapshots(spark, sf), fit, "equipment_id string, n long, level array<double>", newest=200, size=64)
+        sums, counts = np.nansum(stacked, axis=0), (~np.isnan(stacked)).sum(axis=0)
+        return pd.DataFrame({"equipment_id": group["equipment_id"].iloc[:1], "n": [len(group)], "sums": [sums], "counts": [counts]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        sums, counts = (np.sum(np.stack(rows[c].to_numpy()), axis=0) for c in ("sums", "counts"))
+        return pd.DataFrame({"equipment_id": rows["equipment_id"].iloc[:1].to_numpy(), "n": [rows["n"].sum()], "sums": [sums], "counts": [counts]})
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        level = [float(np.round(s / c, 6)) if c else None for s, c in zip(rows["sums"].iloc[0], rows["counts"].iloc[0])]
+        return pd.DataFrame({"equipment_id": rows["equipment_id"], "n": rows["n"], "level": [level]})
+
+    partials = "equipment_id string, n long, sums array<double>, counts array<long>"
+    rows = train_hook(_snapshots(spark, sf), partial, partials, merge, finish, "equipment_id string, n long, level array<double>", size=64)
     return rows.select("equipment_id", "n", F.posexplode("level").alias("pos", "level"))
 
 
@@ -570,7 +590,7 @@ def model_load(spark: SparkSession, sf: str) -> DataFrame:
     training = _training(spark, sf)
     path = scratch_path(spark, "models")
     models.model_save(fit_models(training, volume.equipment_config(spark, sf)), path)
-    scored = score_rows(training.filter("usable"), models.model_load(spark, path))
+    scored = score_rows(training.filter("usable"), models.model_load(spark, path), volume.equipment_config(spark, sf))
     return rounded(scored, 5, "anomaly_score").select("equipment_id", "tick", "anomaly_score")
 
 
@@ -613,15 +633,20 @@ def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
 PARTS = 3
 
 
-def _run_in_parts(rows: DataFrame, at: str, start: Callable[[DataFrame], StreamingQuery]) -> str:
-    """Land ``rows`` in time order and let a restarted stream catch up after each part."""
+def _run_in_parts(rows: DataFrame, at: str, start: Callable[[DataFrame, int], StreamingQuery], shuffled: bool = False) -> str:
+    """Land ``rows`` in parts and let a restarted stream catch up after each. ``start`` also gets a part's span in ms.
+
+    Parts follow in time; ``shuffled`` makes every third row arrive one part later than its time.
+    """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "landed")
     rows = stage(rows, "source")
     lo, hi = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
     part = F.least(F.floor((F.unix_micros(at) - lo) * PARTS / (hi - lo + 1)), F.lit(PARTS - 1))
+    if shuffled:
+        part = F.least(part + F.when(F.col("ord") % 3 == 0, 1).otherwise(0), F.lit(PARTS - 1))
     for i in range(PARTS):
         rows.filter(part == i).write.mode("append").parquet(path)
-        start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
+        start(spark.readStream.schema(rows.schema).parquet(path), (hi - lo) // (1000 * PARTS) + 1000).awaitTermination()
     return path
 
 
@@ -631,9 +656,10 @@ def _stream_snapshots(spark: SparkSession, sf: str, on_snapshots=None) -> BatchT
     _run_in_parts(
         volume.readings(spark, sf),
         "ts",
-        lambda rows: telemetry.stream_snapshots(
-            rows, lambda: config, root, volume.WINDOW, on_snapshots=on_snapshots, availableNow=True
+        lambda rows, delay: telemetry.stream_snapshots(
+            rows, lambda: config, root, delay, on_snapshots=on_snapshots, availableNow=True
         ),
+        shuffled=True,
     )
     return BatchTables(spark, root)
 
@@ -654,7 +680,7 @@ def stream_monitor(spark: SparkSession, sf: str) -> DataFrame:
     fitted = stage(_models(spark, sf)[1], "models")
 
     def score(rows: DataFrame, tables: BatchTables, batch: int) -> None:
-        telemetry.monitor_step(rows, None, fitted, tables, batch)
+        telemetry.monitor_step(rows, None, fitted, config, tables, batch)
 
     tables = _stream_snapshots(spark, sf, score)
     rows = rounded(tables.all_batches("alarms", telemetry.ALARM_SCHEMA), 4, "anomaly_score")
@@ -669,7 +695,7 @@ def stream_control(spark: SparkSession, sf: str) -> DataFrame:
     _run_in_parts(
         _commands(spark, sf),
         "ts",
-        lambda rows: telemetry.stream_control(rows, lambda: history, lambda: config, root, availableNow=True),
+        lambda rows, _: telemetry.stream_control(rows, lambda: history, lambda: config, root, availableNow=True),
     )
     return BatchTables(spark, root).read("intervals", PARTS - 1, telemetry.INTERVAL_SCHEMA)
 
@@ -679,7 +705,7 @@ def stream_minute_features(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "minute-stream")
     labelled = _labelled(spark, sf).select("series_id", "inspected_at", "is_ng")
     _run_in_parts(
-        labelled, "inspected_at", lambda rows: minutes.stream_minute_features(rows, root, availableNow=True)
+        labelled, "inspected_at", lambda rows, _: minutes.stream_minute_features(rows, root, availableNow=True)
     )
     rows = BatchTables(spark, root).all_batches("features", minutes.FEATURE_SCHEMA)
     return rounded(rows, 6, "ng_mean_30", "ng_std_30", "ng_slope_30", "ewma_gap")

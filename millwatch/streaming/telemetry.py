@@ -16,12 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.operators.buckets import BUCKET_TICKS
-from millwatch.operators.control import (
-    MAX_TRAINING_SAMPLES,
-    control_intervals,
-    state_asof,
-    train_attempts,
-)
+from millwatch.operators.control import control_intervals, state_asof, train_attempts
 from millwatch.operators.model import VERSION
 from millwatch.operators.scoring import ALARM_THRESHOLD, CONFIRM_TICKS, debounce
 from millwatch.operators.snapshots import (
@@ -31,11 +26,13 @@ from millwatch.operators.snapshots import (
     with_window_state,
 )
 from millwatch.plans.monitor import fit_models, score_rows
+from millwatch.sources.models import MODEL_SCHEMA
 from millwatch.streaming.state import BatchTables
 
 POINT_SCHEMA = "equipment_id STRING, pos INT, tick BIGINT, value DOUBLE, at {at}"
 HELD_SCHEMA = "equipment_id STRING, pos INT, tick BIGINT, value DOUBLE"
-CLOCK_SCHEMA = "newest_us BIGINT"
+CLOCK_SCHEMA = "equipment_id STRING, newest_us BIGINT"
+LATE_SCHEMA = "equipment_id STRING, pos INT, tick BIGINT"
 SNAPSHOT_SCHEMA = (
     "equipment_id STRING, tick BIGINT, seq BIGINT, values ARRAY<DOUBLE>, window_size INT, prev ARRAY<DOUBLE>, usable BOOLEAN"
 )
@@ -48,30 +45,49 @@ INTERVAL_SCHEMA = (
 )
 
 
+def newest_stamps(readings: DataFrame, before: DataFrame, config: DataFrame) -> DataFrame:
+    """Each equipment's clock after a batch: ``(equipment_id, was_us, now_us)``.
+
+    An equipment's clock is its own newest reading, so a wrong stamp holds back or rushes no other equipment.
+    Where readings carry ``received_at``, a stamp counts up to its time of receipt only, and the newest receipt of any
+    equipment moves all clocks: an equipment that fell silent still ticks while the line delivers.
+    """
+    stamp = F.unix_micros(F.col("ts").cast("timestamp"))
+    if "received_at" in readings.columns:
+        received = F.unix_micros(F.col("received_at").cast("timestamp"))
+        own = readings.groupBy("equipment_id").agg(F.max(F.least(stamp, received)).alias("seen_us"), F.max(received).alias("line_us"))
+        line = own.agg(F.max("line_us").alias("line_us"))
+        seen = config.select("equipment_id").join(own.drop("line_us"), "equipment_id", "left")
+        # One row that every equipment gets: the newest receipt as a scalar.
+        newest = line.first()["line_us"]
+        seen = seen.withColumn("seen_us", F.greatest("seen_us", F.lit(newest).cast("long")))
+    else:
+        seen = readings.groupBy("equipment_id").agg(F.max(stamp).alias("seen_us"))
+    clocks = config.select("equipment_id").join(before, "equipment_id", "left").join(seen, "equipment_id", "left")
+    return clocks.select("equipment_id", F.col("newest_us").alias("was_us"), F.greatest("newest_us", "seen_us").alias("now_us"))
+
+
 def snapshot_step(
     readings: DataFrame,
     config: DataFrame,
     tables: BatchTables,
     batch: int,
-    max_window: int,
-    delay_ms: int = 0,
+    delay_ms: int,
     size: int = BUCKET_TICKS,
 ) -> DataFrame:
-    """Close the ticks that the watermark has passed and emit their snapshots.
+    """Close the ticks that each equipment's clock has passed by ``delay_ms`` and emit their snapshots.
 
-    The watermark is the newest reading time seen, less ``delay_ms``. A reading of a closed tick
-    is late and dropped. Ticks close for every equipment, with or without new readings.
+    A change point of a closed tick comes too late: it goes to the ``late`` table and changes nothing else.
     """
-    clock = tables.read("clock", batch - 1, CLOCK_SCHEMA).first()
-    before_us = clock["newest_us"] if clock else None
-    seen_us = readings.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("us")).first()["us"]
-    newest_us = max((t for t in (before_us, seen_us) if t is not None), default=None)
+    clocks = newest_stamps(readings, tables.read("clock", batch - 1, CLOCK_SCHEMA), config)
+    clocks = tables.write(clocks, "clocks", batch)
+    step = F.col("resample_interval_ms").cast("long") * 1000
 
-    def closed(us: int | None) -> Column:
-        step = F.col("resample_interval_ms").cast("long") * 1000
-        return F.lit(None).cast("long") if us is None else F.floor((F.lit(us) - F.lit(delay_ms * 1000)) / step)
+    def closed(us: str) -> Column:
+        return F.floor((F.col(us) - F.lit(delay_ms * 1000)) / step)
 
-    edges = config.select("equipment_id", closed(before_us).alias("was"), closed(newest_us).alias("now"))
+    timed = config.join(clocks, "equipment_id")
+    edges = timed.select("equipment_id", closed("was_us").alias("was"), closed("now_us").alias("now"))
     new = change_points(readings, config)
     pending = tables.read("pending", batch - 1, POINT_SCHEMA.format(at=dict(new.dtypes)["at"]))
     held = tables.read("held", batch - 1, HELD_SCHEMA)
@@ -79,15 +95,17 @@ def snapshot_step(
         new.unionByName(pending)
         .groupBy("equipment_id", "pos", "tick")
         .agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
-        .join(edges, "equipment_id")
-        .filter(F.col("was").isNull() | (F.col("tick") > F.col("was"))),
+        .join(edges, "equipment_id"),
         "points",
         batch,
     )
+    late = F.coalesce(F.col("tick") <= F.col("was"), F.lit(False))
+    tables.write(points.filter(late).select("equipment_id", "pos", "tick"), "late", batch)
+    points = points.filter(~late)
     ready = F.col("now").isNotNull() & (F.col("tick") <= F.col("now"))
     tables.write(points.filter(~ready).drop("was", "now"), "pending", batch)
     closing = held.unionByName(points.filter(ready).select(*held.columns))
-    fresh = snapshot_grid(closing, config, size, closed(newest_us)).join(edges, "equipment_id")
+    fresh = snapshot_grid(closing, timed, size, closed("now_us")).join(edges, "equipment_id")
     fresh = fresh.filter(F.col("was").isNull() | (F.col("tick") > F.col("was"))).drop("was", "now", "bucket")
 
     tail = tables.read("tail", batch - 1, SNAPSHOT_SCHEMA)
@@ -99,19 +117,21 @@ def snapshot_step(
         .drop("base")
     )
     around = numbered.unionByName(tail.select(*numbered.columns))
-    windows = with_window_state(around, config, max_window, size).join(
+    windows = with_window_state(around, config, size).join(
         base, "equipment_id", "left"
     ).filter(F.col("seq") >= F.coalesce("base", F.lit(0))).drop("base")
     emitted = tables.write(windows.select(*[c.split()[0] for c in SNAPSHOT_SCHEMA.split(", ")]), "snapshots", batch)
 
-    newest = W.partitionBy("equipment_id").orderBy(F.desc("seq"))
-    last = emitted.unionByName(tail).withColumn("r", F.row_number().over(newest))
-    tables.write(last.filter(F.col("r") <= max_window).drop("r"), "tail", batch)
+    # Numbers have no gaps, so the last window needs no ranking.
+    last = emitted.unionByName(tail)
+    top = last.groupBy("equipment_id").agg(F.max("seq").alias("top"))
+    last = last.join(top, "equipment_id").filter(F.col("seq") > F.col("top") - F.col("window_size")).drop("top")
+    tables.write(last, "tail", batch)
     last_value = closing.groupBy("equipment_id", "pos").agg(F.max_by("value", "tick").alias("value"))
     tables.write(
         last_value.join(edges, "equipment_id").select("equipment_id", "pos", F.col("now").alias("tick"), "value"), "held", batch
     )
-    tables.write(tables.spark.createDataFrame([(newest_us,)], CLOCK_SCHEMA), "clock", batch)
+    tables.write(clocks.select("equipment_id", F.col("now_us").alias("newest_us")).filter("newest_us IS NOT NULL"), "clock", batch)
     return emitted
 
 
@@ -119,19 +139,20 @@ def stream_snapshots(
     readings: DataFrame,
     config: Callable[[], DataFrame],
     root: str,
-    max_window: int,
-    delay_ms: int = 0,
+    delay_ms: int,
     on_snapshots: Callable[[DataFrame, BatchTables, int], object] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start the snapshot stream. ``config`` is read again in each batch.
 
+    ``delay_ms`` is how long a tick waits for readings that are out of order.
+
     ``on_snapshots`` gets the new snapshots of a batch, e.g. to score them.
     """
 
     def step(rows: DataFrame, batch: int) -> None:
         tables = BatchTables(rows.sparkSession, root)
-        emitted = snapshot_step(rows, config(), tables, batch, max_window, delay_ms)
+        emitted = snapshot_step(rows, config(), tables, batch, delay_ms)
         if on_snapshots is not None:
             on_snapshots(emitted, tables, batch)
 
@@ -142,6 +163,7 @@ def monitor_step(
     snapshots: DataFrame,
     intervals: DataFrame | None,
     models: DataFrame,
+    config: DataFrame,
     tables: BatchTables,
     batch: int,
     threshold: float = ALARM_THRESHOLD,
@@ -160,7 +182,7 @@ def monitor_step(
         live = state_asof(live, intervals, size).filter(
             (F.col("state") == "MONITORING") & F.col("model_version").isNotNull()
         )
-    scores = tables.write(score_rows(live, models), "scores", batch)
+    scores = tables.write(score_rows(live, models, config), "scores", batch)
     recent = tables.read("recent", batch - 1, SCORE_SCHEMA).withColumn("old", F.lit(True))
     rows = scores.withColumn("old", F.lit(False)).unionByName(recent)
     alarms = debounce(rows, threshold, confirm, size).filter(~F.col("old")).drop("old")
@@ -177,26 +199,40 @@ def control_step(
     config: DataFrame,
     tables: BatchTables,
     batch: int,
-    max_training: int | None = MAX_TRAINING_SAMPLES,
+    max_training: int | None = None,
     size: int = BUCKET_TICKS,
 ) -> DataFrame:
     """Apply new commands: derive the state intervals and fit a model for each new success.
 
-    The command log is small and kept whole; a train reads the stored snapshots, as a training
-    run has to. Models already fitted are not fitted again.
+    The command log is small and kept whole. A batch without commands ends at once and reads no snapshot; otherwise
+    only the snapshots of equipments with new commands are read, and only versions that are not in the models
+    table yet are fitted.
     """
     names = [c.split()[0] for c in COMMAND_SCHEMA.split(", ")]
-    tables.write(commands.select(*names), "commands", batch)
+    new = tables.write(commands.select(*names), "commands", batch)
+    known = tables.read("intervals", batch - 1, INTERVAL_SCHEMA)
+    touched = new.select("equipment_id").distinct()
+    if new.isEmpty() and batch > 0:
+        tables.write(tables.spark.createDataFrame([], MODEL_SCHEMA), "models", batch)
+        return tables.write(known, "intervals", batch)
     log = tables.all_batches("commands", COMMAND_SCHEMA, batch)
-    attempts = train_attempts(snapshots, log, config, max_training, size)
-    intervals = tables.write(control_intervals(attempts, log, config), "intervals", batch)
-    known = tables.read("intervals", batch - 1, INTERVAL_SCHEMA).filter("state = 'MONITORING'").select(*VERSION)
-    won = intervals.filter("model_version IS NOT NULL AND state = 'CALIBRATING'").join(known, VERSION, "left_anti")
+    if batch > 0:
+        snapshots, log = (df.join(touched, "equipment_id", "left_semi") for df in (snapshots, log))
+        changed = config.join(touched, "equipment_id", "left_semi")
+    else:
+        changed = config
+    spans = control_intervals(train_attempts(snapshots, log, changed, max_training, size), log, changed)
+    intervals = tables.write(spans.unionByName(known.join(changed, "equipment_id", "left_anti")), "intervals", batch)
+    won = intervals.join(changed, "equipment_id", "left_semi").filter("model_version IS NOT NULL AND state = 'CALIBRATING'")
+    if batch > 0:
+        fitted = tables.all_batches("models", MODEL_SCHEMA, batch - 1)
+        won = won.join(fitted.select(*VERSION), VERSION, "left_anti")
     tagged = state_asof(snapshots, intervals, size).join(won.select(*VERSION), VERSION, "left_semi")
     training = tagged.filter(
         (F.col("state") == "CALIBRATING") & (F.col("seq") >= F.col("fit_lo")) & (F.col("seq") < F.col("fit_hi"))
     ).withColumn("fit", F.col("usable") & (F.col("seq") - F.col("window_size") >= F.col("fit_lo")))
-    tables.write(fit_models(training, config), "models", batch)
+    models = fit_models(training, config)
+    tables.write(models.select(*[c.split()[0] for c in MODEL_SCHEMA.split(", ")]), "models", batch)
     return intervals
 
 
@@ -205,7 +241,7 @@ def stream_control(
     snapshots: Callable[[], DataFrame],
     config: Callable[[], DataFrame],
     root: str,
-    max_training: int | None = MAX_TRAINING_SAMPLES,
+    max_training: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start the control stream over parsed commands ``(equipment_id, ts, command, ord)``."""

@@ -21,9 +21,9 @@ from tests.test_snapshots import machine_rows, replay
 COMMANDS = "equipment_id string, ts timestamp, command string, ord bigint"
 
 
-def intervals(spark, readings, commands, config, max_window=2, size=4096, max_training=20_000):
+def intervals(spark, readings, commands, config, size=4096, max_training=None):
     numbered = number_snapshots(asof_snapshot(readings_table(spark, readings), config, size), size)
-    rows = stage(with_window_state(numbered, config, max_window, size), "rows")
+    rows = stage(with_window_state(numbered, config, size), "rows")
     log = spark.createDataFrame([(m, at(t), c, i) for i, (m, t, c) in enumerate(commands)], COMMANDS)
     attempts = train_attempts(rows, log, config, max_training, size)
     return rows, attempts, control_intervals(attempts, log, config)
@@ -109,7 +109,7 @@ def test_intervals_equal_the_state_machine(spark, size):
         readings += machine_rows(rng, m, tags, 200, share_null=0.1)
         commands += [(m, t, rng.choice(["train", "train", "train", "recalibrate"])) for t in sorted(rng.sample(range(205), 18))]
     config = config_table(spark, *[config_row(m, tags, window=3, keep="40s", min_samples=12) for m in names])
-    rows, _, spans = intervals(spark, readings, commands, config, 3, size, max_training=20)
+    rows, _, spans = intervals(spark, readings, commands, config, size, max_training=20)
     got = {
         (r["equipment_id"], r["tick"] - tick(0)): r["state"] for r in state_asof(rows.select("equipment_id", "tick"), spans, size).collect()
     }

@@ -11,7 +11,7 @@ from millwatch.plans.monitor import Settings, fit_models, score_rows, windowed_s
 from millwatch.sources.models import model_load, model_save
 from tests.conftest import config_row, config_table, readings_table
 
-STAGED = Settings(max_window=3)
+STAGED = Settings()
 
 
 def snapshots(spark, **columns):
@@ -93,7 +93,7 @@ def test_linear_forecaster_equals_least_squares_and_scores(spark, tmp_path):
     # b follows a, which only the forecaster that sees a can use.
     assert linear.first()["err_mean"][1] < 0.1 * line.first()["err_mean"][1]
     model_save(linear, str(tmp_path / "linear"))
-    scores = score_rows(training.filter("usable"), model_load(spark, str(tmp_path / "linear"), linear=True))
+    scores = score_rows(training.filter("usable"), model_load(spark, str(tmp_path / "linear"), linear=True), config)
     assert scores.count() == 87
     with pytest.raises(ValueError):
         fit_models(training, config, "cubic")
@@ -112,28 +112,63 @@ def test_outlier_gets_the_top_score_and_stored_models_score_alike(spark, tmp_pat
     bad = b.copy()
     bad[50] = 30
     live = trained(series(spark, np.arange(60) % 2, bad)[0]).filter("usable")
-    scores = score_rows(live, models).orderBy(F.desc("anomaly_score")).collect()
+    scores = score_rows(live, models, config).orderBy(F.desc("anomaly_score")).collect()
     assert scores[0]["top_deviant_tag"] == "b" and scores[0]["anomaly_score"] > 50
     model_save(models, str(tmp_path / "models"))
     model_save(models.withColumn("model_version", F.lit(-1).cast("long")), str(tmp_path / "models"))
     assert model_load(spark, str(tmp_path / "models"), newest=False).count() == 2
     scores = sorted(scores, key=lambda r: r["tick"])
-    again = score_rows(live, model_load(spark, str(tmp_path / "models"))).orderBy("tick").collect()
+    again = score_rows(live, model_load(spark, str(tmp_path / "models")), config).orderBy("tick").collect()
     assert [(r["tick"], r["top_deviant_tag"]) for r in again] == [(r["tick"], r["top_deviant_tag"]) for r in scores]
     # The unsaved model is fitted anew, so sums may differ in the last digit.
     assert np.allclose([r["anomaly_score"] for r in again], [r["anomaly_score"] for r in scores], rtol=1e-9)
 
 
-def test_train_hook_gets_newest_samples_in_order(spark):
-    rows = [("m1", "a", i, float(i)) for i in range(50)] + [("m2", "a", 0, 1.0)]
+def test_train_hook_sees_the_whole_history_in_order_and_never_a_whole_machine(spark):
+    rows = [("m1", "a", i, float(i % 7)) for i in range(50)] + [("m2", "a", 0, 1.0)]
     snaps = asof_snapshot(readings_table(spark, rows), config_table(spark, config_row("m1"), config_row("m2")), 8)
 
-    def fit(group):
+    def partial(group):
         levels = [v[0] for v in group["values"]]
-        return group.head(1)[["equipment_id"]].assign(n=len(group), rising=levels == sorted(levels), first=levels[0])
+        steps = sum(abs(a - b) for a, b in zip(levels, levels[1:]))
+        return group.head(1)[["equipment_id"]].assign(n=len(group), most=len(group), first=levels[0], last=levels[-1], steps=float(steps))
 
-    got = train_hook(snaps, fit, "equipment_id string, n long, rising boolean, first double", newest=20, size=8)
-    assert sorted(map(tuple, got.collect())) == [("m1", 20, True, 30.0), ("m2", 1, True, 1.0)]
+    def merge(parts):
+        gaps = sum(abs(a - b) for a, b in zip(parts["last"][:-1], parts["first"][1:]))
+        one = parts.head(1)[["equipment_id", "first"]]
+        return one.assign(n=parts["n"].sum(), most=parts["most"].max(), last=parts["last"].iloc[-1], steps=parts["steps"].sum() + gaps)
+
+    partials = "equipment_id string, n long, most long, first double, last double, steps double"
+    got = train_hook(snaps, partial, partials, merge, lambda r: r[["equipment_id", "n", "most", "steps"]], "equipment_id string, n long, most long, steps double", size=8)
+    levels = [i % 7 for i in range(50)]
+    walked = float(sum(abs(a - b) for a, b in zip(levels, levels[1:])))
+    found = {r["equipment_id"]: r for r in got.collect()}
+    assert (found["m1"]["n"], found["m1"]["steps"], found["m1"]["most"] <= 8) == (50, walked, True)
+    assert (found["m2"]["n"], found["m2"]["steps"]) == (1, 0.0)
+
+
+def test_scores_follow_tags_not_positions(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [("m1", t, i, float(rng.normal(5 * k, 1 + k))) for i in range(60) for k, t in enumerate("ab")]
+    scores = {}
+    for order in (("a", "b"), ("b", "a")):
+        config = config_table(spark, config_row("m1", order, window=3))
+        training = trained(windowed_snapshots(readings_table(spark, rows), config, STAGED))
+        if not scores:
+            path = str(tmp_path / "models")
+            for _ in range(2):  # a repeated save is one model
+                model_save(fit_models(training, config), path)
+            linear = str(tmp_path / "linear")
+            model_save(fit_models(training, config, "linear"), linear)
+        for kind in (path, linear):
+            models = model_load(spark, kind, newest=False, linear=kind == linear)
+            assert models.count() == 1
+            got = score_rows(training.filter("usable"), models, config).orderBy("tick").collect()
+            scores.setdefault(kind, []).append([(r["tick"], round(r["anomaly_score"], 9), r["top_deviant_tag"]) for r in got])
+    for first, second in scores.values():
+        assert first == second and len(first) == 57
+    for other in (config_row("m1", ("a", "b"), window=4), config_row("m1", ("a", "b", "c"), window=3)):
+        assert score_rows(training.filter("usable"), models, config_table(spark, other)).isEmpty()
 
 
 def test_risk_model_learns_and_survives_storage(spark, tmp_path):

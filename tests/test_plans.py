@@ -11,7 +11,7 @@ from millwatch.operators.snapshots import asof_snapshot, change_points, number_s
 from millwatch.plans.monitor import Settings, monitor, windowed_snapshots
 from tests.conftest import config_row, config_table, readings_table
 
-LAZY = Settings(max_window=2, stage=lambda df, name: df)
+LAZY = Settings(stage=lambda df, name: df)
 
 
 def plan(df):
@@ -61,7 +61,7 @@ def test_one_hot_equipment_is_spread_over_tasks(spark, stored, broadcast_limit):
     # Small test partitions would be merged at run time. Without broadcasts, joins shuffle by equipment.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_limit)
-    rows = with_window_state(number_snapshots(asof_snapshot(readings, config, 16), 16), config, 2, 16)
+    rows = with_window_state(number_snapshots(asof_snapshot(readings, config, 16), 16), config, 16)
     hot = rows.filter("equipment_id = 'hot'").withColumn("task", F.spark_partition_id())
     seen = len(hot.groupBy("task").agg(F.count_if("usable")).collect())
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -66,7 +66,8 @@ def replay(rows, tags, ticks):
     return out
 
 
-@pytest.mark.parametrize("size", [7, 16, 64, 4096])
+# A bucket of three is shorter than the longest window.
+@pytest.mark.parametrize("size", [3, 16, 4096])
 def test_buckets_do_not_change_snapshots_or_windows(spark, size):
     rng = random.Random(5)
     plants = {"m1": (("a", "b"), 2), "m2": (("c",), 5), "m3": (("a", "b", "c"), 3)}
@@ -76,11 +77,11 @@ def test_buckets_do_not_change_snapshots_or_windows(spark, size):
     config = config_table(spark, *[config_row(m, tags, window=w) for m, (tags, w) in plants.items()])
     numbered = number_snapshots(asof_snapshot(readings_table(spark, rows), config, size), size)
     states = {
-        (r["equipment_id"], r["tick"] - tick(0)): r for r in with_window_state(numbered, config, 5, size).collect()
+        (r["equipment_id"], r["tick"] - tick(0)): r for r in with_window_state(numbered, config, size).collect()
     }
     windows = {
         (r["equipment_id"], r["tick"] - tick(0)): (r["history"], r["target"])
-        for r in sliding_windows(numbered, config, 5, size).collect()
+        for r in sliding_windows(numbered, config, size).collect()
     }
     seen = 0
     for m, (tags, w) in plants.items():
@@ -103,7 +104,7 @@ def test_window_examples(spark):
     config = config_table(spark, config_row(window=2))
     rows = [("m1", t, i, float(v)) for i in range(5) for t, v in (("a", i), ("b", 10 * i))]
     numbered = number_snapshots(asof_snapshot(readings_table(spark, rows), config))
-    got = sliding_windows(numbered, config, 2).orderBy("tick").collect()
+    got = sliding_windows(numbered, config).orderBy("tick").collect()
     assert [(r["history"], r["target"]) for r in got] == [
         ([[0, 0], [1, 10]], [2, 20]),
         ([[1, 10], [2, 20]], [3, 30]),
@@ -116,7 +117,7 @@ def test_no_window_over_a_missing_value_or_too_few_rows(spark, values):
     config = config_table(spark, config_row(tags=("a", "b"), window=2))
     rows = [("m1", "b", i, 1.0) for i in range(len(values))] + [("m1", "a", i, v and float(v)) for i, v in enumerate(values)]
     numbered = number_snapshots(asof_snapshot(readings_table(spark, rows), config))
-    assert sliding_windows(numbered, config, 2).count() == 0
+    assert sliding_windows(numbered, config).count() == 0
 
 
 @pytest.mark.parametrize("size", [3, 10, 4096])

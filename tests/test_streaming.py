@@ -24,9 +24,12 @@ def plant(spark):
 
 
 def batch_windows(spark, rows, config, until):
-    kept = [r for r in rows if r[2] <= until]
-    numbered = number_snapshots(asof_snapshot(readings_table(spark, kept), config, until=F.lit(tick(until))))
-    return with_window_state(numbered, config, 3)
+    """Batch snapshots up to ``until``, a second or one per equipment."""
+    ends = until if isinstance(until, dict) else {r[0]: until for r in rows}
+    kept = [r for r in rows if r[2] <= ends[r[0]]]
+    end = F.element_at(F.create_map(*[F.lit(x) for e, u in ends.items() for x in (e, tick(u))]), F.col("equipment_id"))
+    numbered = number_snapshots(asof_snapshot(readings_table(spark, kept), config, until=end))
+    return with_window_state(numbered, config)
 
 
 def triples(df):
@@ -45,19 +48,48 @@ def test_batches_of_any_cut_and_order_give_the_batch_result(spark, plant, tmp_pa
     for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         part = all_rows.filter(F.col("ord").isin([r[4] for r in arrival[lo:hi]]))
         for _ in range(2 if n == 2 else 1):
-            telemetry.snapshot_step(part, config, tables, n, 3, delay_ms=6000)
+            telemetry.snapshot_step(part, config, tables, n, delay_ms=6000)
     got = tables.all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA)
-    closed = max(r[2] for r in rows) - 6
+    closed = {m: max(r[2] for r in rows if r[0] == m) - 6 for m in ("m1", "m2")}
     assert triples(got) == triples(batch_windows(spark, rows, config, closed))
 
 
 def test_late_reading_of_a_closed_tick_is_dropped(spark, tmp_path):
     config = config_table(spark, config_row(tags=("a",), window=1))
     tables = BatchTables(spark, str(tmp_path))
-    telemetry.snapshot_step(readings_table(spark, [("m1", "a", 1, 1.0), ("m1", "a", 5, 2.0)]), config, tables, 0, 1)
-    telemetry.snapshot_step(readings_table(spark, [("m1", "a", 3, 9.0), ("m1", "a", 7, 3.0)]), config, tables, 1, 1)
+    telemetry.snapshot_step(readings_table(spark, [("m1", "a", 1, 1.0), ("m1", "a", 5, 2.0)]), config, tables, 0, 0)
+    telemetry.snapshot_step(readings_table(spark, [("m1", "a", 3, 9.0), ("m1", "a", 7, 3.0)]), config, tables, 1, 0)
     got = {r["tick"] - tick(0): r["values"][0] for r in tables.all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 2.0, 6: 2.0, 7: 3.0}
+    late = tables.all_batches("late", telemetry.LATE_SCHEMA).collect()
+    assert [(r["equipment_id"], r["tick"] - tick(0)) for r in late] == [("m1", 3)]
+
+
+def test_a_wrong_stamp_holds_back_no_other_equipment(spark, tmp_path):
+    config = config_table(spark, *[config_row(m, ("a",), window=1) for m in ("m1", "m2")])
+    parts = [
+        [("m1", "a", 1, 1.0), ("m1", "a", 3, 2.0), ("m2", "a", 5_000, 9.0)],
+        [("m1", "a", 4, 3.0), ("m1", "a", 6, 4.0)],
+    ]
+    tables = BatchTables(spark, str(tmp_path))
+    for n, part in enumerate(parts):
+        telemetry.snapshot_step(readings_table(spark, part), config, tables, n, 0)
+    rows = tables.all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA).collect()
+    assert {r["tick"] - tick(0): r["values"][0] for r in rows if r["equipment_id"] == "m1"} == {1: 1, 2: 1, 3: 2, 4: 3, 5: 3, 6: 4}
+    assert len([r for r in rows if r["equipment_id"] == "m2"]) == 1
+    assert tables.all_batches("late", telemetry.LATE_SCHEMA).isEmpty()
+
+
+def test_receipt_bounds_stamps_and_keeps_silent_equipment_ticking(spark, tmp_path):
+    config = config_table(spark, *[config_row(m, ("a",), window=1) for m in ("m1", "m2")])
+    parts = [[("m1", "a", 1, 1.0), ("m2", "a", 5_000, 9.0), ("m2", "a", 1, 5.0)], [("m1", "a", 4, 3.0)]]
+    tables = BatchTables(spark, str(tmp_path))
+    for n, (part, at) in enumerate(zip(parts, (2, 4))):
+        rows = readings_table(spark, part)
+        first = readings_table(spark, [("m1", "a", at, 0.0)]).select(F.col("ts").alias("received_at"))
+        telemetry.snapshot_step(rows.join(first, F.lit(True)), config, tables, n, 0)
+    got = tables.all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA).collect()
+    assert {r["tick"] - tick(0): r["values"][0] for r in got if r["equipment_id"] == "m2"} == {1: 5, 2: 5, 3: 5, 4: 5}
 
 
 def test_monitor_steps_equal_batch_scoring(spark, plant, tmp_path):
@@ -65,11 +97,11 @@ def test_monitor_steps_equal_batch_scoring(spark, plant, tmp_path):
     whole = batch_windows(spark, rows, config, 59).cache()
     models = fit_models(whole.withColumns({"model_version": F.lit(0).cast("long"), "fit": F.col("usable")}), config).cache()
     live = whole.withColumn("model_version", F.lit(0).cast("long")).filter("usable")
-    want = debounce(score_rows(live, models), threshold=0.2, confirm=3)
+    want = debounce(score_rows(live, models, config), threshold=0.2, confirm=3)
     tables = BatchTables(spark, str(tmp_path))
     for n, (lo, hi) in enumerate([(0, 13), (13, 14), (14, 40), (40, 99)]):
         part = whole.filter((F.col("tick") >= tick(lo)) & (F.col("tick") < tick(hi)))
-        telemetry.monitor_step(part, None, models, tables, n, threshold=0.2, confirm=3)
+        telemetry.monitor_step(part, None, models, config, tables, n, threshold=0.2, confirm=3)
     got = tables.all_batches("alarms", telemetry.ALARM_SCHEMA)
 
     def view(df):
