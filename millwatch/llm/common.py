@@ -7,7 +7,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millwatch.session import configure, stage
 
@@ -51,9 +51,13 @@ def numpy_batches(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.nda
     return [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
 
 
-def spread_minimum(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """The minimum of ``value`` per key; partial sums shrink a hot key to a row per task."""
-    return df.groupBy(key).agg(F.min(value).alias(name))
+def hash_sample(df: DataFrame, about: int, *keys: str) -> DataFrame:
+    """About ``about`` rows of ``df``, the same ones every time, chosen by the hash of ``keys``; all of a small table.
+
+    Sampling before ordering keeps what the tasks send to the driver in proportion to the sample, not to their number.
+    """
+    share = min(1.0, about / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millwatch.llm.common import components, numpy_batches, partitions_for, shuffle_partitions, stage
+from millwatch.llm.common import components, hash_sample, numpy_batches, partitions_for, shuffle_partitions, stage
 from millwatch.llm.vectors import finite, matrix
 
 COSINE = 0.95
@@ -196,7 +196,7 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     classes = stage(classes.drop("again"), "vector-classes")
     models = {}
     for length in [r[0] for r in classes.select("dims").distinct().collect()]:
-        some = classes.where(F.col("dims") == length).orderBy(F.xxhash64("h1", "h2"), "h1").limit(SAMPLE).select("v").toArrow()
+        some = hash_sample(classes.where(F.col("dims") == length), 2 * SAMPLE, "h1", "h2").orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()
         models[length] = learn_rotation(unit(matrix(some.column("v").combine_chunks(), float)))
     row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
     coded = stage(classes.mapInArrow(_coded(models), f"{row}, code long"), "vector-codes")

@@ -12,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millwatch.llm.common import binaries
+from millwatch.llm.common import binaries, hash_sample
 
 #: Rows whose blocks the labeller is trained on, at most, and the composed pages added per row.
 SAMPLE, COMPOSED = 300, 3
+#: Longer pages are not drawn for the sample.
+LONGEST_SAMPLED = 40_000
 #: Blocks of one page that training reads at once; longer pages are read in pieces, in training only.
 TRAINING_LENGTH = 48
 PATH, LAST, WORDS, DENSE = 96, 32, 48, 6
@@ -345,8 +347,9 @@ def learn(pages: DataFrame, seed: int = 11) -> Labeller:
     Each row serves as it is, its own elements giving the targets, and as prose for composed pages in which menus, headers,
     notices, adverts, forms, sidebars, comments and footers of many names surround the content, filled with other rows' prose.
     """
-    usable = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < 40_000))
-    rows = usable.orderBy(F.xxhash64("html"), "html").select("html").limit(SAMPLE).collect()
+    usable = F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < LONGEST_SAMPLED)
+    some = hash_sample(pages, 4 * SAMPLE, "page_id", "url").where(usable)
+    rows = some.orderBy(F.xxhash64("page_id", "url"), "html").select("html").limit(SAMPLE).collect()
     rng = np.random.default_rng(seed)
     real = [weakly_labelled(r["html"]) for r in rows]
     prose = [[t for t, y in zip(p.texts, p.targets) if y] for p in real]
