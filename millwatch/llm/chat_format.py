@@ -62,9 +62,9 @@ def written(conversations: DataFrame) -> DataFrame:
     """
     key = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES) * len(NAMES)))
     turns = conversations.where(F.col("conv_id").isNotNull() & F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), key.alias("style"))
-    lines = turns.mapInArrow(_written, "conv_id long, turn long, role string, digest long, opens boolean, number int, line string")
+    lines = turns.mapInArrow(_written, "conv_id long, turn long, role string, digest long, again long, opens boolean, number int, line string")
     # Two-level numbering: lines of earlier turns, summed per block of turns, then within the block.
-    at = ("turn", "role", "digest", "number")
+    at = ("turn", "role", "digest", "again", "number")
     block = F.floor(F.coalesce("turn", F.lit(-1)) / 64)
     counted = lines.groupBy("conv_id", block.alias("block")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,21 +77,23 @@ def written(conversations: DataFrame) -> DataFrame:
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
     from xxhash import xxh64_intdigest
 
+    again = TaskContext.get().partitionId() << 40  # keeps the lines of equal rows apart
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for row in batch.to_pylist():
             style, names = STYLES[row["style"] % len(STYLES)], NAMES[row["style"] // len(STYLES)]
             body = [("\\" + x if x.startswith("\\") or marker_of(x)[0] else x) for x in row["text"].split("\n")]
             name = names[ROLES.index(row["role"])]
             lines = style.format(name, "\0").replace("\0", "\n".join(body)).split("\n")
-            digest = xxh64_intdigest(row["text"]) >> 1
+            digest, again = xxh64_intdigest(row["text"]) >> 1, again + 1
             for number, line in enumerate(lines):
-                for column, value in zip(out, (row["conv_id"], row["turn"], row["role"], digest, number == 0, number, line)):
+                for column, value in zip(out, (row["conv_id"], row["turn"], row["role"], digest, again, number == 0, number, line)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
-        names_ = ["conv_id", "turn", "role", "digest", "opens", "number", "line"]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string())
+        names_ = ["conv_id", "turn", "role", "digest", "again", "opens", "number", "line"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names_)
 
 
@@ -102,7 +104,13 @@ class RoleModel:
         self.start = np.log(moves[START] + 0.5) - np.log((moves[START] + 0.5).sum())
         self.moves = np.log(moves[:START] + 0.5) - np.log((moves[:START] + 0.5).sum(axis=1, keepdims=True))
         self.shows = np.log(shows + 0.1) - np.log((shows + 0.1).sum(axis=1, keepdims=True))
-        # A marker opens a turn of its role, by definition of a transcript.
+        # By definition, a role changes only where a turn opens, and a marker opens a turn of its role.
+        for k, (role, opens) in enumerate(STATES):
+            if not opens:
+                self.start[k] = -1e4
+                for j, (before, _) in enumerate(STATES):
+                    if before != role:
+                        self.moves[j, k] = -1e4
         for k, (role, opens) in enumerate(STATES):
             for s in range(SYMBOLS):
                 mark = s // 12
