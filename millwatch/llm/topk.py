@@ -101,6 +101,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     another length, is no candidate; fewer candidates than ``k`` are all returned. Rows with a null vec_id, and vectors
     that are null, empty or hold null or non-finite components, take no part. Rows that repeat a vec_id count once, with the
     smallest vector. An empty table gives an empty result. Other columns are ignored.
+    Components so large that a score could leave 62 bits are an error.
 
     Query blocks meet candidate blocks, and every round scores all of them anew: it sums a histogram of each query's
     current interval over all tasks, finds the bin of the kth value, and goes on inside it until the interval is one
@@ -118,6 +119,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     n, dims, most = cand.agg(F.count("*"), F.max("dims"), F.max(F.array_max(F.transform("v", F.abs)))).first()
     peak = quer.agg(F.max(F.array_max(F.transform("v", F.abs))), F.count("*")).first()
     bound = int(dims or 1) * int(most or 1) * int(peak[0] or 1) + 1
+    if (2 * bound).bit_length() > 63:
+        raise ValueError("scores of these components do not fit 64-bit integers")
     parts = partitions_for(n, ROWS_PER_BLOCK, shuffle_partitions(spark))
     blocks = partitions_for(peak[1], QUERIES_PER_BLOCK, 1)
     part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("part")
