@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
@@ -17,12 +17,14 @@ from millwatch.llm.common import binaries, partitions_for, shuffle_partitions, s
 
 WINDOW = 13
 #: Words of a minimiser.
-GRAM = 4
+GRAM = 3
 #: Text that is split at once; larger documents are taken alone.
-CHUNK = 4 << 20
-#: Bytes of super-k-mers, unpacked, in one bucket, and packed buckets' bytes in one task.
-BUCKET_BYTES = 4 << 20
-TASK_BYTES = 48 << 20
+CHUNK = 2_000_000
+#: Bytes of super-k-mers, unpacked, in one bucket, and the parts of a bucket that are sorted one after the other.
+BUCKET_BYTES = 24 << 20
+PARTS = 16
+#: Bytes of super-k-mers for each byte of text: six windows share a minimiser on average.
+GROWTH = 3.0
 #: A minimiser this frequent (one of so many word positions) is chosen only where a window holds nothing rarer.
 FREQUENT = 1000
 
@@ -37,7 +39,7 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@cache
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     powers = []
@@ -64,8 +66,13 @@ class Words:
         self.starts = self.ends - lengths
         begin = np.concatenate([[1], 1 + np.cumsum([len(t) + 1 for t in texts])])
         self.text_of = (np.searchsorted(begin, first, "right") - 1).astype(np.int32)
-        powers, self._inverse = _powers(1 << max(20, len(self.bytes).bit_length()))
-        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes + np.uint64(1)) * powers[: len(self.bytes)], dtype=np.uint64)])
+        powers, self._inverse = _powers(1 << max(CHUNK.bit_length(), len(self.bytes).bit_length()))
+        self._sums = np.zeros(len(self.bytes) + 1, np.uint64)
+        weighted = self._sums[1:]
+        weighted += self.bytes
+        weighted += np.uint64(1)
+        weighted *= powers[: len(self.bytes)]
+        np.cumsum(weighted, out=weighted)
 
     def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from word ``first`` to word ``last``."""
@@ -144,7 +151,7 @@ def _super_kmers(words: Words, common: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _packed(buckets: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         for ids, texts in _chunks(batches):
             words = Words(texts)
             tags = np.array([crc32(t) for t in texts], np.uint32)
@@ -168,35 +175,43 @@ def _packed(buckets: int, common: np.ndarray):
             start = (first - begin[text]).astype(np.int32)
             stop = (end + 1 - begin[text]).astype(np.int32)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
+            part = (key // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
             rows_bucket, rows_data = [], []
 
-            def put(number: int, kind: int, which: np.ndarray, tail: bytes) -> None:
-                head_ = struct.pack("<BI", kind, len(which))
-                body = doc[which].tobytes() + tags[text[which]].tobytes() + start[which].tobytes() + stop[which].tobytes()
+            def put(number: int, which: np.ndarray, sizes: np.ndarray, tail: np.ndarray | bytes) -> None:
+                """A compressed row: the documents, then of each run its document (as steps) and first word."""
+                held, place = np.unique(text[which], return_inverse=True)
+                head_ = struct.pack("<II", len(held), len(which)) + sizes.astype(np.int32).tobytes()
+                body = ids[held].tobytes() + tags[held].tobytes() + np.diff(place, prepend=0).astype(np.int32).tobytes()
                 rows_bucket.append(number)
-                rows_data.append(pack(head_ + body + tail))
+                rows_data.append(pack(head_ + body + start[which].tobytes() + bytes(tail)))
 
+            none = np.zeros(PARTS, np.int64)
             if answered.any():
-                put(int(crc32(ids.tobytes()) % buckets), 0, np.flatnonzero(answered), b"")
+                which = np.flatnonzero(answered)
+                put(int(crc32(ids.tobytes()) % buckets), which, none, stop[which].tobytes())
             open_ = np.flatnonzero(~answered)
-            open_ = open_[np.argsort(bucket[open_], kind="stable")]
+            open_ = open_[np.lexsort((open_, part[open_], bucket[open_]))]
             cuts = np.flatnonzero(np.diff(bucket[open_])) + 1
             for which in np.split(open_, cuts) if len(open_) else ():
                 tail = b"\n".join([whole[i:j] for i, j in zip(a[which].tolist(), b[which].tolist())])
-                put(int(bucket[which[0]]), 1, which, tail)
+                put(int(bucket[which[0]]), which, np.bincount(part[which], minlength=PARTS), tail)
             yield pa.RecordBatch.from_arrays([pa.array(rows_bucket, pa.int64()), pa.array(rows_data, pa.binary())], ["bucket", "data"])
 
     return run
 
 
-def _unpacked(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """Runs per part (all zero for runs answered before), and of each run doc_id, tag and first word; then the rest."""
     raw = zstandard.ZstdDecompressor().decompress(data)
-    kind, n = struct.unpack_from("<BI", raw)
-    at, out = 5, []
-    for kind_of in (np.int64, np.uint32, np.int32, np.int32):
-        out.append(np.frombuffer(raw, kind_of, n, at))
-        at += n * np.dtype(kind_of).itemsize
-    return (kind, *out, raw[at:])
+    docs, runs = struct.unpack_from("<II", raw)
+    at, out = 8, []
+    for kind, n in ((np.int32, PARTS), (np.int64, docs), (np.uint32, docs), (np.int32, runs), (np.int32, runs)):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    sizes, ids, tags, steps, start = out
+    place = np.cumsum(steps)
+    return sizes, ids[place], tags[place], start, raw[at:]
 
 
 def later_windows(doc: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -237,30 +252,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held.setdefault(number, []).append(data)
     for number in sorted(held):
-        docs, tags, starts, texts, ranges = [], [], [], [], []
+        runs: list[list[tuple]] = [[] for _ in range(PARTS)]
         for data in held.pop(number):
-            kind, doc, tag, start, stop, text = _unpacked(data)
-            if kind == 0:
-                ranges.append((doc, tag, start, stop))
-            else:
-                docs.append(doc)
-                tags.append(tag)
-                starts.append(start)
-                texts += text.split(b"\n")
-        if docs:
-            doc, tag, start = map(np.concatenate, (docs, tags, starts))
-            words = Words(texts)
-            at, later = later_windows(doc, words)
-            run = words.text_of[at]
-            first_word = np.searchsorted(words.text_of, np.arange(len(texts)))
-            begin = later & ~np.concatenate([[False], later[:-1] & (run[1:] == run[:-1])])
-            finish = later & ~np.concatenate([later[1:] & (run[1:] == run[:-1]), [False]])
-            own = run[begin]
-            at_word = at - first_word[run] + start[run]
-            ranges.append((doc[own], tag[own], at_word[begin].astype(np.int32), (at_word[finish] + WINDOW).astype(np.int32)))
-        if ranges:
-            doc, tag, start, stop = (np.concatenate(x) for x in zip(*ranges))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag.astype(np.int64)), pa.array(start), pa.array(stop)], ["doc_id", "tag", "start", "stop"])
+            sizes, doc, tag, start, rest = _unpacked(data)
+            if not sizes.any():
+                yield _ranges(doc, tag, start, np.frombuffer(rest, np.int32))
+                continue
+            texts, ends = rest.split(b"\n"), np.cumsum(sizes)
+            for part, (a, b) in enumerate(zip(ends - sizes, ends)):
+                runs[part].append((doc[a:b], tag[a:b], start[a:b], texts[a:b]))
+        for part in range(PARTS):
+            if runs[part]:
+                doc, tag, start = (np.concatenate(x) for x in list(zip(*runs[part]))[:3])
+                words = Words([t for r in runs[part] for t in r[3]])
+                runs[part] = []
+                at, later = later_windows(doc, words)
+                run = words.text_of[at]
+                first_word = np.searchsorted(words.text_of, np.arange(len(doc)))
+                joined = later[1:] & later[:-1] & (run[1:] == run[:-1])
+                begin, finish = later.copy(), later.copy()
+                begin[1:] &= ~joined
+                finish[:-1] &= ~joined
+                own, at_word = run[begin], at - first_word[run] + start[run]
+                yield _ranges(doc[own], tag[own], at_word[begin], at_word[finish] + WINDOW)
+
+
+def _ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(doc), pa.array(tag.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "start", "stop"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +313,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     positions, size = totals.get(-1, 0), totals.get(-2, 0)
     # At most FREQUENT n-grams can be this frequent.
     common = [r["gram"] for r in found.where((F.col("gram") >= 0) & (F.col("n") * FREQUENT > positions)).select("gram").collect()]
-    unpacked = 3.2 * size
-    buckets = partitions_for(unpacked, BUCKET_BYTES, shuffle_partitions(spark))
-    tasks = partitions_for(unpacked, TASK_BYTES, shuffle_partitions(spark))
+    buckets = partitions_for(GROWTH * size, BUCKET_BYTES, shuffle_partitions(spark))
     packed = texts.mapInArrow(_packed(buckets, np.sort(np.array(common, np.uint64))), "bucket long, data binary")
-    return packed.repartition(tasks, "bucket").mapInArrow(_counted, "doc_id long, tag long, start int, stop int")
+    return packed.repartition(buckets, "bucket").mapInArrow(_counted, "doc_id long, tag long, start int, stop int")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -308,7 +325,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     window covering it starts in a document with a smaller doc_id too, judged on the input. Windows repeated inside one
     document alone stay. Kept words are joined by one space.
 
-    The text is split into super-k-mers, maximal runs of windows with the same minimiser (the least hash of their 4-word
+    The text is split into super-k-mers, maximal runs of windows with the same minimiser (the least hash of their 3-word
     n-grams), which travel as strings to the minimiser's bucket; there windows are sorted by hash and compared word for
     word. Equal super-k-mers of one chunk of text are answered on the spot, so a passage in a third of all
     documents is a row per chunk in its bucket.
