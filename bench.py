@@ -12,7 +12,7 @@ import sys
 import time
 
 from millwatch.plans.queries import all_queries
-from millwatch.session import local_session
+from millwatch.session import clear_scratch, local_session
 
 HEADLINE = (
     "monitor_alarms",
@@ -58,6 +58,7 @@ def main() -> None:
         "ticks_scored_per_sec": round(rows["monitor_alarms"] / seconds["monitor_alarms"], 1),
         "windows_fitted_per_sec": round(rows["sliding_windows"] / 5 / seconds["forecast_fit"], 1),
     }
+    clear_scratch(spark)
     print(json.dumps(line))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwatch.operators.buckets import BUCKET_TICKS
+from millwatch.operators.buckets import BUCKET, BUCKET_TICKS, add_bucket, spread
 from millwatch.operators.control import control_intervals, state_asof, train_attempts
 from millwatch.operators.linear import fit_linear, linear_errors
 from millwatch.operators.model import (
@@ -41,6 +41,17 @@ def windowed_snapshots(readings: DataFrame, config: DataFrame, s: Settings) -> D
     return with_window_state(number_snapshots(snapshots, s.bucket_ticks), config, s.bucket_ticks)
 
 
+def with_models(rows: DataFrame, models: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
+    """Rows joined to their model, laid out by bucket.
+
+    Each model is repeated for the buckets its rows lie in. A shuffle join is then on (model, bucket): the rows of a
+    machine that holds a third of all stay apart, and what is summed per model afterwards is exchanged again.
+    """
+    placed = spread(add_bucket(rows, "tick", size), VERSION)
+    per_bucket = models.join(placed.select(*VERSION, BUCKET).distinct(), VERSION)
+    return placed.join(per_bucket, [*VERSION, BUCKET]).drop(BUCKET)
+
+
 def errors_of(rows: DataFrame) -> DataFrame:
     """Forecast errors under the model a row is joined to, of either kind."""
     return linear_errors(rows) if "coef" in rows.columns else raw_errors(rows)
@@ -58,7 +69,7 @@ def fit_models(training: DataFrame, config: DataFrame, forecaster: str = "line")
     forecast = pack_model(fit_forecaster(training))
     if forecaster == "linear":
         forecast = forecast.join(fit_linear(training, forecast), VERSION)
-    errors = errors_of(training.filter("fit").select(*VERSION, "values", "prev").join(forecast, VERSION))
+    errors = errors_of(with_models(training.filter("fit").select(*VERSION, "tick", "values", "prev"), forecast))
     spread = pack_model(error_stats(errors), ("err_mean", "err_std"))
     settings = config.select("equipment_id", "tags", F.col("window_size").alias("window_size"))
     return forecast.join(spread, VERSION).join(settings, "equipment_id")
@@ -70,7 +81,7 @@ def score_rows(rows: DataFrame, models: DataFrame, config: DataFrame) -> DataFra
     A model's arrays are first put in today's config order by tag. Rows of a model with another window
     size or other tags get no score.
     """
-    joined = rows.select(*VERSION, "tick", "values", "prev").join(align_models(models, config), VERSION)
+    joined = with_models(rows.select(*VERSION, "tick", "values", "prev"), align_models(models, config))
     return top_deviant(errors_of(joined)).select(*VERSION, "tick", "anomaly_score", "top_deviant_tag")
 
 

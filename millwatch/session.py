@@ -21,6 +21,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+_STAGED: dict[str, list[str]] = {}
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options every operator relies on; safe to call again."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -46,12 +50,29 @@ def local_session(app: str = "millwatch", cores: str = "*", partitions: int = 8)
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names none, as in tests.
+    A machine-local folder is used only where the session names none and runs in one process, as in tests.
+    On a cluster, executors would each write to their own disks, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not root:
-        root = tempfile.mkdtemp(prefix="millwatch-")
-    return os.path.join(root, "millwatch", f"{name}-{uuid.uuid4().hex}")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _LOCAL_ROOT:
+            _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="millwatch-")
+        root = _LOCAL_ROOT[app]
+    path = os.path.join(root, "millwatch", f"{name}-{uuid.uuid4().hex}")
+    _STAGED.setdefault(app, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this session has staged. Results that still read it must have been written before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        folder = hadoop(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

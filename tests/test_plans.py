@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millwatch.operators import inspection
+from millwatch.operators import inspection, model
+from millwatch.operators.model import VERSION
 from millwatch.operators.scoring import debounce
 from millwatch.operators.snapshots import asof_snapshot, change_points, number_snapshots, with_window_state
-from millwatch.plans.monitor import Settings, monitor, windowed_snapshots
+from millwatch.plans.monitor import Settings, monitor, windowed_snapshots, with_models
+from millwatch.session import scratch_path, stage
 from tests.conftest import config_row, config_table, readings_table
 
 LAZY = Settings(stage=lambda df, name: df)
@@ -94,3 +96,31 @@ def test_whole_chain_has_no_python_and_no_cross_join(spark, stored):
     text = plan(monitor(readings, log, config, LAZY))
     for word in ("SinglePartition", "CartesianProduct", "NestedLoop", "Python", "ArrowEval", "MapInPandas"):
         assert word not in text, word
+
+
+def test_fitting_exchanges_rows_by_bucket_and_again_before_error_sums(spark, stored):
+    """Without broadcasts, a machine's rows meet their model by bucket, and sums per model follow another exchange."""
+    readings, config = stored
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = windowed_snapshots(readings, config, LAZY).withColumns({"model_version": F.lit(0).cast("long"), "fit": F.col("usable")})
+    live = rows.select(*VERSION, "tick", "values", "prev")
+    models = model.pack_model(model.fit_forecaster(rows))
+    text = plan(model.error_stats(model.raw_errors(with_models(live, models))))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x and "bucket#" in x)
+    final = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(equipment_id" in x and "pos#" in x)
+    assert final < join
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch, tmp_path):
+    assert scratch_path(spark, "x").startswith("/")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(spark, "x")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        staged = stage(spark.range(3), "numbers")
+        assert staged.count() == 3 and staged.inputFiles()[0].startswith(f"file://{tmp_path}")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
