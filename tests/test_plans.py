@@ -1,6 +1,7 @@
 """Physical plans: what reaches the scan, what is shuffled, what must never appear."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from millwatch.operators.model import VERSION
 from millwatch.operators.scoring import debounce
 from millwatch.operators.snapshots import asof_snapshot, change_points, number_snapshots, with_window_state
 from millwatch.plans.monitor import Settings, monitor, windowed_snapshots, with_models
-from millwatch.session import scratch_path, stage
+from millwatch.session import scratch_path
 from tests.conftest import config_row, config_table, readings_table
 
 LAZY = Settings(stage=lambda df, name: df)
@@ -113,14 +114,12 @@ def test_fitting_exchanges_rows_by_bucket_and_again_before_error_sums(spark, sto
     assert final < join
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch, tmp_path):
-    assert scratch_path(spark, "x").startswith("/")
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    def session(master, **settings):
+        return SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_path(spark, "x")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        staged = stage(spark.range(3), "numbers")
-        assert staged.count() == 3 and staged.inputFiles()[0].startswith(f"file://{tmp_path}")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        scratch_path(session("spark://host:7077"), "x")
+    assert scratch_path(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://store/tmp"}), "x").startswith("hdfs://store/tmp/")
+    one, two = (scratch_path(session("local[2]"), "x") for _ in range(2))
+    assert one != two and one.split("millwatch/")[0] == two.split("millwatch/")[0]
