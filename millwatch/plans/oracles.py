@@ -297,6 +297,28 @@ routed AS (
   SELECT e.*, split_part(topic, '/', 2) AS equipment_id, json_extract(el, '$."' || tag || '"') AS raw
   FROM ent e WHERE topic <> 'plant/none' AND tag IN ('click', 'error', 'purchase', 'signup', 'view'))"""
 
+MONITOR = (
+    f"""tagged AS (
+  SELECT s.*, c.state, c.episode AS model_version, c.fit_lo, c.fit_hi FROM sn s JOIN ctl c
+    ON c.equipment_id = s.equipment_id AND {AT.format(t="s")} WHERE c.model_version IS NOT NULL)""",
+    """trn AS (
+  SELECT *, usable AND seq - 6 >= fit_lo AS fit FROM tagged
+  WHERE state = 'CALIBRATING' AND seq >= fit_lo AND seq < fit_hi)""",
+    _fit("trn"),
+    "live AS (SELECT * FROM tagged WHERE state = 'MONITORING' AND usable)",
+    _score("live"),
+)
+ALARM = """count_if(anomaly_score >= 3) OVER (PARTITION BY equipment_id, model_version ORDER BY tick
+    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3"""
+# Readings as the messages carry them, in order of arrival.
+RD_MESSAGES = """rd AS (
+  SELECT equipment_id, tag,
+    coalesce(try_strptime(json_extract_string(el, '$.timestamp'), '%Y-%m-%dT%H:%M:%S.%fZ'), received_at) AS ts,
+    row_number() OVER (ORDER BY received_at, "offset", position) AS ord,
+    CASE json_type(raw) WHEN 'BOOLEAN' THEN CASE WHEN raw = 'true' THEN 1::DOUBLE ELSE 0::DOUBLE END
+      WHEN 'NULL' THEN NULL ELSE TRY_CAST(raw AS DOUBLE) END AS value
+  FROM routed)"""
+
 SQL: dict[str, str] = {
     "inspection_scan": _with(INSP)
     + f"SELECT series_id, row_id, INSP_DATE, INSP_TIME, {' + '.join(f'coalesce({m}, 0)' for m in MEASURES)} AS total FROM insp",
@@ -431,21 +453,12 @@ FROM (SELECT equipment_id, CAST(equipment_id[3:] AS INTEGER) AS n FROM ev)""",
     + """SELECT DISTINCT equipment_id, 0::BIGINT AS model_version, 6 AS window_size, 5 AS n_tags FROM ev""",
     "model_load": _with(*MODEL, LIVE_ALL, _score("live"))
     + "SELECT equipment_id, tick, round(anomaly_score, 5) AS anomaly_score FROM best",
-    "monitor_alarms": _with(
-        *CTL,
-        f"""tagged AS (
-  SELECT s.*, c.state, c.episode AS model_version, c.fit_lo, c.fit_hi FROM sn s JOIN ctl c
-    ON c.equipment_id = s.equipment_id AND {AT.format(t="s")} WHERE c.model_version IS NOT NULL)""",
-        """trn AS (
-  SELECT *, usable AND seq - 6 >= fit_lo AS fit FROM tagged
-  WHERE state = 'CALIBRATING' AND seq >= fit_lo AND seq < fit_hi)""",
-        _fit("trn"),
-        "live AS (SELECT * FROM tagged WHERE state = 'MONITORING' AND usable)",
-        _score("live"),
-    )
-    + """SELECT equipment_id, model_version, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag,
-  count_if(anomaly_score >= 3) OVER (PARTITION BY equipment_id, model_version ORDER BY tick
-    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM best""",
+    "monitor_alarms": _with(*CTL, *MONITOR)
+    + f"SELECT equipment_id, model_version, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
+    "message_alarms": _with(EV, MSG, ENTRIES, RD_MESSAGES, PTS, _grid(), CONTROL, *MONITOR)
+    + f"SELECT equipment_id, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
+    "stream_pipeline": _with(*STREAMED, CONTROL, *MONITOR)
+    + f"SELECT equipment_id, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
     "stream_snapshots": _with(*STREAMED) + "SELECT equipment_id, tick, tag, value, seq, usable FROM sn",
     "stream_control": _with(*STREAMED, CONTROL)
     + "SELECT equipment_id, episode, state, valid_from, valid_to, model_version, fit_lo, fit_hi FROM ctl",

@@ -723,6 +723,44 @@ def stream_control(spark: SparkSession, sf: str) -> DataFrame:
     return BatchTables(spark, root).read("intervals", PARTS - 1, telemetry.INTERVAL_SCHEMA)
 
 
+def _sent(envelopes: DataFrame) -> DataFrame:
+    """The fields of published messages, under plain names."""
+    record = F.from_json("payload", "records array<map<string,string>>").getField("records")[0]
+    field = lambda name: record.getItem(f"edge:{name}")
+    return envelopes.select(
+        "equipment_id",
+        "tick",
+        F.round(field("anomaly_score").cast("double"), 4).alias("anomaly_score"),
+        field("alarm").cast("boolean").alias("alarm"),
+        field("top_deviant_tag").alias("top_deviant_tag"),
+    )
+
+
+@query
+def message_alarms(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job in one batch: raw messages and commands in, published messages out."""
+    config = volume.equipment_config(spark, sf)
+    readings = parse.parse_records(volume.messages(spark, sf), config)
+    alarms = monitor(readings, _commands(spark, sf), config, SETTINGS)
+    return _sent(scoring.result_envelope(alarms, config, "edge"))
+
+
+@query
+def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job as a stream: readings out of order, trains, model switches, published messages."""
+    root = scratch_path(spark, "pipeline-stream")
+    config, log = volume.equipment_config(spark, sf), _commands(spark, sf)
+    _run_in_parts(
+        volume.readings(spark, sf),
+        "ts",
+        lambda rows, delay: telemetry.stream_pipeline(
+            rows, lambda: log, lambda: config, root, delay, "edge", availableNow=True
+        ),
+        shuffled=True,
+    )
+    return _sent(BatchTables(spark, root).all_batches("envelopes", telemetry.ENVELOPE_SCHEMA))
+
+
 @query
 def stream_minute_features(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "minute-stream")

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.operators.buckets import BUCKET_TICKS
+from millwatch.functions.scalars import tick_of
 from millwatch.operators.control import control_intervals, state_asof, train_attempts
 from millwatch.operators.model import VERSION
-from millwatch.operators.scoring import ALARM_THRESHOLD, CONFIRM_TICKS, debounce
+from millwatch.operators.scoring import ALARM_THRESHOLD, CONFIRM_TICKS, debounce, result_envelope
 from millwatch.operators.snapshots import (
     change_points,
     number_snapshots,
@@ -39,6 +40,7 @@ SNAPSHOT_SCHEMA = (
 COMMAND_SCHEMA = "equipment_id STRING, ts TIMESTAMP, command STRING, ord BIGINT"
 SCORE_SCHEMA = "equipment_id STRING, model_version BIGINT, tick BIGINT, anomaly_score DOUBLE, top_deviant_tag STRING"
 ALARM_SCHEMA = SCORE_SCHEMA + ", alarm BOOLEAN"
+ENVELOPE_SCHEMA = "equipment_id STRING, tick BIGINT, topic STRING, payload STRING"
 INTERVAL_SCHEMA = (
     "equipment_id STRING, episode BIGINT, state STRING, valid_from BIGINT, valid_to BIGINT, "
     "model_version BIGINT, fit_lo BIGINT, fit_hi BIGINT"
@@ -250,3 +252,54 @@ def stream_control(
         control_step(rows, snapshots(), config(), BatchTables(rows.sparkSession, root), batch, max_training)
 
     return commands.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(**trigger).start()
+
+
+def pipeline_step(
+    readings: DataFrame,
+    commands: DataFrame,
+    config: DataFrame,
+    tables: BatchTables,
+    batch: int,
+    delay_ms: int,
+    collector: str,
+) -> DataFrame:
+    """One micro-batch of the whole job: snapshots, control, scores, alarms, and the messages to publish.
+
+    ``commands`` is the parsed command log. A command takes effect in the batch that closes its tick, so the snapshots before
+    it are complete and those after it are judged by the state and model it leads to.
+    """
+    emitted = snapshot_step(readings, config, tables, batch, delay_ms)
+    clocks = tables.read("clocks", batch, "equipment_id STRING, was_us BIGINT, now_us BIGINT")
+    step = F.col("resample_interval_ms").cast("long") * 1000
+    edges = config.join(clocks, "equipment_id").select(
+        "equipment_id",
+        "resample_interval_ms",
+        *(F.floor((F.col(f"{n}_us") - F.lit(delay_ms * 1000)) / step).alias(n) for n in ("was", "now")),
+    )
+    at = tick_of(F.col("ts"), F.col("resample_interval_ms"))
+    due = commands.join(edges, "equipment_id").filter((at <= F.col("now")) & (F.col("was").isNull() | (at > F.col("was"))))
+    history = tables.all_batches("snapshots", SNAPSHOT_SCHEMA, batch)
+    intervals = control_step(due, history, config, tables, batch)
+    models = tables.all_batches("models", MODEL_SCHEMA, batch)
+    alarms = monitor_step(emitted, intervals, models, config, tables, batch)
+    return tables.write(result_envelope(alarms, config, collector), "envelopes", batch)
+
+
+def stream_pipeline(
+    readings: DataFrame,
+    commands: Callable[[], DataFrame],
+    config: Callable[[], DataFrame],
+    root: str,
+    delay_ms: int,
+    collector: str,
+    on_envelopes: Callable[[DataFrame, int], object] | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Start the whole job over a stream of readings; ``on_envelopes`` sends a batch's messages on."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        sent = pipeline_step(rows, commands(), config(), BatchTables(rows.sparkSession, root), batch, delay_ms, collector)
+        if on_envelopes is not None:
+            on_envelopes(sent, batch)
+
+    return readings.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(**trigger).start()
