@@ -548,8 +548,11 @@ def resume_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def calibration_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third sample is appended twice and counts once."""
     path = scratch_path(spark, "samples")
-    calibration.calibration_append(_samples(spark, sf)[0], path)
+    samples = stage(_samples(spark, sf)[0], "samples")
+    calibration.calibration_append(samples, path)
+    calibration.calibration_append(samples.filter("tick % 3 = 0"), path)
     return calibration.calibration_table(spark, path).select("equipment_id", "episode", "tick")
 
 
@@ -579,20 +582,24 @@ def calibration_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def calibration_prune(spark: SparkSession, sf: str) -> DataFrame:
-    """Every snapshot as a sample; "now" is the equipment's last reading."""
-    config = volume.equipment_config(spark, sf)
+    """Every snapshot as a stored sample; what the files hold after a prune at each equipment's last reading."""
+    config, path = volume.equipment_config(spark, sf), scratch_path(spark, "samples")
     rows = _snapshots(spark, sf).join(config.select("equipment_id", "resample_interval_ms"), "equipment_id")
-    samples = rows.select(
-        "equipment_id", "tick", calibration.sample_time(F.col("tick"), F.col("resample_interval_ms")).alias("ts")
-    )
+    at = calibration.sample_time(F.col("tick"), F.col("resample_interval_ms")).alias("ts")
+    calibration.calibration_append(rows.select("equipment_id", F.lit(0).cast("long").alias("episode"), "tick", at, "values"), path)
     now = volume.readings(spark, sf).groupBy("equipment_id").agg(F.max("ts").alias("now"))
-    return calibration.calibration_prune(samples, config, now).select("equipment_id", "tick")
+    calibration.calibration_rewrite(spark, path, lambda stored: calibration.calibration_prune(stored, config, now))
+    return spark.read.schema(calibration.STORED_SCHEMA).parquet(path).select("equipment_id", "tick")
 
 
 @query
 def calibration_clear(spark: SparkSession, sf: str) -> DataFrame:
+    """What the files hold after a clear."""
     samples, spans = _samples(spark, sf)
-    return calibration.calibration_clear(samples, spans).select("equipment_id", "episode", "tick")
+    path = scratch_path(spark, "samples")
+    calibration.calibration_append(samples, path)
+    calibration.calibration_rewrite(spark, path, lambda stored: calibration.calibration_clear(stored, spans))
+    return spark.read.schema(calibration.STORED_SCHEMA).parquet(path).select("equipment_id", "episode", "tick")
 
 
 def _saved(spark: SparkSession, sf: str) -> str:

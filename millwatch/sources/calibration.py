@@ -1,13 +1,20 @@
-"""Stored calibration samples: one snapshot per row, partitioned by equipment and day."""
+"""Stored calibration samples: one snapshot per row, partitioned by day and a hash bucket of the equipment."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwatch.functions.scalars import parse_duration
 from millwatch.operators.snapshots import KEYS
+from millwatch.session import stage
 
+# Folders per day, whatever the number of equipments.
+BUCKETS = 16
+PARTITION = ["day", "bucket"]
+STORED_SCHEMA = "equipment_id STRING, episode BIGINT, tick BIGINT, ts TIMESTAMP, values ARRAY<DOUBLE>, day DATE, bucket INT"
 SAMPLE_SCHEMA = "timestamp STRING, values MAP<STRING,DOUBLE>"
 
 
@@ -28,14 +35,38 @@ def calibration_samples(tagged: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def calibration_append(samples: DataFrame, path: str) -> None:
-    """Append samples. Rows are grouped by partition first, so a task writes few files."""
-    day = samples.withColumn("day", F.to_date("ts"))
-    day.repartition("equipment_id", "day").write.mode("append").partitionBy("equipment_id", "day").parquet(path)
+    """Append samples. Rows are grouped by partition first, so a task writes few files.
+
+    An append that is repeated adds rows again; readers take one row per equipment, episode and tick.
+    """
+    bucket = F.pmod(F.xxhash64("equipment_id"), F.lit(BUCKETS)).cast("int")
+    placed = samples.withColumns({"day": F.to_date("ts"), "bucket": bucket})
+    placed.repartition(*PARTITION).write.mode("append").partitionBy(*PARTITION).parquet(path)
 
 
 def calibration_table(spark: SparkSession, path: str) -> DataFrame:
-    schema = "episode BIGINT, tick BIGINT, ts TIMESTAMP, values ARRAY<DOUBLE>, equipment_id STRING, day DATE"
-    return spark.read.schema(schema).parquet(path)
+    """The stored samples, each once."""
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    return rows.groupBy(*PARTITION, "equipment_id", "episode", "tick", "ts").agg(F.max("values").alias("values"))
+
+
+def calibration_rewrite(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> None:
+    """Make files hold only what ``keep`` leaves of the stored samples, e.g. a prune or a clear.
+
+    Only partitions that lose rows are written again, each in place of its old files; partitions that lose all of them are
+    removed. The counts that decide this are one row per partition.
+    """
+    stored = spark.read.schema(STORED_SCHEMA).parquet(path)
+    kept = stage(keep(calibration_table(spark, path)).select(*[c.split()[0] for c in STORED_SCHEMA.split(", ")]), "kept-samples")
+    left = kept.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("left"))
+    counts = stored.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("n")).join(left, PARTITION, "left")
+    losing = stage(counts.filter("left IS NULL OR left < n"), "losing-partitions")
+    again = kept.join(losing.select(*PARTITION), PARTITION, "left_semi").repartition(*PARTITION)
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    for r in losing.filter("left IS NULL").toLocalIterator():
+        empty = folder(f"{path}/day={r['day']}/bucket={r['bucket']}")
+        empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)
 
 
 def calibration_export(samples: DataFrame, config: DataFrame, path: str) -> None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +28,20 @@ def list_files(spark: SparkSession, patterns: str | Sequence[str]) -> list[str]:
     return sorted(found)
 
 
-def inspection_scan(spark: SparkSession, patterns: str | Sequence[str], header_readers: int = 16) -> DataFrame:
+def file_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The column names in each file's first line, found in one job.
+
+    Tasks reduce each file to its first line; a name and a line per file reach the driver, which
+    lists the names for any read. Files without any line have no header.
+    """
+    lines = spark.read.text(list(files)).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # Ids rise within a split, and only the split at the start of a file holds its first line.
+    first = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    found = first.groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    return {r["file_path"]: tuple(next(csv.reader([r["line"]]), ())) for r in found.toLocalIterator()}
+
+
+def inspection_scan(spark: SparkSession, patterns: str | Sequence[str]) -> DataFrame:
     """All inspection rows of the matching CSV files, as text columns.
 
     Files without the date and time columns are left out. Files are read in groups that share
@@ -37,14 +50,8 @@ def inspection_scan(spark: SparkSession, patterns: str | Sequence[str], header_r
     files = list_files(spark, patterns)
     if not files:
         raise FileNotFoundError(f"no inspection file matches {patterns!r}")
-
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.csv(path, header=True).columns)
-
-    with ThreadPoolExecutor(header_readers) as pool:
-        headers = list(pool.map(header, files))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, columns in zip(files, headers):
+    for path, columns in sorted(file_headers(spark, files).items()):
         if REQUIRED <= set(columns):
             groups[columns].append(path)
     if not groups:
