@@ -269,9 +269,9 @@ MSG = f"""msg AS (
       ELSE 'plant/' || equipment_id || CASE WHEN ord % 2 = 0 THEN '/a' ELSE '/b' END END AS topic,
     CASE k WHEN 7 THEN {_one(f"{_STAMP} || {_FIELD} || 'null'")}
       WHEN 8 THEN {_one(f'''{_STAMP} || '"click":null,"error":null,"purchase":null,"signup":null,"view":null' ''')}
-      WHEN 11 THEN 'not json' WHEN 12 THEN '{{"records": null}}'
-      WHEN 13 THEN '{{"records":["not a dict",' || {_PLAIN} || ']}}'
-      WHEN 14 THEN '["not","an","object"]' WHEN 15 THEN NULL
+      WHEN 11 THEN '{{"records":[' || {_PLAIN} WHEN 12 THEN '{{"records": 7}}'
+      WHEN 13 THEN '{{"records":[4.5,' || {_PLAIN} || ',[]]}}'
+      WHEN 14 THEN '[' || {_PLAIN} || ']' WHEN 15 THEN NULL
       WHEN 16 THEN {_one(f"{_FIELD} || {_NUM}")}
       WHEN 17 THEN {_one(f"'\"timestamp\":null,' || {_FIELD} || {_NUM}")}
       WHEN 18 THEN '{{"records":[' || {_PLAIN} || ',' || {_PLAIN} || ']}}'
@@ -279,7 +279,7 @@ MSG = f"""msg AS (
       WHEN 20 THEN '{{"records":{{"a":' || {_PLAIN} || '}}}}'
       WHEN 21 THEN '{{"records":["' || replace({_PLAIN}, '"', '\\"') || '"]}}'
       WHEN 22 THEN {_one(f"{_STAMP} || '\"unrelated\":1.0'")}
-      WHEN 23 THEN {_one(f"'\"timestamp\":\"t1\",' || {_FIELD} || {_NUM}")}
+      WHEN 23 THEN {_one(f"'\"timestamp\":\"soon\",' || {_FIELD} || {_NUM}")}
       ELSE {_one(f"{_STAMP} || {_FIELD} || {_NUM}")} END AS payload,
     ts AS received_at, ord AS "offset"
   FROM ev)"""

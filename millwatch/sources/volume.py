@@ -90,9 +90,9 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = (
         F.when(F.col("k") == 0, '{"command":"recalibrate"}')
         .when(F.col("k").between(1, 3), '{"command":"train"}')
-        .when(F.col("k") == 4, '{"command":"shutdown"}')
-        .when(F.col("k") == 5, "not json")
-        .otherwise('{"foo":"bar"}')
+        .when(F.col("k") == 4, '{"command":"pause"}')
+        .when(F.col("k") == 5, "train")
+        .otherwise('{"order":"train"}')
     )
     return e.select("equipment_id", "ts", payload.cast("binary").alias("payload"), "ord")
 
@@ -114,10 +114,10 @@ def message_text(k: Column, tag: Column, value: Column, stamp: Column) -> Column
     return (
         F.when(k == 7, one(F.concat(stamped, field("null"))))
         .when(k == 8, one(F.concat(stamped, F.lit(all_null))))
-        .when(k == 11, "not json")
-        .when(k == 12, '{"records": null}')
-        .when(k == 13, F.concat(F.lit('{"records":["not a dict",'), plain, F.lit("]}")))
-        .when(k == 14, '["not","an","object"]')
+        .when(k == 11, F.concat(F.lit('{"records":['), plain))
+        .when(k == 12, '{"records": 7}')
+        .when(k == 13, F.concat(F.lit('{"records":[4.5,'), plain, F.lit(",[]]}")))
+        .when(k == 14, F.concat(F.lit("["), plain, F.lit("]")))
         .when(k == 16, one(field(number)))
         .when(k == 17, one(F.concat(F.lit('"timestamp":null,'), field(number))))
         .when(k == 18, F.concat(F.lit('{"records":['), plain, F.lit(","), plain, F.lit("]}")))
@@ -125,7 +125,7 @@ def message_text(k: Column, tag: Column, value: Column, stamp: Column) -> Column
         .when(k == 20, F.concat(F.lit('{"records":{"a":'), plain, F.lit("}}")))
         .when(k == 21, F.concat(F.lit('{"records":["'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"]}')))
         .when(k == 22, one(F.concat(stamped, F.lit('"unrelated":1.0'))))
-        .when(k == 23, one(F.concat(F.lit('"timestamp":"t1",'), field(number))))
+        .when(k == 23, one(F.concat(F.lit('"timestamp":"soon",'), field(number))))
         .otherwise(one(F.concat(stamped, field(number))))
     )
 
@@ -138,7 +138,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = F.when(F.col("ord") % 2 == 0, "/a").otherwise("/b")
     return e.select(
         F.when(F.col("k") == 24, "plant/none").otherwise(F.concat(F.lit("plant/"), "equipment_id", leaf)).alias("topic"),
-        F.when(F.col("k") == 15, F.unhex(F.lit("808182"))).otherwise(text.cast("binary")).alias("payload"),
+        F.when(F.col("k") == 15, F.unhex(F.lit("C3287B"))).otherwise(text.cast("binary")).alias("payload"),
         F.col("ts").alias("received_at"),
         F.col("ord").alias("offset"),
     )

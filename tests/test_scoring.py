@@ -21,10 +21,10 @@ def alarms(spark, scores, threshold=3.0, confirm=3, versions=None, size=4096):
 @pytest.mark.parametrize(
     "scores,confirm,want",
     [
-        ([5, 5, 5], 3, [False, False, True]),
-        ([5, 5, 1, 5, 5, 5], 3, [False] * 5 + [True]),
-        ([3.0], 1, [True]),
-        ([5, 5, 5], 2, [False, True, True]),
+        ([4, 2, 7, 3, 9], 2, [False, False, False, True, True]),
+        ([3, 3.5, 8, 1, 6], 3, [False, False, True, False, False]),
+        ([3.0, 2.999, 100], 1, [True, False, True]),
+        ([9] * 6 + [0], 4, [False] * 3 + [True] * 3 + [False]),
     ],
 )
 def test_debounce_examples(spark, scores, confirm, want):
@@ -32,7 +32,7 @@ def test_debounce_examples(spark, scores, confirm, want):
 
 
 def test_new_model_starts_over(spark):
-    assert alarms(spark, [5] * 5, versions=[1, 1, 2, 2, 2]) == [False] * 4 + [True]
+    assert alarms(spark, [6] * 7, versions=[4] * 4 + [9] * 3) == [False, False, True, True, False, False, True]
 
 
 def test_confirm_must_be_positive(spark):
