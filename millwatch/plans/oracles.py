@@ -471,6 +471,11 @@ FROM (SELECT equipment_id, CAST(equipment_id[3:] AS INTEGER) AS n FROM ev)""",
     "stream_minute_features": _with(*FEAT, EWMA)
     + """SELECT series_id, minute, ng, ng_sum_30, ng_mean_30, ng_std_30, ng_max_30, ng_slope_30, ewma_gap
 FROM rolled JOIN ewma USING (series_id, minute)
+JOIN (SELECT series_id, max(minute) AS done FROM cnt
+  WHERE minute < (SELECT max(minute) FROM cnt) GROUP BY 1) USING (series_id) WHERE minute <= done""",
+    "stream_minute_risk": _with(*FEAT, EWMA)
+    + """SELECT series_id, minute, TRUE AS is_probability, TRUE AS alarm_follows
+FROM rolled JOIN ewma USING (series_id, minute)
 JOIN (SELECT series_id, max(minute) AS done FROM cnt
   WHERE minute < (SELECT max(minute) FROM cnt) GROUP BY 1) USING (series_id) WHERE minute <= done""",
     "result_envelope": _with(EV)

@@ -768,17 +768,36 @@ def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return _sent(BatchTables(spark, root).all_batches("envelopes", telemetry.ENVELOPE_SCHEMA))
 
 
-@query
-def stream_minute_features(spark: SparkSession, sf: str) -> DataFrame:
+def _stream_minutes(spark: SparkSession, sf: str, on_features=None) -> BatchTables:
     root = scratch_path(spark, "minute-stream")
     labelled = _labelled(spark, sf).select("series_id", "inspected_at", "is_ng")
     _run_in_parts(
-        labelled, "inspected_at", lambda rows, _: minutes.stream_minute_features(rows, root, availableNow=True)
+        labelled,
+        "inspected_at",
+        lambda rows, _: minutes.stream_minute_features(rows, root, "0 seconds", on_features, availableNow=True),
     )
-    rows = BatchTables(spark, root).all_batches("features", minutes.FEATURE_SCHEMA)
+    return BatchTables(spark, root)
+
+
+@query
+def stream_minute_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stream_minutes(spark, sf).all_batches("features", minutes.FEATURE_SCHEMA)
     return rounded(rows, 6, "ng_mean_30", "ng_std_30", "ng_slope_30", "ewma_gap")
 
 
+@query
+def stream_minute_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk and alarm of each finished minute of the stream, under a model trained on the whole history."""
+    fitted = risk.risk_train(stage(inspection.ml_feature_table(_labelled(spark, sf)), "features"))
+    rows = _stream_minutes(spark, sf, minutes.risk_step(fitted.model)).all_batches("risk", minutes.RISK_SCHEMA)
+    return rows.select(
+        "series_id",
+        "minute",
+        F.col("risk").between(0, 1).alias("is_probability"),
+        (F.col("alarm") == (F.col("risk") >= 0.6)).alias("alarm_follows"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     def wrap(fn: Query) -> Query:
         return lambda spark, sf: fn(configure(spark), sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,13 +17,15 @@ from millwatch.operators.inspection import (
     minute_grid,
     with_features,
 )
+from millwatch.operators.risk import risk_score
 from millwatch.streaming.state import BatchTables
 
+RISK_SCHEMA = "series_id STRING, minute BIGINT, risk DOUBLE, alarm BOOLEAN"
 TAIL_SCHEMA = "series_id STRING, minute BIGINT, ng BIGINT, first BIGINT"
 FEATURE_SCHEMA = "series_id STRING, minute BIGINT, ng BIGINT, " + ", ".join(f"{f} DOUBLE" for f in FEATURES)
 
 
-def minute_counts(labelled: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def minute_counts(labelled: DataFrame, delay: str) -> DataFrame:
     """Failures per series and finished minute of a stream with ``inspected_at`` and ``is_ng``."""
     return (
         labelled.withWatermark("inspected_at", delay)
@@ -62,14 +65,27 @@ def feature_step(counts: DataFrame, tables: BatchTables, batch: int, size: int =
     return emitted.drop("first")
 
 
+def risk_step(model: PipelineModel) -> Callable[[DataFrame, BatchTables, int], DataFrame]:
+    """For ``on_features``: risk and alarm of the newly finished minutes, written as the ``risk`` table."""
+
+    def step(features: DataFrame, tables: BatchTables, batch: int) -> DataFrame:
+        scored = risk_score(model, features)
+        return tables.write(scored.select("series_id", "minute", "risk", "alarm"), "risk", batch)
+
+    return step
+
+
 def stream_minute_features(
     labelled: DataFrame,
     root: str,
-    delay: str = "0 seconds",
+    delay: str,
     on_features: Callable[[DataFrame, BatchTables, int], object] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the feature stream; ``on_features`` can apply a risk model to each batch."""
+    """Start the feature stream; ``on_features`` can apply a risk model to each batch, see ``risk_step``.
+
+    ``delay`` is how long a minute waits for rows that are out of order.
+    """
 
     def step(counts: DataFrame, batch: int) -> None:
         tables = BatchTables(counts.sparkSession, root)
