@@ -48,7 +48,16 @@ class Vocabulary:
         self.holds_newline = any("\n" in p for p in self.id_of)
         #: Pieces of two characters or more that are segmented into themselves; only these end a path.
         self.valid = {p for p in self.id_of if len(p) > 1 and self.merge(p) == [p]}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: By left piece, which right pieces may follow it, as far as known.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.remembered = 0
+        #: The valid pieces as a tree of characters; the empty key holds the piece that ends at a node.
+        self.tree: dict = {}
+        for piece in self.valid:
+            node = self.tree
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = piece
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short text: the best-ranked join first, the leftmost among equals."""
@@ -63,9 +72,12 @@ class Vocabulary:
 
     def adjoin(self, left: str, right: str) -> bool:
         """True if a segmentation may have ``right`` after ``left``: joined, they are segmented into just these two."""
-        if len(self.pairs) >= REMEMBERED:
-            self.pairs.clear()
-        found = self.pairs[left, right] = self.merge(left + right) == [left, right]
+        if self.remembered >= REMEMBERED:
+            for known in self.pairs.values():
+                known.clear()
+            self.remembered = 0
+        self.remembered += 1
+        found = self.pairs.setdefault(left, {})[right] = self.merge(left + right) == [left, right]
         return found
 
     def ids(self, piece: str) -> list[int]:
@@ -92,43 +104,46 @@ class StreamingViterbi:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.text = ""  # characters from the last committed boundary on
-        self.last: list[str] = [""]  # the surviving path's last piece at each position of ``text``
+        self.last: list[str] = [""]  # the surviving path's last piece at each position reached so far
         self.before = ""  # the piece that ends at the committed boundary
+        self.done = 0  # positions whose outgoing pieces have been followed
 
     def feed(self, characters: str) -> Iterator[str]:
         step = 2 * self.vocab.longest
         for at in range(0, len(characters), step):
-            self.extend(characters[at : at + step])
-            if len(self.text) >= 2 * step:
+            self.text += characters[at : at + step]
+            self._extend(len(self.text) - self.vocab.longest)
+            if self.done >= 2 * step:
                 yield from self._commit()
 
-    def extend(self, characters: str) -> None:
-        """Find the surviving path of each new position."""
-        vocab, last = self.vocab, self.last
-        valid, pairs, longest = vocab.valid, vocab.pairs, vocab.longest
-        new = len(self.text)
-        text = self.text = self.text + characters
-        for end in range(new + 1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = text[start:end]
-                if piece not in valid and end - start > 1:
-                    continue
-                left = last[start] if start else self.before
-                if left:
-                    fits = pairs.get((left, piece))
-                    if fits is None:
-                        fits = vocab.adjoin(left, piece)
-                    if not fits:
-                        continue
-                last.append(piece)
-                break
-            else:
-                raise ValueError("no path survives; the model is not a BPE model")
+    def _extend(self, until: int) -> None:
+        """Follow the pieces that start at each position before ``until``; the text must hold all of them."""
+        vocab, last, text = self.vocab, self.last, self.text
+        tree, pairs = vocab.tree, vocab.pairs
+        if len(last) <= len(text):
+            last += [""] * (len(text) + 1 - len(last))
+        for start in range(self.done, until):
+            left = last[start] if start else self.before
+            follows = pairs.get(left)
+            if follows is None:
+                follows = pairs[left] = {}
+            node, end = tree, start
+            for char in text[start : start + vocab.longest]:
+                end += 1
+                node = node.get(char)
+                piece = char if end == start + 1 else node.get("") if node else None
+                if piece and not last[end]:
+                    fits = follows.get(piece) if left else True
+                    if vocab.adjoin(left, piece) if fits is None else fits:
+                        last[end] = piece
+                if not node:
+                    break
+        self.done = max(self.done, until)
 
     def _commit(self) -> Iterator[str]:
         """Yield the pieces before the last boundary that the paths of all open positions share."""
-        end = len(self.text)
-        ends = set(range(max(1, end - self.vocab.longest + 1), end + 1))
+        # A later piece starts at an unfollowed position; the pieces that end there have all been seen up to ``done``.
+        ends = {at for at in range(self.done, len(self.text) + 1) if self.last[at]}
         while len(ends) > 1:  # step the longest path back until all meet
             far = max(ends)
             ends.remove(far)
@@ -142,10 +157,11 @@ class StreamingViterbi:
             to -= len(self.last[to])
         if pieces:
             self.before = pieces[0]
-            self.text, self.last = self.text[at:], ["", *self.last[at + 1 :]]
+            self.text, self.last, self.done = self.text[at:], ["", *self.last[at + 1 :]], max(0, self.done - at)
             yield from reversed(pieces)
 
     def finish(self) -> Iterator[str]:
+        self._extend(len(self.text))
         yield from self._cut(len(self.text))
         self.before = ""
 
@@ -160,38 +176,38 @@ class Codec:
         plain = not self.vocab.spans_spaces and not self.vocab.holds_newline
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if plain else r"(?s).+")
 
+    def _remembered(self, text: str, ids: list[int]) -> bytes:
+        found = np.array(ids, np.int32).tobytes()
+        if len(text) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = found
+        return found
+
+    def _searched(self, text: str) -> bytes:
+        search, ids = StreamingViterbi(self.vocab), []
+        for pieces in (search.feed(text), search.finish()):
+            for piece in pieces:
+                ids += self.vocab.ids(piece)
+        return self._remembered(text, ids)
+
     def _segment(self, word: str) -> bytes:
-        vocab, ids = self.vocab, []
-        starts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in vocab.inside), len(word)]
-        for a, b in zip(starts, starts[1:]):
-            if b - a == 1:
-                ids += vocab.ids(word[a])
-                continue
-            search = StreamingViterbi(vocab)
-            for pieces in (search.feed(word[a:b]), search.finish()):
-                for piece in pieces:
-                    ids += vocab.ids(piece)
-        return np.array(ids, np.int32).tobytes()
+        """Search a word; at boundaries that every segmentation has, its parts are searched or known alone."""
+        inside, known, parts, at = self.vocab.inside, self.known, [], 0
+        for i in range(1, len(word) + 1):
+            if i == len(word) or word[i - 1 : i + 1] not in inside:
+                part, at = word[at:i], i
+                parts.append(known.get(part) or (self._searched(part) if len(part) > 1 else self._remembered(part, self.vocab.ids(part))))
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        known, words = self.known, self.words.findall(SPACE + text.replace(" ", SPACE))
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
-        except KeyError:
-            pass
-        out = []
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = self._segment(word)
-                if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), np.int32)
+        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self._segment(w) if f is None else f for w, f in zip(words, found)]
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         joined = b"".join(map(self.vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
