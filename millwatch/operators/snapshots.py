@@ -69,13 +69,13 @@ def bucket_seeds(points: DataFrame, config: DataFrame, size: int, until: Column
     )
     end = F.lit(None).cast("long") if until is None else until.cast("long")
     unseen = config.select("equipment_id", end.alias("hi"), F.posexplode("tags").alias("pos", "tag")).drop("tag")
+    # A join with the equipment's span would read the readings once more.
+    whole = W.partitionBy("equipment_id")
     tag = W.partitionBy("equipment_id", "pos").orderBy(BUCKET)
-    rows = per_bucket.unionByName(unseen, allowMissingColumns=True)
-    # A join instead of a window over the equipment: its rows need not meet in one task.
-    spans = rows.groupBy("equipment_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo IS NOT NULL")
     return (
-        rows.drop("lo", "hi")
-        .join(spans, KEYS)
+        per_bucket.unionByName(unseen, allowMissingColumns=True)
+        .withColumns({"lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole)})
+        .filter(F.col("lo").isNotNull())
         .withColumn(BUCKET, F.coalesce(BUCKET, floor_div(F.col("lo"), size) - 1))
         .withColumn("last", F.coalesce(F.lead(BUCKET).over(tag), floor_div(F.col("hi"), size)))
         .filter(F.col("last") > F.col(BUCKET))
