@@ -17,8 +17,14 @@ SAMPLE = 4096
 ROTATIONS = 50
 #: Length of a code at most, and of the substring that one table is keyed by.
 CODE_BITS, TABLE_BITS = 64, 16
-#: Codes this near are candidates. Two tables' keys meet if their substrings differ by two bits at most.
+#: Two tables' keys meet if their substrings differ by so many bits at most: each is probed with its one-bit neighbours.
+SUBSTRING = 2
+#: Codes this near are always candidates; the radius may be learned larger.
 HAMMING = 12
+#: The least share of trial pairs at the threshold that codes must bring together, and that of those the radius must hold.
+#: A length whose codes miss the first is compared without codes, every vector with every other.
+KEPT, WITHIN = 0.95, 0.99
+TRIALS = 8192
 #: Vectors of one group of candidates that one task compares with as many others.
 BLOCK = 2048
 ROWS_PER_TASK = 1_000_000
@@ -37,12 +43,41 @@ def learn_rotation(sample: np.ndarray, rounds: int = ROTATIONS, seed: int = 0) -
     _, _, axes = np.linalg.svd(sample - mean, full_matrices=True)
     axes = axes[:bits].T
     projected = (sample - mean) @ axes
-    turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
-    for _ in range(rounds):
-        signs = np.where(projected @ turn >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(signs.T @ projected)
-        turn = (left @ right).T
-    return mean, axes @ turn
+    rng, turns = np.random.default_rng(seed), []
+    # Vectors shorter than a code are turned several ways to fill it.
+    for _ in range(-(-CODE_BITS // bits)):
+        turn = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
+        for _ in range(rounds):
+            signs = np.where(projected @ turn >= 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(signs.T @ projected)
+            turn = (left @ right).T
+        turns.append(axes @ turn)
+    return mean, np.concatenate(turns, axis=1)[:, :CODE_BITS]
+
+
+def learn_radius(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, seed: int = 1) -> int | None:
+    """Bits by which codes of vectors at the threshold differ, or None if too few such pairs share a table's key.
+
+    Sample vectors are moved to the threshold cosine, once in random directions and once towards other sample vectors, where the
+    table's own variation lies; the way that changes more bits counts.
+    """
+    if sample.shape[1] < 2:
+        return None
+    rng = np.random.default_rng(seed)
+    base = sample[rng.integers(len(sample), size=TRIALS)]
+    code, radius = codes(base, mean, projection), HAMMING
+    for toward in (rng.standard_normal(base.shape), sample[rng.integers(len(sample), size=TRIALS)] - base):
+        side = toward - (toward * base).sum(axis=1, keepdims=True) * base
+        some = np.abs(side).max(axis=1) > 1e-9
+        if not some.any():
+            continue
+        differ = code[some] ^ codes(COSINE * base[some] + np.sqrt(1 - COSINE**2) * unit(side[some]), mean, projection)
+        apart = np.bitwise_count(differ)
+        meet = np.bitwise_count(differ.view("<u2").reshape(-1, CODE_BITS // TABLE_BITS)).min(axis=1) <= SUBSTRING
+        if meet.mean() < KEPT / WITHIN:
+            return None
+        radius = max(radius, int(np.quantile(apart[meet], WITHIN, method="higher")))
+    return radius
 
 
 def codes(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -52,13 +87,16 @@ def codes(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndar
 
 
 def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Codes of the vectors; all those of a length without a model get one code, and so make one group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             code = np.zeros(len(dims), np.uint64)
             for length in np.unique(dims):
                 at = np.flatnonzero(dims == length)
-                code[at] = codes(unit(matrix(batch.column("v").take(pa.array(at)), float)), *models[int(length)])
+                if int(length) in models:
+                    code[at] = codes(unit(matrix(batch.column("v").take(pa.array(at)), float)), *models[int(length)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64))], [*batch.schema.names, "code"])
 
     return run
@@ -67,14 +105,15 @@ def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
 def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each code under the keys of its substrings and their one-bit neighbours in every table."""
     flips = np.concatenate([[0], 1 << np.arange(TABLE_BITS)])
+    tables = CODE_BITS // TABLE_BITS
     for batch in batches:
         dims, code = (batch.column(n).to_numpy() for n in ("dims", "code"))
         keys = [
             (((code.view(np.uint64) >> np.uint64(t * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)[:, None] ^ flips)
             | (t << TABLE_BITS)
-            for t in range(-(-int(min(CODE_BITS, dims.max(initial=1))) // TABLE_BITS))
+            for t in range(tables)
         ]
-        every = np.concatenate(keys, axis=1) if keys else np.empty((0, 0), np.int64)
+        every = np.concatenate(keys, axis=1)
         every = every | (dims.astype(np.int64)[:, None] << 24)
         yield pa.RecordBatch.from_arrays(
             [pa.array(every.ravel()), pa.array(np.repeat(code, every.shape[1])), pa.array(np.repeat(dims, every.shape[1]))],
@@ -82,7 +121,7 @@ def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _forest(codes_: np.ndarray) -> list[tuple[int, int]]:
+def _forest(codes_: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join all codes within the Hamming radius, each new code to one found before it: never all pairs."""
     links, rest = [], codes_
     while len(rest):
@@ -91,7 +130,7 @@ def _forest(codes_: np.ndarray) -> list[tuple[int, int]]:
             reached = np.zeros(len(rest), bool)
             for at in range(0, len(frontier), BLOCK):
                 for to in range(0, len(rest), BLOCK):
-                    near = np.bitwise_count(frontier[at : at + BLOCK, None] ^ rest[None, to : to + BLOCK]) <= HAMMING
+                    near = np.bitwise_count(frontier[at : at + BLOCK, None] ^ rest[None, to : to + BLOCK]) <= radius
                     hit = np.flatnonzero(near.any(axis=0) & ~reached[to : to + BLOCK])
                     reached[to + hit] = True
                     links += zip(frontier[at + near[:, hit].argmax(axis=0)].tolist(), rest[to + hit].tolist())
@@ -99,20 +138,23 @@ def _forest(codes_: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, code, dims = numpy_batches(batches, "key", "code", "dims")
-    order = np.lexsort((code, key))
-    key, code, dims = key[order], code[order], dims[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (code[1:] != code[:-1])
-    key, code, dims = key[new], code[new].view(np.uint64), dims[new]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    found = set()
-    for a, b in zip(starts, np.append(starts[1:], len(key))):
-        if b - a > 1:
-            found.update((int(dims[a]), *link) for link in _forest(code[a:b]))
-    pairs = np.array([x[1:] for x in found], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["dims", "a", "b"])
+def _candidates(radii: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, code, dims = numpy_batches(batches, "key", "code", "dims")
+        order = np.lexsort((code, key))
+        key, code, dims = key[order], code[order], dims[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (code[1:] != code[:-1])
+        key, code, dims = key[new], code[new].view(np.uint64), dims[new]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        found = set()
+        for a, b in zip(starts, np.append(starts[1:], len(key))):
+            if b - a > 1:
+                found.update((int(dims[a]), *link) for link in _forest(code[a:b], radii[int(dims[a])]))
+        pairs = np.array([x[1:] for x in found], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["dims", "a", "b"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +181,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i != j:
                 count[right] += (near * n[one][:, None]).sum(axis=0)
             yield from _edges(near, vec, one, right)
+        vec, count = vec[count > 0], count[count > 0]
         yield pa.RecordBatch.from_arrays([pa.array(vec), pa.array(vec), pa.array(count)], ["a", "b", "n_links"])
 
 
@@ -172,9 +215,11 @@ def near_vectors(rows: DataFrame) -> DataFrame:
 
     A rotation learned on at most 4,096 rows gives every vector a balanced binary code. Four tables of 16-bit substrings,
     each probed with its one-bit neighbours, bring together codes that differ by two bits in some substring; those within
-    12 bits as a whole are candidates. Vectors joined by candidate links form groups, and within a group every pair is
-    compared in doubles, in blocks of bounded size, so no pair below the threshold is linked and none is written out.
-    Equal vectors are one class throughout and are only counted.
+    a radius as a whole, 12 bits at least, are candidates. The radius is learned for each length of vectors from sample vectors moved to the
+    threshold. Where these show that codes would miss more than one pair in twenty, as they do if all vectors share a large
+    common part, the vectors of that length are one group and every pair is found; its cost is quadratic. Vectors joined by
+    candidate links form groups, and within a group every pair is compared in doubles, in blocks of bounded size, so no pair
+    below the threshold is linked and none is written out. Equal vectors are one class throughout and are only counted.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
     lengths neither. Rows with a null vec_id are returned with their links, count as vectors, and never name a component
@@ -194,16 +239,20 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     classes = classes.withColumns({"dims": F.size("v"), "again": F.row_number().over(order)})
     classes = classes.withColumn("first", F.when(F.col("again") == 1, F.col("first")).otherwise((1 << 61) + F.pmod("h1", F.lit(1 << 60))))
     classes = stage(classes.drop("again"), "vector-classes")
-    models = {}
+    models, radii = {}, {}
     for length in [r[0] for r in classes.select("dims").distinct().collect()]:
         some = hash_sample(classes.where(F.col("dims") == length), 2 * SAMPLE, "h1", "h2").orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()
-        models[length] = learn_rotation(unit(matrix(some.column("v").combine_chunks(), float)))
+        sample = unit(matrix(some.column("v").combine_chunks(), float))
+        model = learn_rotation(sample)
+        radius = learn_radius(sample, *model)
+        if radius is not None:
+            models[length], radii[length] = model, radius
     row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
     coded = stage(classes.mapInArrow(_coded(models), f"{row}, code long"), "vector-codes")
     total = coded.count()
     parts = partitions_for(total * 17 * 4, ROWS_PER_TASK, shuffle_partitions(spark))
-    keyed = coded.select("dims", "code").distinct().mapInArrow(_table_keys, "key long, code long, dims int")
-    found = keyed.repartition(parts, "key").mapInArrow(_candidates, "dims int, a long, b long")
+    keyed = coded.where(F.col("dims").isin(list(radii))).select("dims", "code").distinct().mapInArrow(_table_keys, "key long, code long, dims int")
+    found = keyed.repartition(parts, "key").mapInArrow(_candidates(radii), "dims int, a long, b long")
     # Codes of different lengths are nodes of different graphs; the few bits above the smaller codes tell them apart.
     node = lambda c: F.xxhash64("dims", c)
     roots = stage(components(found.select(node("a").alias("a"), node("b").alias("b"))), "code-groups")
@@ -214,7 +263,8 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     spread = grouped.join(sizes, "grp").withColumn("blocks", blocks).withColumn("block", F.pmod("h1", F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "first", "n", "v")
-    tasks = partitions_for(total, 8 * BLOCK, shuffle_partitions(spark))
+    spread_rows = sizes.agg(F.sum(F.col("size") * blocks)).first()[0] or 0
+    tasks = partitions_for(spread_rows, 8 * BLOCK, shuffle_partitions(spark))
     linked = spread.repartition(tasks, "grp", "i", "j").mapInArrow(_verified, "a long, b long, n_links long")
     linked = stage(linked, "vector-links")
     near = stage(components(linked.where("a <> b").select("a", "b")), "vector-components")

@@ -87,6 +87,45 @@ def test_recall_on_hard_pairs(spark):
     assert got >= 0.9 * 800
 
 
+def planted(seed, common, cosine=0.955, pairs=1500, dims=64):
+    """Pairs at one cosine, among vectors whose mean cosine is ``common``."""
+    rng = np.random.default_rng(seed)
+    base = unit(unit(rng.normal(size=(pairs, dims))) * np.sqrt(1 - common) + unit(rng.normal(size=(1, dims))) * np.sqrt(common))
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(axis=1, keepdims=True) * base)
+    return np.concatenate([base, base * cosine + side * np.sqrt(1 - cosine**2)])
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8, 0.9])
+def test_recall_with_a_common_part(spark, common):
+    rows = planted(11, common)
+    near = rows @ rows.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 3000
+    found = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+    got = dict(found.select("vec_id", "n_links").collect())
+    recall = sum(got.values()) / near.sum()
+    print(f"mean cosine {common}: recall {recall:.4f} of {near.sum() // 2} links")
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
+    assert recall >= 0.9
+
+
+@pytest.mark.parametrize("dims", [16, 32])
+def test_recall_of_short_vectors(spark, dims):
+    rows = planted(12, 0.0, dims=dims)
+    near = rows @ rows.T >= 0.95
+    found = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+    recall = found.agg(F.sum("n_links")).first()[0] / (near.sum() - len(rows))
+    print(f"{dims} dims: recall {recall:.4f}")
+    assert recall >= 0.95
+
+
+def test_codes_that_would_miss_pairs_are_not_used():
+    for common, used in ((0.0, True), (0.5, True), (0.8, False), (0.9, False)):
+        rows = planted(13, common)
+        assert (embedding_dedup.learn_radius(rows, *learn_rotation(rows)) is not None) == used
+
+
 def test_codes_are_balanced_and_local():
     rng = np.random.default_rng(9)
     rows = unit(rng.normal(size=(2000, 64)) * np.linspace(2, 0.3, 64))
