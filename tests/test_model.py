@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millwatch.operators import model
 from millwatch.operators.linear import fit_linear
-from millwatch.operators.risk import risk_score, risk_train
+from millwatch.operators.risk import ROUNDS, best_round, risk_score, risk_train
 from millwatch.operators.snapshots import asof_snapshot
 from millwatch.operators.train_hook import train_hook
 from millwatch.plans.monitor import Settings, fit_models, score_rows, windowed_snapshots
@@ -183,3 +183,28 @@ def test_risk_model_learns_and_survives_storage(spark, tmp_path):
     scored = risk_score(type(fitted.model).load(str(tmp_path / "risk")), rows)
     assert scored.filter("risk < 0 OR risk > 1 OR alarm <> (risk >= 0.6)").count() == 0
     assert scored.filter("alarm").count() > 0
+
+
+def test_boosting_waits_out_idle_rounds():
+    assert best_round([5.0, 4.0, 4.5, 4.4, 3.0, 3.5, 3.6, 3.7, 1.0], patience=3) == (5, True)
+    assert best_round([5.0, 4.0, 4.5, 4.4], patience=3) == (2, False)
+
+
+def test_the_validation_part_ends_boosting():
+    """A loss that is lowest at round 130 is followed there, past an idle stretch, and not to the last round allowed."""
+    from inspect import signature
+    from types import SimpleNamespace
+
+    from millwatch.operators.risk import _boosted
+
+    losses = [0.5 if 50 <= k < 80 else abs(k - 129) / 1000 for k in range(ROUNDS)]
+
+    class Trees:
+        maxIter = "maxIter"
+
+        def copy(self, extra):
+            n = extra["maxIter"]
+            return SimpleNamespace(fit=lambda rows: SimpleNamespace(n=n, evaluateEachIteration=lambda rows: losses[:n]))
+
+    assert _boosted(Trees(), None, None, signature(risk_train).parameters["rounds"].default).n == 130 < ROUNDS == 1000
+    assert _boosted(Trees(), None, None, 8).n == 8
