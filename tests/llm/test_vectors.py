@@ -110,6 +110,19 @@ def test_recall_with_a_common_part(spark, common):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("common", [0.0, 0.9])
+def test_recall_at_several_cosines(spark, common):
+    """Tables that hold links at every cosine of interest; the sf tables hold none. Each third has its own common part."""
+    cosines = (0.951, 0.97, 0.99)
+    rows = np.concatenate([planted(20 + k, common, c, 400) for k, c in enumerate(cosines)])
+    found = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+    linked = {r["vec_id"] for r in found.where("n_links > 0").collect()}
+    for k, cosine in enumerate(cosines):
+        recall = len(linked & set(range(800 * k, 800 * k + 800))) / 800
+        print(f"mean cosine {common}, pairs at {cosine}: recall {recall:.4f}")
+        assert recall >= 0.9
+
+
 @pytest.mark.parametrize("dims", [16, 32])
 def test_recall_of_short_vectors(spark, dims):
     rows = planted(12, 0.0, dims=dims)
