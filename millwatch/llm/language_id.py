@@ -17,8 +17,6 @@ CELLS = 1 << 16
 #: Cells that travel as one row while counts are summed.
 SLICE = 1 << 12
 SMOOTHING = 0.5
-#: The most languages a document's set may hold.
-MOST_LANGUAGES = 4
 STEPS = 12
 #: Documents with more words than this are fitted alone, the others many at once.
 WORDS_AT_ONCE = 400_000
@@ -106,26 +104,34 @@ def mixtures(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     ``words`` has the log-likelihood of each word under each language, ``n`` the words of each document (one at least).
     Languages are ranked by the proportions of the full mixture. Sets of the 1, 2, ... first are fitted again, and the set with the
-    highest log-likelihood less half the log of the word count for each further language is selected.
+    highest log-likelihood less half the log of the word count for each further language is selected. A document is
+    done once no larger set can win: no mixture's log-likelihood exceeds that of the full one by more than n times the log of its steepest slope.
     """
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     of = np.repeat(np.arange(len(n)), n)
     relative = np.exp(np.maximum(words - words.max(axis=1, keepdims=True), -80)).astype(np.float64)
     full = _fit(relative, starts, of, n, np.full((len(n), words.shape[1]), 1 / words.shape[1]), STEPS)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-    best, score, size = None, None, np.ones(len(n), int)
-    for k in range(1, min(MOST_LANGUAGES, words.shape[1]) + 1):
+    mixed = (relative * full[of]).sum(axis=1)
+    slope = np.add.reduceat(relative / mixed[:, None], starts, axis=0).max(axis=1) / n
+    most = np.add.reduceat(np.log(mixed), starts) + n * np.log(slope)
+    best, score, size = np.zeros_like(full), np.full(len(n), -np.inf), np.ones(len(n), int)
+    going = np.arange(len(n))
+    for k in range(1, words.shape[1] + 1):
         share = np.where(rank < k, np.maximum(full, 1e-6), 0.0)
         share /= share.sum(axis=1, keepdims=True)
         if k > 1:
             share = _fit(relative, starts, of, n, share, STEPS // 2)
         fit = np.add.reduceat(np.log((relative * share[of]).sum(axis=1)), starts) - (k - 1) * 0.5 * np.log(n)
-        if best is None:
-            best, score = share, fit
-        else:
-            more = fit > score
-            best[more], size[more] = share[more], k
-            score = np.maximum(score, fit)
+        more = fit > score[going]
+        best[going[more]], size[going[more]], score[going[more]] = share[more], k, fit[more]
+        open_ = most - k * 0.5 * np.log(n) > score[going]
+        if not open_.any():
+            break
+        if not open_.all():
+            relative = relative[open_[of]]
+            going, n, full, rank, most = going[open_], n[open_], full[open_], rank[open_], most[open_]
+            starts, of = np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(n)), n)
     return best, size
 
 

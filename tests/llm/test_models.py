@@ -221,3 +221,16 @@ def test_page_edges(spark, labeller):
     assert [(r["page_id"], r["n_chars"]) for r in got[:3]] == [(None, 0), (1, 0), (2, 0)]
     assert got[3] == got[4] and got[3]["n_chars"] == len(got[3]["text"]) > 100_000
     assert page.extract(df.limit(0)).isEmpty()
+
+
+def test_a_document_may_hold_every_language():
+    """Seven equal shares of seven languages, one language, and two: the penalty alone bounds the set."""
+    import numpy as np
+
+    from millwatch.llm.language_id import mixtures
+
+    spoken = [np.arange(700) % 7, np.full(300, 2), np.arange(400) % 2]
+    words = np.concatenate([np.where(np.arange(7) == s[:, None], 0.0, -6.0) for s in spoken])
+    share, size = mixtures(words, np.array([len(s) for s in spoken]))
+    assert size.tolist() == [7, 1, 2]
+    assert np.allclose(share[0], 1 / 7, atol=0.01) and share[1, 2] == 1 and np.allclose(share[2, :2], 0.5, atol=0.01)
