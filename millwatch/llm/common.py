@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millwatch.session import configure, stage
 
-__all__ = ["binaries", "components", "partitions_for", "prepare", "stage", "table"]
+__all__ = ["binaries", "carried", "components", "named", "partitions_for", "prepare", "stage", "table"]
 
 #: The most bytes of rows Spark hands to Python at once; long texts make smaller batches, not larger ones.
 BATCH_BYTES = 8 << 20
@@ -28,6 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, which may hold dots."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def carried(docs: DataFrame, new: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` as ``(__row, text)`` for an Arrow task, and the columns that restore it less those named, in any case, like ``new``."""
+    gone = {n.lower() for n in new}
+    names = [c for c in docs.columns if c.lower() not in gone]
+    others = [c for c in names if c != "text"]
+    # Fields get plain names on the way, so that any name comes back as it was.
+    row = F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(others))) if others else F.struct(F.lit(0).alias("c0"))
+    back = {c: F.col(f"__row.c{i}").alias(c) for i, c in enumerate(others)}
+    return docs.select(row.alias("__row"), F.col("text")), [back.get(c, F.col("text")) for c in names]
+
+
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     return column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()).to_pylist()

@@ -88,3 +88,34 @@ reach AS (
 SELECT vec_id, (SELECT COUNT(*) FROM links WHERE a = vec_id) AS n_links, MIN(root) AS component_id, vec_id = MIN(root) AS kept
 FROM embeddings JOIN reach ON node = vec_id GROUP BY vec_id
 """
+
+_SQUARED = "CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+_ROUNDS = ",".join(
+    f"""
+a{i} AS (
+    SELECT vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, MIN(d) AS d
+    FROM (SELECT vec_id, v, cluster, {_SQUARED} AS d FROM good, c{i}) GROUP BY vec_id, v)"""
+    + f""",
+m{i} AS (
+    SELECT cluster, list(m ORDER BY pos) AS c
+    FROM (
+        SELECT cluster, pos, CAST((SUM(x) - ((SUM(x) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*) AS BIGINT) AS m
+        FROM (SELECT cluster, UNNEST(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY cluster, pos)
+    GROUP BY cluster),
+c{i + 1} AS (SELECT c{i}.cluster, COALESCE(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))"""
+    for i in range(4)
+)
+
+LLM_SQL["op12_centroids"] = f"""
+WITH good AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, c
+    FROM (SELECT sha256('1:' || vec_id) AS h, v AS c FROM good ORDER BY h NULLS LAST LIMIT 16)),
+{_ROUNDS.strip()},
+sums AS (SELECT cluster, CAST(SUM(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT vec_id, CAST(a3.cluster AS INT) AS cluster, d AS distance, cluster_inertia, CAST((SELECT SUM(d) FROM a3) AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN sums USING (cluster) JOIN c3 USING (cluster)
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millwatch.llm.centroids import cluster_vectors
 from millwatch.llm.chat_format import format_chats
 from millwatch.llm.common import table
 from millwatch.llm.embedding_dedup import near_vectors
@@ -17,6 +18,8 @@ from millwatch.llm.sentencepiece_codec import encode
 from millwatch.llm.simhash import simhash_groups
 from millwatch.llm.substring_dedup import dedup_substrings
 from millwatch.llm.topk import top_k
+from millwatch.llm.toxicity import score_toxicity
+from millwatch.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,5 +70,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_line_dedup, op2_sentencepiece, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op7_chat_format, op8_html_extraction, op9_mixing, op10_simhash)}
+    return {q.__name__: q for q in (op1_line_dedup, op2_sentencepiece, op3_embedding_dedup, op4_language_id, op5_substring_dedup, op6_top_k, op7_chat_format, op8_html_extraction, op9_mixing, op10_simhash, op11_whitening, op12_centroids, op13_toxicity)}

@@ -13,7 +13,7 @@ from tests.compare import difference, duck
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in llm_queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(entry.queries()) >= {*llm_queries(), "pipeline"} and set(LLM_SQL) < set(llm_queries())
 
 
