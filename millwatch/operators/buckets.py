@@ -35,11 +35,11 @@ def add_bucket(df: DataFrame, index: str, size: int) -> DataFrame:
     return df.withColumn(BUCKET, floor_div(F.col(index), size))
 
 
-def add_halo(df: DataFrame, index: str, size: int, back: int | Column = 0, ahead: int = 0) -> DataFrame:
+def add_halo(df: DataFrame, index: str, size: int, back: int | Column = 0, ahead: int | Column = 0) -> DataFrame:
     """Copy each row into every bucket whose own rows look at it.
 
     An own row sees ``back`` ticks before it and ``ahead`` ticks after it, so with a bucket
-    larger than both, only rows near a border are copied. ``back`` may differ between series.
+    larger than both, only rows near a border are copied. Both may differ between series.
     """
     i = F.col(index)
     targets = F.sequence(floor_div(i - ahead, size), floor_div(i + back, size))

@@ -153,8 +153,9 @@ def align_models(models: DataFrame, config: DataFrame) -> DataFrame:
     fitting = models.join(wanted, KEYS).filter((F.col("window_size") == F.col("want_window")) & same_tags)
     columns = {c: ordered(c) for c in (*PARAMETERS, "err_mean", "err_std") if c in models.columns}
     if "coef" in models.columns:
-        # Weights: an offset, then one per tag; rows and columns both follow the tags.
-        weights = lambda r: F.transform("place", lambda j: F.get(r, j + 1))
+        # Weights: an offset, then one per tag for each lag; rows and columns both follow the tags.
+        lags = F.sequence(F.lit(0), F.col("window_size") - 1)
+        weights = lambda r: F.flatten(F.transform(lags, lambda g: F.transform("place", lambda j: F.get(r, g * F.size("place") + j + 1))))
         columns["coef"] = F.transform(ordered("coef"), lambda r: F.concat(F.slice(r, 1, 1), weights(r)))
     fitting = fitting.withColumn("place", place).withColumns({**columns, "tags": F.col("want_tags")})
     return fitting.select(*models.columns)

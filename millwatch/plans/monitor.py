@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millwatch.functions.scalars import floor_div
 from millwatch.operators.buckets import BUCKET, BUCKET_TICKS, add_bucket, spread
 from millwatch.operators.control import control_intervals, state_asof, train_attempts
-from millwatch.operators.linear import fit_linear, linear_errors
+from millwatch.operators.linear import fit_windows, pack_windows, window_errors
 from millwatch.operators.model import (
     VERSION,
     align_models,
@@ -44,45 +45,54 @@ def windowed_snapshots(readings: DataFrame, config: DataFrame, s: Settings) -> D
 def with_models(rows: DataFrame, models: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
     """Rows joined to their model, laid out by bucket.
 
-    Each model is repeated for the buckets its rows lie in. A shuffle join is then on (model, bucket): the rows of a
+    Each model is repeated for the buckets between its first and last row. A shuffle join is then on (model, bucket): the rows of a
     machine that holds a third of all stay apart, and what is summed per model afterwards is exchanged again.
     """
+    spans = rows.groupBy(*VERSION).agg(F.min("tick").alias("_lo"), F.max("tick").alias("_hi"))
+    buckets = F.explode(F.sequence(floor_div(F.col("_lo"), size), floor_div(F.col("_hi"), size)))
+    per_bucket = models.join(spans.select(*VERSION, buckets.alias(BUCKET)), VERSION)
     placed = spread(add_bucket(rows, "tick", size), VERSION)
-    per_bucket = models.join(placed.select(*VERSION, BUCKET).distinct(), VERSION)
     return placed.join(per_bucket, [*VERSION, BUCKET]).drop(BUCKET)
 
 
-def errors_of(rows: DataFrame) -> DataFrame:
-    """Forecast errors under the model a row is joined to, of either kind."""
-    return linear_errors(rows) if "coef" in rows.columns else raw_errors(rows)
-
-
-def fit_models(training: DataFrame, config: DataFrame, forecaster: str = "line") -> DataFrame:
+def fit_models(training: DataFrame, config: DataFrame, forecaster: str = "line", size: int = BUCKET_TICKS) -> DataFrame:
     """One row per (equipment, version): tags, types, normalisation, forecast and error spread.
 
-    ``training`` needs ``values``, ``prev`` and ``fit``. It is read twice, because the spread of
-    the error depends on the fitted forecast. ``forecaster`` is ``line`` (each tag from itself)
-    or ``linear`` (each tag from all tags).
+    ``training`` needs ``tick``, ``values``, ``prev`` and ``fit``. It is read twice, because the spread of
+    the error depends on the fitted forecast. ``forecaster`` is ``line`` (each tag from itself, one snapshot back)
+    or ``linear`` (each tag from all tags of the whole window; needs ``seq`` and ``window_size`` too).
     """
     if forecaster not in ("line", "linear"):
         raise ValueError(f"unknown forecaster {forecaster!r}")
     forecast = pack_model(fit_forecaster(training))
     if forecaster == "linear":
-        forecast = forecast.join(fit_linear(training, forecast), VERSION)
-    errors = errors_of(with_models(training.filter("fit").select(*VERSION, "tick", "values", "prev"), forecast))
-    spread = pack_model(error_stats(errors), ("err_mean", "err_std"))
+        forecast = stage(forecast, "normalisation")
+        coef, blocks = fit_windows(training, forecast, size)
+        forecast = stage(forecast.join(coef.drop("n_windows"), VERSION), "forecast")
+        errors = window_errors(blocks, forecast)
+    else:
+        errors = raw_errors(with_models(training.filter("fit").select(*VERSION, "tick", "values", "prev"), forecast))
+    spread_of = pack_model(error_stats(errors), ("err_mean", "err_std"))
     settings = config.select("equipment_id", "tags", F.col("window_size").alias("window_size"))
-    return forecast.join(spread, VERSION).join(settings, "equipment_id")
+    return forecast.join(spread_of, VERSION).join(settings, "equipment_id")
 
 
-def score_rows(rows: DataFrame, models: DataFrame, config: DataFrame) -> DataFrame:
+def score_rows(rows: DataFrame, models: DataFrame, config: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
     """Anomaly score of usable rows under their model.
 
     A model's arrays are first put in today's config order by tag. Rows of a model with another window
-    size or other tags get no score.
+    size or other tags get no score. Where ``rows`` have a ``target`` column, only rows with it are scored. Models that see the whole window
+    (``coef``) need that: ``rows`` then holds every snapshot, with ``seq`` and ``window_size``, since a window reaches back to rows that are not scored.
     """
-    joined = with_models(rows.select(*VERSION, "tick", "values", "prev"), align_models(models, config))
-    return top_deviant(errors_of(joined)).select(*VERSION, "tick", "anomaly_score", "top_deviant_tag")
+    fitting = align_models(models, config)
+    if "coef" not in models.columns:
+        live = rows.filter("target") if "target" in rows.columns else rows
+        scored = raw_errors(with_models(live.select(*VERSION, "tick", "values", "prev"), fitting, size))
+    elif "target" not in rows.columns:
+        raise ValueError("models of the whole window need all snapshots and a column `target`")
+    else:
+        scored = with_models(window_errors(pack_windows(rows, size), fitting), fitting.drop("coef"), size)
+    return top_deviant(scored).select(*VERSION, "tick", "anomaly_score", "top_deviant_tag")
 
 
 def monitor(readings: DataFrame, commands: DataFrame, config: DataFrame, s: Settings) -> DataFrame:
@@ -93,16 +103,16 @@ def monitor(readings: DataFrame, commands: DataFrame, config: DataFrame, s: Sett
     """
     snapshots = s.stage(windowed_snapshots(readings, config, s), "snapshots")
     attempts = train_attempts(snapshots, commands, config, s.max_training, s.bucket_ticks)
-    tagged = s.stage(
-        state_asof(snapshots, control_intervals(attempts, commands, config), s.bucket_ticks).filter(
-            F.col("model_version").isNotNull()
-        ),
-        "tagged",
-    )
+    tagged = state_asof(snapshots, control_intervals(attempts, commands, config), s.bucket_ticks)
+    if s.forecaster == "line":
+        # Windows reach back to snapshots of any state; a line needs those under a model only.
+        tagged = tagged.filter(F.col("model_version").isNotNull())
+    tagged = s.stage(tagged, "tagged")
     in_range = (F.col("seq") >= F.col("fit_lo")) & (F.col("seq") < F.col("fit_hi"))
     training = tagged.filter((F.col("state") == "CALIBRATING") & in_range).withColumn(
         "fit", F.col("usable") & (F.col("seq") - F.col("window_size") >= F.col("fit_lo"))
     )
-    live = tagged.filter((F.col("state") == "MONITORING") & F.col("usable"))
-    scores = s.stage(score_rows(live, fit_models(training, config, s.forecaster), config), "scores")
+    live = tagged.withColumn("target", (F.col("state") == "MONITORING") & F.col("usable") & F.col("model_version").isNotNull())
+    models = fit_models(training, config, s.forecaster, s.bucket_ticks)
+    scores = s.stage(score_rows(live, models, config, s.bucket_ticks), "scores")
     return debounce(scores, s.threshold, s.confirm, s.bucket_ticks)

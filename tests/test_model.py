@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millwatch.operators import model
-from millwatch.operators.linear import fit_linear
+from millwatch.operators.linear import fit_windows, pack_windows, solve_normal
 from millwatch.operators.risk import ROUNDS, best_round, risk_score, risk_train
 from millwatch.operators.snapshots import asof_snapshot
 from millwatch.operators.train_hook import train_hook
@@ -76,27 +76,115 @@ def test_forecast_and_errors_by_hand(spark):
     assert np.isclose(fitted["err_std"][1], max(errors.std(), 1e-3, 0.05 * errors.mean()))
 
 
+def whole_window(z, at, window):
+    """Regressors of the window-wide forecaster, built row by row."""
+    return np.array([np.concatenate([[1.0], *(z[t - lag] for lag in range(1, window + 1))]) for t in at])
+
+
 def test_linear_forecaster_equals_least_squares_and_scores(spark, tmp_path):
     rng = np.random.default_rng(8)
     a = rng.normal(size=90)
-    b = np.concatenate([[0.0], 2 * a[:-1]]) + 0.01 * rng.normal(size=90)
+    b = np.concatenate([[0.0] * 3, 2 * a[:-3]]) + 0.01 * rng.normal(size=90)
     rows, config = series(spark, a, b)
     training = trained(rows)
     norm = model.pack_model(model.fit_forecaster(training))
-    # Small buckets: the sums of several tasks must add up.
-    coef = np.array(fit_linear(training, norm, size=16).first()["coef"])
     z = np.column_stack([(v - v.mean()) / v.std() for v in (a, b)])
-    want = np.linalg.lstsq(np.column_stack([np.ones(87), z[2:-1]]), z[3:], rcond=None)[0].T
-    assert np.allclose(coef, want)
-    linear = fit_models(training, config, "linear")
+    want = np.linalg.lstsq(whole_window(z, range(3, 90), 3), z[3:], rcond=None)[0].T
+    # Small buckets: the sums of several tasks must add up.
+    for size in (16, 1, 4096):
+        got = fit_windows(training, norm, size=size)[0].first()
+        assert got["n_windows"] == 87 and np.allclose(np.array(got["coef"]), want, atol=1e-9)
+    linear = fit_models(training, config, "linear", size=16)
     line = fit_models(training, config)
-    # b follows a, which only the forecaster that sees a can use.
+    # b follows a by three ticks, which only the forecaster that sees the whole window can use.
     assert linear.first()["err_mean"][1] < 0.1 * line.first()["err_mean"][1]
     model_save(linear, str(tmp_path / "linear"))
-    scores = score_rows(training.filter("usable"), model_load(spark, str(tmp_path / "linear"), linear=True), config)
-    assert scores.count() == 87
+    stored = model_load(spark, str(tmp_path / "linear"), linear=True)
+    everything = training.withColumn("target", F.col("usable"))
+    scores = score_rows(everything, stored, config, size=16).toPandas()
+    errors = np.abs(z[3:] - whole_window(z, range(3, 90), 3) @ want.T)
+    spread = np.maximum(errors.std(axis=0), np.maximum(1e-3, 0.05 * errors.mean(axis=0)))
+    assert np.allclose(scores.sort_values("tick").anomaly_score, ((errors - errors.mean(axis=0)) / spread).max(axis=1))
     with pytest.raises(ValueError):
         fit_models(training, config, "cubic")
+    with pytest.raises(ValueError):
+        score_rows(training.filter("usable"), stored, config)
+
+
+def test_windows_with_gaps_still_give_the_exact_equations(spark):
+    """Missing values leave runs of usable ticks of any length; sums near their ends are corrected, also across buckets."""
+    rng = np.random.default_rng(3)
+    n, window = 140, 4
+    values = rng.normal(size=(n, 3)).cumsum(axis=0)
+    holes = set(rng.choice(n, 9, replace=False).tolist())
+    data = [("m1", t, t, [None, 1.0, 2.0] if t in holes else values[t].tolist(), window, 0) for t in range(n)]
+    usable = [t for t in range(window, n) if not holes & set(range(t - window, t + 1))]
+    schema = "equipment_id string, seq bigint, tick bigint, values array<double>, window_size int, model_version bigint"
+    rows = spark.createDataFrame(data, schema).withColumns({"fit": F.col("seq").isin(usable), "prev": F.lit(None).cast("array<double>")})
+    good = values[[t for t in range(n) if t not in holes]]
+    norm = spark.createDataFrame([("m1", 0, ["continuous"] * 3, good.mean(0).tolist(), good.std(0).tolist())], "equipment_id string, model_version bigint, tag_type array<string>, norm_mean array<double>, norm_std array<double>")
+    z = (values - good.mean(0)) / good.std(0)
+    x = whole_window(z, usable, window)
+    want = np.linalg.lstsq(x, z[usable], rcond=None)[0].T
+    for size in (5, 32, 1000):
+        got = np.array(fit_windows(rows, norm, size=size)[0].first()["coef"])
+        residual = z[usable] - x @ got.T
+        assert np.abs(x.T @ residual).max() < 1e-8 * len(usable) and np.allclose(got, want, atol=1e-6)
+
+
+def logits(spark, y, size=64, window=2):
+    """Logit weights of a binary tag beside a continuous one, and the regressors they belong to."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=len(y))
+    rows, config = series(spark, a, y, window=window)
+    training = trained(rows)
+    fitted = fit_models(training, config, "linear", size=size).first()
+    z = np.column_stack([(a - a.mean()) / a.std(), y])
+    return np.array(fitted["coef"])[1], whole_window(z, range(window, len(y)), window), np.array(y, float)[window:], fitted
+
+
+def test_logit_gradients_vanish(spark):
+    rng = np.random.default_rng(1)
+    y = [0.0, 1.0]
+    for _ in range(300):
+        y.append(float(rng.random() < (0.85 if y[-1] else 0.2)))
+    for size in (64, 4096):
+        beta, x, target, fitted = logits(spark, y, size)
+        p = 1 / (1 + np.exp(-x @ beta))
+        assert np.abs(x.T @ (target - p)).max() < 1e-6 * len(target) and fitted["tag_type"][1] == "binary"
+        assert np.isclose(fitted["err_mean"][1], np.abs(target - p).mean()) and fitted["err_mean"][1] < 0.45
+
+
+def test_logits_of_separable_and_constant_tags_are_finite(spark):
+    beta, x, target, fitted = logits(spark, [float(i % 2) for i in range(60)])
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert np.isfinite(beta).all() and np.abs(target - p).max() < 0.01
+    # One among the samples, but never among the targets.
+    beta, x, target, _ = logits(spark, [1.0] + [0.0] * 40)
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert np.isfinite(beta).all() and target.sum() == 0 and p.max() < 0.01
+
+
+def test_equations_of_dependent_columns_have_a_solution():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 2))
+    x = np.column_stack([np.ones(50), x, x[:, 0] * 2, np.full(50, 3.0)])
+    y = rng.normal(size=(50, 2))
+    got = solve_normal(x.T @ x, x.T @ y)
+    assert np.abs(x.T @ (y - x @ got)).max() < 1e-8 and got[4].tolist() == [0.0, 0.0]
+
+
+def test_window_scores_reach_back_over_states(spark):
+    """The first rows under a model are forecast from snapshots of the time before it."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 60))
+    rows, config = series(spark, a, b)
+    training = trained(rows.filter("seq < 40"))
+    models = fit_models(training, config, "linear")
+    live = rows.withColumn("model_version", F.when(F.col("seq") >= 40, F.lit(0)).cast("long")).withColumn("target", F.col("seq") >= 40)
+    scores = score_rows(live, models, config, size=8)
+    assert scores.count() == 20 and scores.select("tick").distinct().count() == 20
+    assert pack_windows(live.filter("seq < 40"), 8).isEmpty()
 
 
 def test_constant_tag_is_forecast_by_its_mean(spark):
@@ -163,12 +251,12 @@ def test_scores_follow_tags_not_positions(spark, tmp_path):
         for kind in (path, linear):
             models = model_load(spark, kind, newest=False, linear=kind == linear)
             assert models.count() == 1
-            got = score_rows(training.filter("usable"), models, config).orderBy("tick").collect()
+            got = score_rows(training.withColumn("target", F.col("usable")), models, config).orderBy("tick").collect()
             scores.setdefault(kind, []).append([(r["tick"], round(r["anomaly_score"], 9), r["top_deviant_tag"]) for r in got])
     for first, second in scores.values():
         assert first == second and len(first) == 57
     for other in (config_row("m1", ("a", "b"), window=4), config_row("m1", ("a", "b", "c"), window=3)):
-        assert score_rows(training.filter("usable"), models, config_table(spark, other)).isEmpty()
+        assert score_rows(training.withColumn("target", F.col("usable")), models, config_table(spark, other)).isEmpty()
 
 
 def test_risk_model_learns_and_survives_storage(spark, tmp_path):
