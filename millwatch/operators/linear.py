@@ -24,7 +24,7 @@ KEY_SCHEMA = "equipment_id string, model_version bigint"
 #: Weight of the squared coefficients beside the mean log loss; it keeps the logits of separable and constant tags finite.
 RIDGE = 1e-8
 #: A logit is fitted once no mean gradient exceeds this.
-GRADIENT = 1e-9
+GRADIENT = 1e-12
 MOST_ROUNDS = 60
 #: Sums of curvature that a task holds before it passes them on, in cells.
 HELD_CELLS = 8_000_000

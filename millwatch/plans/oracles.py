@@ -118,6 +118,76 @@ best AS (
     PARTITION BY {keys}, tick ORDER BY z DESC, CASE WHEN tag_type = 'binary' THEN 1 ELSE 0 END, pos) = 1)"""
 
 
+def _window_wide(window: int = 6, tags: int = 5, rounds: int = 30, ridge: float = 1e-8) -> list[str]:
+    """Weights ``wide(equipment_id, pos, tag_type, beta)`` of the window-wide forecaster, by elimination; logits by Newton steps from zero."""
+    size = 1 + window * tags
+    dot = lambda b: f"list_sum(list_transform(list_zip(x, {b}), lambda p: p[1] * p[2]))"
+    step = (
+        "list_transform(m, lambda r, i: CASE WHEN abs(m[k][k]) < 1e-9 THEN r WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) "
+        "ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)"
+    )
+
+    def solved(name: str, system: str, keys: str) -> str:
+        return f"""{name} AS (
+  SELECT {keys}, 1 AS k, m FROM {system}
+  UNION ALL SELECT {keys}, k + 1, {step} FROM {name} WHERE k <= {size})"""
+
+    parts = [
+        f"""zv AS MATERIALIZED (
+  SELECT equipment_id, seq, bool_and(fit) AS fit, list((value - norm_mean) / norm_std ORDER BY pos) AS z
+  FROM trn JOIN norm USING (equipment_id, model_version, tag, pos) GROUP BY equipment_id, seq),
+xs AS MATERIALIZED (
+  SELECT equipment_id, seq, z AS y, x FROM (
+    SELECT *, list_concat([1::DOUBLE], {", ".join(f"lag(z, {i}) OVER w" for i in range(1, window + 1))}) AS x
+    FROM zv WINDOW w AS (PARTITION BY equipment_id ORDER BY seq)) WHERE fit),
+cells AS MATERIALIZED (
+  SELECT equipment_id, i, list(s ORDER BY j) AS r FROM (
+    SELECT equipment_id, i, j, sum(x[i] * CASE WHEN j <= {size} THEN x[j] ELSE y[j - {size}] END) AS s
+    FROM xs, range(1, {size + 1}) a(i), range(1, {size + tags + 1}) b(j) GROUP BY ALL) GROUP BY ALL),
+plain AS (SELECT equipment_id, list(r ORDER BY i) AS m FROM cells GROUP BY ALL)""",
+        solved("lines_gj", "plain", "equipment_id"),
+        f"""b0 AS MATERIALIZED (
+  SELECT equipment_id, pos, list_transform(range({size}), lambda v: 0::DOUBLE) AS beta FROM norm WHERE tag_type = 'binary')""",
+    ]
+    for i in range(rounds):
+        parts.append(
+            f"""p{i} AS MATERIALIZED (
+  SELECT equipment_id, pos, x, y[pos + 1] AS t, 1 / (1 + exp(-{dot("beta")})) AS p FROM xs JOIN b{i} USING (equipment_id)),
+h{i} AS (
+  SELECT equipment_id, pos, i, j, avg(CASE WHEN j <= {size} THEN x[i] * x[j] * p * (1 - p) ELSE x[i] * (p - t) END) AS s
+  FROM p{i}, range(1, {size + 1}) a(i), range(1, {size + 2}) b(j) GROUP BY ALL),
+s{i} AS MATERIALIZED (
+  SELECT equipment_id, pos, list(r ORDER BY i) AS m FROM (
+    SELECT equipment_id, pos, i,
+      list(s + CASE WHEN j = i THEN {ridge}::DOUBLE WHEN j > {size} THEN {ridge}::DOUBLE * beta[i] ELSE 0 END ORDER BY j) AS r
+    FROM h{i} JOIN b{i} USING (equipment_id, pos) GROUP BY ALL) GROUP BY ALL)"""
+        )
+        parts.append(solved(f"g{i}", f"s{i}", "equipment_id, pos"))
+        parts.append(
+            f"""b{i + 1} AS MATERIALIZED (
+  SELECT equipment_id, pos, list_transform(beta, lambda v, i: v - m[i][{size + 1}]) AS beta
+  FROM g{i} JOIN b{i} USING (equipment_id, pos) WHERE k > {size})"""
+        )
+    parts.append(
+        f"""wide AS MATERIALIZED (
+  SELECT equipment_id, tag, pos, tag_type,
+    CASE WHEN tag_type = 'binary' THEN beta
+      ELSE list_transform(range({size}), lambda i: CASE WHEN abs(m[i + 1][i + 1]) < 0.5 THEN 0 ELSE m[i + 1][{size + 1} + pos] END) END AS beta
+  FROM norm JOIN lines_gj USING (equipment_id) LEFT JOIN b{rounds} USING (equipment_id, pos) WHERE k > {size})"""
+    )
+    return parts
+
+
+WIDE_SCORE = """wide_err AS MATERIALIZED (
+  SELECT equipment_id, pos, tag_type, seq, abs(y[pos + 1] - CASE WHEN tag_type = 'binary' THEN 1 / (1 + exp(-f)) ELSE f END) AS error
+  FROM (
+    SELECT equipment_id, pos, tag_type, seq, y, list_sum(list_transform(list_zip(x, beta), lambda p: p[1] * p[2])) AS f
+    FROM xs JOIN wide USING (equipment_id))),
+wide_spread AS (
+  SELECT equipment_id, pos, avg(error) AS err_mean, greatest(stddev_pop(error), 1e-3::DOUBLE, 0.05::DOUBLE * abs(avg(error))) AS err_std
+  FROM wide_err GROUP BY ALL)"""
+
+
 LIVE_ALL = "live AS (SELECT * FROM trn WHERE usable)"
 
 CONTROL = f"""cm AS (
@@ -348,8 +418,13 @@ SQL: dict[str, str] = {
   TRUE AS better_than_chance, TRUE AS has_trees FROM rolled""",
     "risk_score": _with(*FEAT)
     + "SELECT series_id, minute, CAST(target AS BIGINT) AS target, TRUE AS is_probability, TRUE AS alarm_follows FROM rolled",
-    "forecast_fit_linear": _with(*MODEL)
-    + "SELECT equipment_id, tag, count(*) AS n_windows, TRUE AS orthogonal FROM trn WHERE fit GROUP BY ALL",
+    "forecast_fit_linear": _with(*MODEL, *_window_wide()).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT w.equipment_id, tag, tag_type, CAST(ceil(i / 5) AS INTEGER) AS lag,
+  CASE WHEN i > 0 THEN {TAG_LIST}[(i - 1) % 5 + 1] END AS source, round(beta[i + 1], 4) AS weight
+FROM wide w, range(31) r(i)""",
+    "anomaly_score_linear": _with(*MODEL, *_window_wide(), WIDE_SCORE).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT equipment_id, tick, round(max((error - err_mean) / err_std), 4) AS anomaly_score
+FROM wide_err JOIN wide_spread USING (equipment_id, pos) JOIN kept USING (equipment_id, seq) GROUP BY ALL""",
     "message_scan": _with(EV, MSG)
     + "SELECT topic, CAST(coalesce(strlen(payload), 3) AS BIGINT) AS payload_bytes, "
     'epoch_us(received_at) AS received_at, "offset" FROM msg',

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.functions.scalars import floored_std, normalized, parse_command, parse_duration
 from millwatch.operators import control, inspection, model, parse, risk, scoring, snapshots
-from millwatch.operators.linear import z_values
 from millwatch.operators.train_hook import train_hook
 from millwatch.plans.monitor import Settings, fit_models, monitor, score_rows, windowed_snapshots
 from millwatch.session import configure, scratch_path, stage
@@ -381,24 +380,30 @@ def forecast_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def forecast_fit_linear(spark: SparkSession, sf: str) -> DataFrame:
-    """Least squares on all tags, held to its normal equations: residuals sum to nothing against every regressor."""
-    config = volume.equipment_config(spark, sf)
-    training = _training(spark, sf)
-    fitted = fit_models(training, config, "linear")
-    rows = training.filter("fit").select(*model.VERSION, "values", "prev").join(fitted, model.VERSION)
-    x = F.concat(F.array(F.lit(1.0)), z_values("prev"))
-    residual = F.transform(
-        z_values("values"),
-        lambda y, i: y - F.aggregate(F.zip_with(F.get("coef", i), "x", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p),
-    )
-    cells = rows.withColumn("x", x).withColumn("r", residual).select("equipment_id", "tags", "x", F.posexplode("r").alias("pos", "r"))
-    products = cells.select("equipment_id", F.get("tags", F.col("pos")).alias("tag"), F.posexplode("x").alias("at", "v"), "r")
-    sums = products.groupBy("equipment_id", "tag", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * F.col("r")).alias("s"))
-    return sums.groupBy("equipment_id", "tag").agg(
-        F.max("n").alias("n_windows"), F.bool_and(F.abs("s") < 1e-6 * F.col("n") + 1e-6).alias("orthogonal")
+    """Every weight of the window-wide forecaster: offset (lag 0) and one per lag and tag, of lines and logits."""
+    fitted = fit_models(_training(spark, sf), volume.equipment_config(spark, sf), "linear")
+    lines = fitted.select("equipment_id", "tags", "tag_type", F.posexplode("coef").alias("pos", "line"))
+    cells = lines.select("equipment_id", "tags", "tag_type", "pos", F.posexplode("line").alias("at", "weight"))
+    source = F.when(F.col("at") > 0, F.get("tags", (F.col("at") - 1) % F.size("tags")))
+    return cells.select(
+        "equipment_id",
+        F.get("tags", F.col("pos")).alias("tag"),
+        F.get("tag_type", F.col("pos")).alias("tag_type"),
+        F.ceil(F.col("at") / F.size("tags")).cast("int").alias("lag"),
+        source.alias("source"),
+        F.round("weight", 4).alias("weight"),
     )
 
 
+@query
+def anomaly_score_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all usable snapshots under the window-wide forecaster."""
+    config, training = volume.equipment_config(spark, sf), _training(spark, sf)
+    fitted = stage(fit_models(training, config, "linear"), "linear-models")
+    scored = score_rows(training.withColumn("target", F.col("usable")), fitted, config)
+    return rounded(scored, 4, "anomaly_score").select("equipment_id", "tick", "anomaly_score")
+
+
 def _errors(spark: SparkSession, sf: str) -> DataFrame:
     training, fitted = _models(spark, sf)
     rows = training.filter("fit").select(*model.VERSION, "tick", "values", "prev")

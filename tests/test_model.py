@@ -8,6 +8,7 @@ from millwatch.operators.risk import ROUNDS, best_round, risk_score, risk_train
 from millwatch.operators.snapshots import asof_snapshot
 from millwatch.operators.train_hook import train_hook
 from millwatch.plans.monitor import Settings, fit_models, score_rows, windowed_snapshots
+from millwatch.session import stage
 from millwatch.sources.models import model_load, model_save
 from tests.conftest import config_row, config_table, readings_table
 
@@ -50,7 +51,7 @@ def test_binary_tags_have_no_normalization_and_ghosts_are_named(spark):
 def series(spark, a, b, window=3):
     rows = [("m1", t, i, float(v)) for i, pair in enumerate(zip(a, b)) for t, v in zip("ab", pair)]
     config = config_table(spark, config_row(window=window))
-    return windowed_snapshots(readings_table(spark, rows), config, STAGED), config
+    return stage(windowed_snapshots(readings_table(spark, rows), config, STAGED), "series"), config
 
 
 def trained(rows):
@@ -87,7 +88,7 @@ def test_linear_forecaster_equals_least_squares_and_scores(spark, tmp_path):
     b = np.concatenate([[0.0] * 3, 2 * a[:-3]]) + 0.01 * rng.normal(size=90)
     rows, config = series(spark, a, b)
     training = trained(rows)
-    norm = model.pack_model(model.fit_forecaster(training))
+    norm = stage(model.pack_model(model.fit_forecaster(training)), "norm")
     z = np.column_stack([(v - v.mean()) / v.std() for v in (a, b)])
     want = np.linalg.lstsq(whole_window(z, range(3, 90), 3), z[3:], rcond=None)[0].T
     # Small buckets: the sums of several tasks must add up.
@@ -156,7 +157,7 @@ def test_logit_gradients_vanish(spark):
 
 
 def test_logits_of_separable_and_constant_tags_are_finite(spark):
-    beta, x, target, fitted = logits(spark, [float(i % 2) for i in range(60)])
+    beta, x, target, fitted = logits(spark, [float(i % 2) for i in range(40)])
     p = 1 / (1 + np.exp(-x @ beta))
     assert np.isfinite(beta).all() and np.abs(target - p).max() < 0.01
     # One among the samples, but never among the targets.
@@ -241,7 +242,7 @@ def test_scores_follow_tags_not_positions(spark, tmp_path):
     scores = {}
     for order in (("a", "b"), ("b", "a")):
         config = config_table(spark, config_row("m1", order, window=3))
-        training = trained(windowed_snapshots(readings_table(spark, rows), config, STAGED))
+        training = trained(stage(windowed_snapshots(readings_table(spark, rows), config, STAGED), "series"))
         if not scores:
             path = str(tmp_path / "models")
             for _ in range(2):  # a repeated save is one model
