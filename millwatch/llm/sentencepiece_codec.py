@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 #: The public vocabulary the queries use; any SentencePiece BPE model with byte fallback will do.
 MODEL = os.environ.get("LLM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Words and piece pairs remembered by a task; the store starts anew when it is full.
-REMEMBERED = 500_000
+#: Words, and piece pairs, in one generation of a task's store; it holds two, and a full one replaces the older.
+REMEMBERED = 400_000
 
 
 class Vocabulary:
@@ -172,33 +172,45 @@ class Codec:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Where no piece crosses a blank or a line feed, all paths meet there: each word is searched alone.
         plain = not self.vocab.spans_spaces and not self.vocab.holds_newline
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if plain else r"(?s).+")
 
-    def _remembered(self, text: str, ids: list[int]) -> bytes:
-        found = np.array(ids, np.int32).tobytes()
+    def _remember(self, text: str, found: bytes) -> bytes:
         if len(text) <= 64:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[text] = found
         return found
 
     def _searched(self, text: str) -> bytes:
         search, ids = StreamingViterbi(self.vocab), []
-        for pieces in (search.feed(text), search.finish()):
-            for piece in pieces:
+        if len(text) <= self.vocab.longest:
+            search.text = text  # within one window: nothing to commit before the end
+        else:
+            for piece in search.feed(text):
                 ids += self.vocab.ids(piece)
-        return self._remembered(text, ids)
+        for piece in search.finish():
+            ids += self.vocab.ids(piece)
+        return np.array(ids, np.int32).tobytes()
 
     def _segment(self, word: str) -> bytes:
         """Search a word; at boundaries that every segmentation has, its parts are searched or known alone."""
-        inside, known, parts, at = self.vocab.inside, self.known, [], 0
+        found = self.older.get(word)
+        if found is not None:
+            return self._remember(word, found)
+        inside, known, older, parts, at = self.vocab.inside, self.known, self.older, [], 0
         for i in range(1, len(word) + 1):
             if i == len(word) or word[i - 1 : i + 1] not in inside:
                 part, at = word[at:i], i
-                parts.append(known.get(part) or (self._searched(part) if len(part) > 1 else self._remembered(part, self.vocab.ids(part))))
-        return parts[0] if len(parts) == 1 else b"".join(parts)
+                found = known.get(part) or older.get(part)
+                if found is None:
+                    found = self._searched(part) if len(part) > 1 else np.array(self.vocab.ids(part), np.int32).tobytes()
+                    if len(part) < len(word):
+                        self._remember(part, found)
+                parts.append(found)
+        return self._remember(word, parts[0] if len(parts) == 1 else b"".join(parts))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
