@@ -102,6 +102,27 @@ def train_attempts(
     )
 
 
+def unseen_tags(attempts: DataFrame, snapshots: DataFrame, config: DataFrame, size: int = BUCKET_TICKS) -> DataFrame:
+    """Attempts with ``unseen_tags``: the configured tags, in their order, without any value among the samples of a train that found no full window.
+
+    Null for attempts that succeed or have too few samples. A tag is unseen where its last value before the train is older than the
+    first sample the train may use, so each tag needs one lookup of a snapshot number, and no range of rows is counted.
+    """
+    keys = [*KEYS, "pos"]
+    refused = attempts.filter("reason = 'no full window to train on'").select(*KEYS, "episode", "tick", "fit_lo")
+    probes = refused.join(config.select(*KEYS, F.posexplode("tags").alias("pos", "tag")), KEYS)
+    cells = snapshots.select(*KEYS, "tick", "seq", F.posexplode("values").alias("pos", "value"))
+    seen = cells.filter(F.col("value").isNotNull()).select(*keys, "tick", F.col("seq").alias("last_seen"))
+    found = asof_last(probes, seen, keys, "tick", ["last_seen"], size, inclusive=False)
+    missing = found.filter(F.col("last_seen").isNull() | (F.col("last_seen") < F.col("fit_lo")))
+    named = missing.groupBy(*KEYS, "episode", "tick").agg(F.sort_array(F.collect_list(F.struct("pos", "tag"))).alias("m"))
+    named = named.select(*KEYS, "episode", "tick", F.col("m.tag").alias("unseen_tags"))
+    none = F.when(F.col("reason") == "no full window to train on", F.array().cast("array<string>"))
+    return attempts.join(named, [*KEYS, "episode", "tick"], "left").withColumn("unseen_tags", F.coalesce("unseen_tags", none)).select(
+        *attempts.columns, "unseen_tags"
+    )
+
+
 def train_gate(counts: DataFrame, config: DataFrame) -> DataFrame:
     """May a train start with this many samples? ``counts`` needs ``n_samples``."""
     return counts.join(config.select("equipment_id", "min_samples"), KEYS).withColumn(

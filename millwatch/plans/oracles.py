@@ -494,6 +494,20 @@ FROM events GROUP BY 1""",
     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS alarm FROM events""",
     "train_hook": _with(*SNAP)
     + "SELECT equipment_id, count(*) AS n, CAST(pos AS INTEGER) AS pos, round(avg(value), 6) AS level FROM sn GROUP BY equipment_id, pos",
+    "train_attempts": _with(EV, RD, PTS, _grid(" || ['ghost']"), CONTROL)
+    + """SELECT f.equipment_id, e.episode, f.tick, f.n AS n_samples, reason,
+  CASE WHEN reason LIKE 'no full%' THEN coalesce(string_agg(u.tag, ',' ORDER BY u.pos) FILTER (u.seen = 0), '') END AS unseen_tags
+FROM (
+  SELECT *, CASE WHEN n < 48 THEN 'too few samples'
+    WHEN coalesce(newest_usable - 6, -1) < fit_lo THEN 'no full window to train on' END AS reason
+  FROM found WHERE since IS DISTINCT FROM tick QUALIFY row_number() OVER (PARTITION BY equipment_id, tick ORDER BY ord) = 1) f
+JOIN eps e ON e.equipment_id = f.equipment_id AND e.start IS NOT DISTINCT FROM f.since
+LEFT JOIN (
+  SELECT c.equipment_id, c.tick AS at, s.tag, s.pos, count(s.value) AS seen
+  FROM (SELECT DISTINCT equipment_id, tick, fit_lo, fit_hi FROM found WHERE since IS DISTINCT FROM tick) c
+  JOIN sn s ON s.equipment_id = c.equipment_id AND s.seq >= c.fit_lo AND s.seq < c.fit_hi GROUP BY ALL) u
+  ON u.equipment_id = f.equipment_id AND u.at = f.tick
+GROUP BY f.equipment_id, e.episode, f.tick, f.n, f.reason""",
     "control_intervals": _with(*CTL)
     + "SELECT equipment_id, episode, state, valid_from, valid_to, model_version, fit_lo, fit_hi FROM ctl",
     "state_asof": _with(*CTL)
@@ -534,6 +548,11 @@ FROM (SELECT equipment_id, CAST(equipment_id[3:] AS INTEGER) AS n FROM ev)""",
     + f"SELECT equipment_id, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
     "stream_pipeline": _with(*STREAMED, CONTROL, *MONITOR)
     + f"SELECT equipment_id, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
+    "stream_silent_ticks": _with(EV, RD + f""",
+heard AS (
+  SELECT * FROM rd WHERE CAST(substr(equipment_id, 3) AS INTEGER) % 3 = 0
+    OR epoch_us(ts) < (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM rd))""", PTS.replace("FROM rd", "FROM heard"), _grid(end=f"(SELECT max(epoch_us(ts)) // {HOUR_US} FROM rd)"))
+    + "SELECT equipment_id, tick, tag, value FROM sn",
     "stream_snapshots": _with(*STREAMED) + "SELECT equipment_id, tick, tag, value, seq, usable FROM sn",
     "stream_control": _with(*STREAMED, CONTROL)
     + "SELECT equipment_id, episode, state, valid_from, valid_to, model_version, fit_lo, fit_hi FROM ctl",
@@ -548,6 +567,9 @@ FROM (SELECT equipment_id, CAST(equipment_id[3:] AS INTEGER) AS n FROM ev)""",
 FROM rolled JOIN ewma USING (series_id, minute)
 JOIN (SELECT series_id, max(minute) AS done FROM cnt
   WHERE minute < (SELECT max(minute) FROM cnt) GROUP BY 1) USING (series_id) WHERE minute <= done""",
+    "stream_minute_changes": _with(*FEAT, EWMA)
+    + """SELECT series_id, minute, ng, ng_sum_30, ng_mean_30, ng_std_30, ng_max_30, ng_slope_30, ewma_gap
+FROM rolled JOIN ewma USING (series_id, minute)""",
     "stream_minute_risk": _with(*FEAT, EWMA)
     + """SELECT series_id, minute, TRUE AS is_probability, TRUE AS alarm_follows
 FROM rolled JOIN ewma USING (series_id, minute)

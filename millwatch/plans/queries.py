@@ -503,6 +503,17 @@ def train_gate(spark: SparkSession, sf: str) -> DataFrame:
     return control.train_gate(counts, volume.equipment_config(spark, sf))
 
 
+@query
+def train_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Why each train is refused, where every equipment is configured with one more tag than it sends."""
+    config, log = volume.equipment_config(spark, sf), _commands(spark, sf)
+    config = config.withColumn("tags", F.concat("tags", F.array(F.lit("ghost"))))
+    rows = stage(windowed_snapshots(volume.readings(spark, sf), config, SETTINGS), "windows")
+    attempts = stage(control.train_attempts(rows, log, config), "attempts")
+    named = control.unseen_tags(attempts, rows, config)
+    return named.select("equipment_id", "episode", "tick", "n_samples", "reason", F.array_join("unseen_tags", ",").alias("unseen_tags"))
+
+
 @query
 def control_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return _intervals(spark, sf)[1]
@@ -708,6 +719,24 @@ def stream_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return flat.join(usable, ["equipment_id", "tick"])
 
 
+@query
+def stream_silent_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of a stream in which two of three machines fall silent half-way, while beats of the clock go on."""
+    root = scratch_path(spark, "silent-stream")
+    config = volume.equipment_config(spark, sf)
+    rows = volume.readings(spark, sf).withColumn("received_at", F.col("ts"))
+    lo, hi = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    heard = (F.substring("equipment_id", 3, 10).cast("int") % 3 == 0) | (F.unix_micros("ts") < (lo + hi) // 2)
+    sent = telemetry.with_heartbeats(rows.filter(heard), rows.select("received_at"))
+    _run_in_parts(
+        sent,
+        "received_at",
+        lambda stream, _: telemetry.stream_snapshots(stream, lambda: config, root, 0, availableNow=True),
+    )
+    flat = snapshots.long_form(BatchTables(spark, root).all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA), config)
+    return flat.select("equipment_id", "tick", "tag", "value")
+
+
 @query
 def stream_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the live stream under models fitted beforehand on the whole history."""
@@ -790,6 +819,22 @@ def stream_minute_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows, 6, "ng_mean_30", "ng_std_30", "ng_slope_30", "ewma_gap")
 
 
+@query
+def stream_minute_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third inspection arrives one part late and corrects what was given out; the last revisions are the batch table."""
+    root = scratch_path(spark, "change-stream")
+    labelled = _labelled(spark, sf).select("series_id", "inspected_at", "is_ng")
+    labelled = labelled.withColumn("ord", F.crc32(F.concat("series_id", F.col("inspected_at").cast("string")).cast("binary")))
+    _run_in_parts(
+        labelled,
+        "inspected_at",
+        lambda rows, span: minutes.stream_minute_changes(rows, root, 2 * span // 60_000 + 1, availableNow=True),
+        shuffled=True,
+    )
+    rows = minutes.latest_features(BatchTables(spark, root)).drop("revision")
+    return rounded(rows, 6, "ng_mean_30", "ng_std_30", "ng_slope_30", "ewma_gap")
+
+
 @query
 def stream_minute_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Risk and alarm of each finished minute of the stream, under a model trained on the whole history."""

@@ -61,10 +61,81 @@ def feature_step(counts: DataFrame, tables: BatchTables, batch: int, size: int =
     reach = ewma_halo() + EWMA_BLOCK
     ends = spans.select("series_id", (F.col("hi") - reach).alias("from"))
     kept = tail.unionByName(emitted.select("series_id", "minute", "ng", "first")).join(ends, "series_id")
-    tables.write(kept.filter(F.col("minute") > F.col("from")).drop("from"), "tail", batch)
+    tables.write_state(kept.filter(F.col("minute") > F.col("from")).drop("from"), "tail", batch)
     return emitted.drop("first")
 
 
+CHANGE_SCHEMA = FEATURE_SCHEMA + ", revision INT"
+LATE_SCHEMA = "series_id STRING, minute BIGINT, ng BIGINT"
+
+
+def change_step(labelled: DataFrame, tables: BatchTables, batch: int, horizon: int, size: int = BUCKET_TICKS) -> DataFrame:
+    """Features of every minute that the new inspections change, as replacements of what was given out before.
+
+    An inspection that comes late changes its own minute and all later ones that look back on it, so the minutes from the earliest
+    touched one on are computed anew and given out with ``revision``, the batch number. ``horizon`` is how many minutes before its
+    series' newest one an inspection may lie; a later one goes to the ``late`` table with what it would have added, and changes nothing.
+    The state holds the counts of the minutes that may change still and of those that move their features.
+    """
+    minute = F.floor(F.unix_seconds("inspected_at") / F.lit(60))
+    counts = labelled.withColumn("minute", minute).groupBy("series_id", "minute").agg(F.sum("is_ng").cast("long").alias("ng"))
+    state = tables.read("minutes", batch - 1, TAIL_SCHEMA)
+    known = state.groupBy("series_id").agg(F.max("minute").alias("was"), F.min("first").alias("was_first"))
+    # The watermark of a series moves between batches only, so the order of rows within one does not matter.
+    marked = tables.write_state(counts.filter("series_id IS NOT NULL AND minute IS NOT NULL").join(known, "series_id", "left"), "touched", batch)
+    late = F.coalesce(F.col("minute") <= F.col("was") - horizon, F.lit(False))
+    tables.write(marked.filter(late).select("series_id", "minute", "ng"), "late", batch)
+    new = marked.filter(~late)
+    touched = new.groupBy("series_id").agg(
+        F.min("minute").alias("from"), F.least(F.min("minute"), F.min("was_first")).alias("first")
+    )
+    merged = state.select("series_id", "minute", "ng").unionByName(new.select("series_id", "minute", "ng"))
+    merged = merged.groupBy("series_id", "minute").agg(F.sum("ng").alias("ng"))
+    old = known.select("series_id", F.col("was_first"))
+    firsts = touched.join(old, "series_id", "full").select("series_id", "from", F.coalesce("first", "was_first").alias("first"))
+    merged = tables.write_state(merged.join(firsts, "series_id"), "merged", batch)
+    rows = merged.filter(F.col("from").isNotNull())
+    spans = rows.groupBy("series_id").agg(F.min("minute").alias("lo"), F.max("minute").alias("hi"))
+    grid = minute_grid(rows.select("series_id", "minute", "ng"), spans, size, back=ewma_halo()).join(touched, "series_id")
+    grid = spread(grid, ["series_id"]).withColumn("lo", F.col("first"))
+    featured = own_rows(with_features(grid), "minute", size).filter(F.col("minute") >= F.col("from"))
+    columns = [c.split()[0] for c in FEATURE_SCHEMA.split(", ")]
+    emitted = tables.write(
+        featured.withColumn("ng", F.col("ng").cast("long")).select(*columns, F.lit(batch).alias("revision")), "changes", batch
+    )
+    reach = horizon + ewma_halo() + EWMA_BLOCK
+    ends = merged.groupBy("series_id").agg((F.max("minute") - reach).alias("end"))
+    kept = merged.join(ends, "series_id").filter(F.col("minute") > F.col("end"))
+    tables.write_state(kept.select("series_id", "minute", "ng", "first"), "minutes", batch)
+    return emitted
+
+
+def latest_features(tables: BatchTables) -> DataFrame:
+    """The features that hold after all batches so far: of each minute the newest revision."""
+    rows = tables.all_batches("changes", CHANGE_SCHEMA)
+    values = [c.split()[0] for c in CHANGE_SCHEMA.split(", ")][2:]
+    newest = rows.groupBy("series_id", "minute").agg(F.max_by(F.struct(*values), "revision").alias("v"))
+    return newest.select("series_id", "minute", "v.*")
+
+
+def stream_minute_changes(
+    labelled: DataFrame,
+    root: str,
+    horizon: int,
+    on_changes: Callable[[DataFrame, BatchTables, int], object] | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Start the feature stream with corrections: minutes are given out at once and replaced when late inspections arrive, see ``change_step``."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        tables = BatchTables(rows.sparkSession, root)
+        emitted = change_step(rows, tables, batch, horizon)
+        if on_changes is not None:
+            on_changes(emitted, tables, batch)
+
+    return labelled.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(**trigger).start()
+
+
 def risk_step(model: PipelineModel) -> Callable[[DataFrame, BatchTables, int], DataFrame]:
     """For ``on_features``: risk and alarm of the newly finished minutes, written as the ``risk`` table."""
 

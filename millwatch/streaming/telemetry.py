@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millwatch.operators.buckets import BUCKET_TICKS
 from millwatch.functions.scalars import tick_of
-from millwatch.operators.control import control_intervals, state_asof, train_attempts
+from millwatch.operators.control import control_intervals, state_asof, train_attempts, unseen_tags
 from millwatch.operators.model import VERSION
 from millwatch.operators.scoring import ALARM_THRESHOLD, CONFIRM_TICKS, debounce, result_envelope
 from millwatch.operators.snapshots import (
@@ -27,6 +27,7 @@ from millwatch.operators.snapshots import (
     with_window_state,
 )
 from millwatch.plans.monitor import fit_models, score_rows
+from millwatch.session import stage
 from millwatch.sources.models import MODEL_SCHEMA
 from millwatch.streaming.state import BatchTables
 
@@ -41,6 +42,10 @@ COMMAND_SCHEMA = "equipment_id STRING, ts TIMESTAMP, command STRING, ord BIGINT"
 SCORE_SCHEMA = "equipment_id STRING, model_version BIGINT, tick BIGINT, anomaly_score DOUBLE, top_deviant_tag STRING"
 ALARM_SCHEMA = SCORE_SCHEMA + ", alarm BOOLEAN"
 ENVELOPE_SCHEMA = "equipment_id STRING, tick BIGINT, topic STRING, payload STRING"
+ATTEMPT_SCHEMA = (
+    "equipment_id STRING, episode BIGINT, tick BIGINT, n_samples BIGINT, fit_lo BIGINT, fit_hi BIGINT, reason STRING, "
+    "unseen_tags ARRAY<STRING>"
+)
 INTERVAL_SCHEMA = (
     "equipment_id STRING, episode BIGINT, state STRING, valid_from BIGINT, valid_to BIGINT, "
     "model_version BIGINT, fit_lo BIGINT, fit_hi BIGINT"
@@ -69,6 +74,24 @@ def newest_stamps(readings: DataFrame, before: DataFrame, config: DataFrame) ->
     return clocks.select("equipment_id", F.col("newest_us").alias("was_us"), F.greatest("newest_us", "seen_us").alias("now_us"))
 
 
+def heartbeats(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A stream of ``received_at``, one row per beat of the wall clock."""
+    beats = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return beats.select(F.col("timestamp").alias("received_at"))
+
+
+def with_heartbeats(readings: DataFrame, beats: DataFrame) -> DataFrame:
+    """Readings with rows that carry nothing but a time of receipt.
+
+    A micro-batch runs when rows arrive, and clocks move with the newest receipt. So with beats in the stream the ticks of
+    a machine, or of a whole line, that fell silent still close: values are held, snapshots scored, alarms counted and commands
+    applied, as on a line that delivers.
+    """
+    if "received_at" not in readings.columns:
+        raise ValueError("heartbeats need readings that carry received_at")
+    return readings.unionByName(beats.select("received_at"), allowMissingColumns=True)
+
+
 def snapshot_step(
     readings: DataFrame,
     config: DataFrame,
@@ -82,7 +105,7 @@ def snapshot_step(
     A change point of a closed tick comes too late: it goes to the ``late`` table and changes nothing else.
     """
     clocks = newest_stamps(readings, tables.read("clock", batch - 1, CLOCK_SCHEMA), config)
-    clocks = tables.write(clocks, "clocks", batch)
+    clocks = tables.write_state(clocks, "clocks", batch)
     step = F.col("resample_interval_ms").cast("long") * 1000
 
     def closed(us: str) -> Column:
@@ -93,7 +116,7 @@ def snapshot_step(
     new = change_points(readings, config)
     pending = tables.read("pending", batch - 1, POINT_SCHEMA.format(at=dict(new.dtypes)["at"]))
     held = tables.read("held", batch - 1, HELD_SCHEMA)
-    points = tables.write(
+    points = tables.write_state(
         new.unionByName(pending)
         .groupBy("equipment_id", "pos", "tick")
         .agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
@@ -105,7 +128,7 @@ def snapshot_step(
     tables.write(points.filter(late).select("equipment_id", "pos", "tick"), "late", batch)
     points = points.filter(~late)
     ready = F.col("now").isNotNull() & (F.col("tick") <= F.col("now"))
-    tables.write(points.filter(~ready).drop("was", "now"), "pending", batch)
+    tables.write_state(points.filter(~ready).drop("was", "now"), "pending", batch)
     closing = held.unionByName(points.filter(ready).select(*held.columns))
     fresh = snapshot_grid(closing, timed, size, closed("now_us")).join(edges, "equipment_id")
     fresh = fresh.filter(F.col("was").isNull() | (F.col("tick") > F.col("was"))).drop("was", "now", "bucket")
@@ -128,12 +151,12 @@ def snapshot_step(
     last = emitted.unionByName(tail)
     top = last.groupBy("equipment_id").agg(F.max("seq").alias("top"))
     last = last.join(top, "equipment_id").filter(F.col("seq") > F.col("top") - F.col("window_size")).drop("top")
-    tables.write(last, "tail", batch)
+    tables.write_state(last, "tail", batch)
     last_value = closing.groupBy("equipment_id", "pos").agg(F.max_by("value", "tick").alias("value"))
-    tables.write(
+    tables.write_state(
         last_value.join(edges, "equipment_id").select("equipment_id", "pos", F.col("now").alias("tick"), "value"), "held", batch
     )
-    tables.write(clocks.select("equipment_id", F.col("now_us").alias("newest_us")).filter("newest_us IS NOT NULL"), "clock", batch)
+    tables.write_state(clocks.select("equipment_id", F.col("now_us").alias("newest_us")).filter("newest_us IS NOT NULL"), "clock", batch)
     return emitted
 
 
@@ -143,11 +166,13 @@ def stream_snapshots(
     root: str,
     delay_ms: int,
     on_snapshots: Callable[[DataFrame, BatchTables, int], object] | None = None,
+    beats: DataFrame | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start the snapshot stream. ``config`` is read again in each batch.
 
-    ``delay_ms`` is how long a tick waits for readings that are out of order.
+    ``delay_ms`` is how long a tick waits for readings that are out of order. With ``beats`` (see ``heartbeats``) ticks
+    close on a silent line too.
 
     ``on_snapshots`` gets the new snapshots of a batch, e.g. to score them.
     """
@@ -158,6 +183,7 @@ def stream_snapshots(
         if on_snapshots is not None:
             on_snapshots(emitted, tables, batch)
 
+    readings = readings if beats is None else with_heartbeats(readings, beats)
     return readings.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(**trigger).start()
 
 
@@ -191,7 +217,7 @@ def monitor_step(
     emitted = tables.write(alarms.select(*[c.split()[0] for c in ALARM_SCHEMA.split(", ")]), "alarms", batch)
     newest = W.partitionBy(*VERSION).orderBy(F.desc("tick"))
     kept = rows.drop("old").withColumn("r", F.row_number().over(newest)).filter(F.col("r") < confirm)
-    tables.write(kept.drop("r"), "recent", batch)
+    tables.write_state(kept.drop("r"), "recent", batch)
     return emitted
 
 
@@ -216,15 +242,19 @@ def control_step(
     touched = new.select("equipment_id").distinct()
     if new.isEmpty() and batch > 0:
         tables.write(tables.spark.createDataFrame([], MODEL_SCHEMA), "models", batch)
-        return tables.write(known, "intervals", batch)
+        tables.write(tables.spark.createDataFrame([], ATTEMPT_SCHEMA), "attempts", batch)
+        return tables.write_state(known, "intervals", batch)
     log = tables.all_batches("commands", COMMAND_SCHEMA, batch)
     if batch > 0:
         snapshots, log = (df.join(touched, "equipment_id", "left_semi") for df in (snapshots, log))
         changed = config.join(touched, "equipment_id", "left_semi")
     else:
         changed = config
-    spans = control_intervals(train_attempts(snapshots, log, changed, max_training, size), log, changed)
-    intervals = tables.write(spans.unionByName(known.join(changed, "equipment_id", "left_anti")), "intervals", batch)
+    attempts = stage(train_attempts(snapshots, log, changed, max_training, size), "attempts")
+    asked = attempts.join(new.filter("command = 'train'").select("equipment_id").distinct(), "equipment_id", "left_semi")
+    tables.write(unseen_tags(asked, snapshots, changed, size), "attempts", batch)
+    spans = control_intervals(attempts, log, changed)
+    intervals = tables.write_state(spans.unionByName(known.join(changed, "equipment_id", "left_anti")), "intervals", batch)
     won = intervals.join(changed, "equipment_id", "left_semi").filter("model_version IS NOT NULL AND state = 'CALIBRATING'")
     if batch > 0:
         fitted = tables.all_batches("models", MODEL_SCHEMA, batch - 1)
@@ -293,13 +323,18 @@ def stream_pipeline(
     delay_ms: int,
     collector: str,
     on_envelopes: Callable[[DataFrame, int], object] | None = None,
+    beats: DataFrame | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the whole job over a stream of readings; ``on_envelopes`` sends a batch's messages on."""
+    """Start the whole job over a stream of readings; ``on_envelopes`` sends a batch's messages on.
+
+    With ``beats`` (see ``heartbeats``) the job goes on while no reading arrives.
+    """
 
     def step(rows: DataFrame, batch: int) -> None:
         sent = pipeline_step(rows, commands(), config(), BatchTables(rows.sparkSession, root), batch, delay_ms, collector)
         if on_envelopes is not None:
             on_envelopes(sent, batch)
 
+    readings = readings if beats is None else with_heartbeats(readings, beats)
     return readings.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(**trigger).start()

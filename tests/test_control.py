@@ -11,6 +11,7 @@ from millwatch.operators.control import (
     state_table,
     train_attempts,
     train_gate,
+    unseen_tags,
 )
 from millwatch.operators.snapshots import asof_snapshot, number_snapshots, with_window_state
 from millwatch.session import stage
@@ -178,3 +179,15 @@ def test_damaged_sample_lines_are_skipped(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
     got = calibration.calibration_read(spark, str(tmp_path)).collect()
     assert [(r["ts"].timestamp(), r["values"]) for r in got] == [(at(0).timestamp(), {"a": 1.5, "b": None})]
+
+
+def test_a_refused_train_names_the_tags_it_never_saw(spark):
+    """Only values among the samples of the train's own episode count; tags come in the order of the config."""
+    config = config_table(spark, config_row(tags=("d", "a", "b", "c"), window=1))
+    rows = [("m1", "a", s, 1.0) for s in range(30)] + [("m1", "c", 2, 5.0), ("m1", "c", 3, None), ("m1", "b", 25, 1.0)]
+    log = [("m1", 10, "recalibrate"), ("m1", 5, "train"), ("m1", 12, "train"), ("m1", 10.5, "train"), ("m1", 28, "train")]
+    snaps, attempts, _ = intervals(spark, rows, log, config.withColumn("min_samples", F.lit(2)), size=4)
+    got = unseen_tags(attempts, snaps, config, size=4)
+    found = {r["tick"] - tick(0): (r["reason"], r["unseen_tags"]) for r in got.collect()}
+    refused = "no full window to train on"
+    assert found == {5: (refused, ["d", "b"]), 11: ("too few samples", None), 12: (refused, ["d", "b", "c"]), 28: (refused, ["d", "c"])}

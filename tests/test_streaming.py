@@ -1,4 +1,7 @@
+import os
 import random
+import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +127,101 @@ def test_minute_steps_equal_batch_features(spark, tmp_path, cuts):
     assert (got["minute"].to_numpy() == want["minute"].to_numpy()).all()
     for c in ("ng", *FEATURES):
         assert abs(got[c] - want[c]).max() < 1e-9, c
+
+
+def test_beats_close_the_ticks_of_a_silent_line(spark, plant, tmp_path):
+    """No reading arrives after the first batch, but snapshots, scores and the alarm go on as in a batch job up to the last beat."""
+    rows, config = plant
+    received = F.col("ts").alias("received_at")
+    first = readings_table(spark, rows).select("*", received)
+    tables = BatchTables(spark, str(tmp_path))
+    beats = [readings_table(spark, [("m1", "a", s, 0.0)]).select(received) for s in (70, 70, 95)]
+    nothing = first.limit(0)
+    for n, part in enumerate([first, *(telemetry.with_heartbeats(nothing, b) for b in beats)]):
+        telemetry.snapshot_step(part, config, tables, n, 0)
+    got = tables.all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA)
+    whole = batch_windows(spark, rows, config, 95)
+    assert triples(got) == triples(whole)
+    models = fit_models(whole.withColumns({"model_version": F.lit(0).cast("long"), "fit": F.col("usable")}), config).cache()
+    live = whole.withColumn("model_version", F.lit(0).cast("long")).filter("usable")
+    want = debounce(score_rows(live, models, config), threshold=0.01, confirm=3)
+    for n in range(4):
+        telemetry.monitor_step(tables.read("snapshots", n, telemetry.SNAPSHOT_SCHEMA), None, models, config, tables, n, threshold=0.01, confirm=3)
+    alarms = tables.all_batches("alarms", telemetry.ALARM_SCHEMA)
+    assert sorted((r["equipment_id"], r["tick"], r["alarm"]) for r in alarms.collect()) == sorted((r["equipment_id"], r["tick"], r["alarm"]) for r in want.collect())
+    with pytest.raises(ValueError):
+        telemetry.with_heartbeats(readings_table(spark, rows), beats[0])
+
+
+def test_the_wall_clock_drives_a_dead_feed(spark, tmp_path):
+    """A running stream gives out ticks by the beats of Spark's rate source alone."""
+    config = config_table(spark, config_row(tags=("a",), window=1))
+    now = F.current_timestamp()
+    landed = readings_table(spark, [("m1", "a", 0, 7.0)]).withColumns({"ts": now, "received_at": now})
+    landed.write.parquet(str(tmp_path / "landed"))
+    source = spark.readStream.schema(landed.schema).parquet(str(tmp_path / "landed"))
+    root = str(tmp_path / "run")
+    query = telemetry.stream_snapshots(source, lambda: config, root, 0, beats=telemetry.heartbeats(spark), processingTime="1 second")
+    try:
+        deadline = time.time() + 60
+        found = []
+        while time.time() < deadline and len(found) < 5:
+            time.sleep(2)
+            found = BatchTables(spark, root).all_batches("snapshots", telemetry.SNAPSHOT_SCHEMA).collect()
+    finally:
+        query.stop()
+    ticks = sorted(r["tick"] for r in found)
+    assert len(ticks) >= 5 and ticks == list(range(ticks[0], ticks[0] + len(ticks))) and {r["values"][0] for r in found} == {7.0}
+
+
+def test_tables_are_compacted(spark, tmp_path):
+    """After many batches few folders are left, each row is there once, and a batch that runs again changes nothing."""
+    tables = BatchTables(spark, str(tmp_path), every=3, fan=2)
+    rows = lambda n: spark.range(n, n + 2).select(F.col("id").alias("v"))
+    for n in range(26):
+        for _ in range(2 if n in (6, 7, 12) else 1):
+            tables.write(rows(n), "out", n)
+            tables.write_state(rows(n), "held", n)
+    want = sorted((v, n) for n in range(26) for v in (n, n + 1))
+    read = lambda **more: sorted(map(tuple, tables.all_batches("out", "v BIGINT", keep_batch=True, **more).collect()))
+    assert read() == want and read(upto=24) == [w for w in want if w[1] <= 24]
+    folders = [f for f in os.listdir(tmp_path / "out") if not f.startswith("_")]
+    assert len(folders) <= 2 * 3 + 2 * 5 and len(os.listdir(tmp_path / "held")) == 2
+    assert len([f for f in os.listdir(tmp_path / "out" / "_manifest") if f.endswith(".json")]) <= 2
+    # A batch folder without its commit mark is not read.
+    os.remove(tmp_path / "out" / "batch=000000025" / "_SUCCESS")
+    assert read() == [w for w in want if w[1] < 25]
+    assert BatchTables(spark, str(tmp_path / "none")).all_batches("out", "v BIGINT").isEmpty()
+
+
+def test_late_inspections_are_corrected(spark, tmp_path):
+    """Any order of arrival ends in the batch table; what lies past the horizon is listed and changes nothing."""
+    rng = random.Random(9)
+    counts = {7_000 + m: rng.choice([0, 1, 5]) for m in range(1500) if rng.random() < 0.4 and not 300 < m < 700}
+    counts[7_000], counts[7_000 + 1499] = 2, 2
+    rows = [(m, ng) for m, c in counts.items() for ng in ([1] * c or [0])]
+    order = sorted(rows, key=lambda r: r[0] + rng.random() * 900)
+    schema = "series_id string, inspected_at timestamp, is_ng int"
+    frame = lambda some: spark.createDataFrame([("s", datetime.fromtimestamp(m * 60 + 7, timezone.utc), ng) for m, ng in some], schema)
+    tables = BatchTables(spark, str(tmp_path))
+    size = len(order) // 4 + 1
+    for n in range(4):
+        for _ in range(2 if n == 2 else 1):
+            minutes.change_step(frame(order[n * size : (n + 1) * size]), tables, n, horizon=1600)
+    want = ml_feature_table(labelled_minutes(spark, counts)).select("minute", "ng", *FEATURES).orderBy("minute").toPandas()
+
+    def latest():
+        return minutes.latest_features(tables).orderBy("minute").toPandas()
+
+    got = latest()
+    assert (got["minute"].to_numpy() == want["minute"].to_numpy()).all() and got.revision.nunique() > 1
+    for c in ("ng", *FEATURES):
+        assert abs(got[c] - want[c]).max() < 1e-9, c
+    assert tables.all_batches("late", minutes.LATE_SCHEMA).isEmpty()
+    minutes.change_step(frame([(7_010, 1), (7_010, 1), (7_000 + 1498, 1)]), tables, 4, horizon=100)
+    again = latest()
+    assert [tuple(r) for r in tables.all_batches("late", minutes.LATE_SCHEMA).collect()] == [("s", 7_010, 2)]
+    changed = again[again.ng.to_numpy() != got.ng.to_numpy()]
+    assert changed.minute.tolist() == [7_000 + 1498] and set(again[again.revision == 4].minute) == {7_000 + 1498, 7_000 + 1499}
+    minutes.change_step(frame([]), tables, 5, horizon=100)
+    assert len(latest()) == len(got)
