@@ -20,9 +20,10 @@ def command_ticks(commands: DataFrame, config: DataFrame) -> DataFrame:
     """One row per equipment and tick with commands: does a train come first, is there a recalibrate?
 
     No snapshot falls between two commands of a tick, so a train after a recalibrate in the same
-    tick finds no samples and is always rejected.
+    tick finds no samples and is always rejected. Where commands carry the settings of their time, the first train's are kept.
     """
-    at = F.struct("ts", "ord")
+    carried = [c for c in ("min_samples", "max_duration") if c in commands.columns]
+    at = F.struct("ts", "ord", *carried)
     first = {c: F.min(F.when(F.col("command") == c, at)) for c in ("train", "recalibrate")}
     settings = config.select("equipment_id", "resample_interval_ms")
     return (
@@ -35,6 +36,7 @@ def command_ticks(commands: DataFrame, config: DataFrame) -> DataFrame:
             "tick",
             (F.col("train").isNotNull() & (F.col("recalibrate").isNull() | (F.col("train") < F.col("recalibrate")))).alias("train"),
             F.col("recalibrate").isNotNull().alias("recalibrate"),
+            *(F.col(f"train.{c}").alias(c) for c in carried),
         )
     )
 
@@ -58,12 +60,13 @@ def train_attempts(
     retained = (
         F.floor(parse_duration(F.col("max_duration")) * F.lit(1000) / F.col("resample_interval_ms"))
     )
+    ticks = command_ticks(commands, config)
     trains = (
-        command_ticks(commands, config)
+        ticks
         .withColumn("episode", F.coalesce(F.sum(F.col("recalibrate").cast("long")).over(before), F.lit(0)))
         .withColumn("since", F.max(F.when(F.col("recalibrate"), F.col("tick"))).over(before))
         .filter("train")
-        .join(config, KEYS)
+        .join(config.drop(*(c for c in ticks.columns if c != "equipment_id")), KEYS)
         .select(
             "equipment_id",
             "episode",

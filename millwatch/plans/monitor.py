@@ -21,6 +21,7 @@ from millwatch.operators.model import (
     raw_errors,
 )
 from millwatch.operators.scoring import ALARM_THRESHOLD, CONFIRM_TICKS, debounce, top_deviant
+from millwatch.operators.settings import TRAIN_SETTINGS, by_era, clip_intervals, settings_eras, split_unit, unit_config
 from millwatch.operators.snapshots import asof_snapshot, number_snapshots, with_window_state
 from millwatch.session import stage
 
@@ -38,7 +39,8 @@ class Settings:
 
 
 def windowed_snapshots(readings: DataFrame, config: DataFrame, s: Settings) -> DataFrame:
-    snapshots = asof_snapshot(readings, config, s.bucket_ticks)
+    until = F.col("until_tick") if "until_tick" in config.columns else None
+    snapshots = asof_snapshot(readings, config, s.bucket_ticks, until)
     return with_window_state(number_snapshots(snapshots, s.bucket_ticks), config, s.bucket_ticks)
 
 
@@ -116,3 +118,22 @@ def monitor(readings: DataFrame, commands: DataFrame, config: DataFrame, s: Sett
     models = fit_models(training, config, s.forecaster, s.bucket_ticks)
     scores = s.stage(score_rows(live, models, config, s.bucket_ticks), "scores")
     return debounce(scores, s.threshold, s.confirm, s.bucket_ticks)
+
+
+def monitor_history(readings: DataFrame, commands: DataFrame, history: DataFrame, s: Settings) -> DataFrame:
+    """``monitor`` under settings that changed: ``(equipment_id, era, model_version, tick, ...)``, see ``settings_eras``.
+
+    After a change that breaks the model nothing is scored until a train of the new era succeeds. Model versions count within an era.
+    """
+    eras = s.stage(settings_eras(history), "eras")
+    rows, log = by_era(readings, eras), by_era(commands, eras, also=TRAIN_SETTINGS)
+    return split_unit(monitor(rows, log, unit_config(eras), s))
+
+
+def control_history(readings: DataFrame, commands: DataFrame, history: DataFrame, s: Settings) -> DataFrame:
+    """State intervals under settings that changed, each within its era; ``cause`` names the change that sent a machine back to CALIBRATING."""
+    eras = s.stage(settings_eras(history), "eras")
+    config, log = unit_config(eras), by_era(commands, eras, also=TRAIN_SETTINGS)
+    snapshots = s.stage(windowed_snapshots(by_era(readings, eras), config, s), "snapshots")
+    attempts = train_attempts(snapshots, log, config, s.max_training, s.bucket_ticks)
+    return clip_intervals(control_intervals(attempts, log, config), eras)

@@ -380,6 +380,73 @@ MONITOR = (
 )
 ALARM = """count_if(anomaly_score >= 3) OVER (PARTITION BY equipment_id, model_version ORDER BY tick
     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3"""
+# --- settings with a history: each era of a machine is a machine of its own --------------------------
+
+MIDDLE = f"((SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM ev) + {HOUR_US - 1}) // {HOUR_US} - 1"
+UNITS = f"""machines AS (SELECT DISTINCT equipment_id AS machine, CAST(substr(equipment_id, 3) AS INTEGER) % 4 AS n FROM ev),
+units AS (
+  SELECT '0|' || machine AS equipment_id, machine, n, 0 AS era, NULL AS after, CASE WHEN n IN (1, 2) THEN {MIDDLE} END AS until,
+    6 AS win, {TAG_LIST} AS tags FROM machines
+  UNION ALL
+  SELECT '1|' || machine, machine, n, 1, {MIDDLE}, NULL, CASE n WHEN 2 THEN 4 ELSE 6 END, CASE n WHEN 1 THEN {TAG_LIST}[1:4] ELSE {TAG_LIST} END
+  FROM machines WHERE n IN (1, 2))"""
+_IN_ERA = f"(after IS NULL OR epoch_us(ts) > after * {HOUR_US}) AND (until IS NULL OR epoch_us(ts) <= until * {HOUR_US})"
+RD_UNITS = f"""rd_units AS (
+  SELECT u.equipment_id, r.tag, r.ts, r.ord, r.value FROM rd r JOIN units u ON u.machine = r.equipment_id
+  WHERE {_IN_ERA} AND list_contains(u.tags, r.tag))"""
+
+
+def _changed(text: str, *pairs: tuple[str, str]) -> str:
+    """A fragment with parts replaced; each must be there."""
+    for old, new in pairs:
+        if old not in text:
+            raise ValueError(f"no {old!r}")
+        text = text.replace(old, new)
+    return text
+
+
+GRID_UNITS = _changed(
+    _grid(),
+    (
+        f"SELECT unnest({TAG_LIST}) AS tag, unnest(range(len({TAG_LIST}))) AS pos)",
+        "SELECT equipment_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM units)",
+    ),
+    (
+        "SELECT equipment_id, min(tick) AS lo, max(tick) AS hi FROM pts GROUP BY 1",
+        "SELECT equipment_id, min(tick) AS lo, greatest(max(tick), coalesce(max(until), max(tick))) AS hi FROM pts JOIN units USING (equipment_id) GROUP BY 1",
+    ),
+    ("FROM spans CROSS JOIN tags", "FROM spans JOIN tags USING (equipment_id)"),
+    (
+        """count_if(complete) OVER (
+    PARTITION BY equipment_id ORDER BY seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7 AS usable
+  FROM kept""",
+        """seq - coalesce(max(CASE WHEN NOT complete THEN seq END) OVER (PARTITION BY equipment_id ORDER BY seq), -1) > win AS usable
+  FROM kept JOIN (SELECT equipment_id, win FROM units) USING (equipment_id)""",
+    ),
+)
+CONTROL_UNITS = _changed(
+    CONTROL,
+    (
+        f"SELECT equipment_id, ts, ord, (epoch_us(ts) + {HOUR_US - 1}) // {HOUR_US} AS tick, k = 0 AS recal\n  FROM ev WHERE k BETWEEN 0 AND 3)",
+        f"SELECT u.equipment_id, ts, ord, (epoch_us(ts) + {HOUR_US - 1}) // {HOUR_US} AS tick, k = 0 AS recal,\n"
+        f"    CASE WHEN n = 3 AND epoch_us(ts) > ({MIDDLE}) * {HOUR_US} THEN 24 ELSE 48 END AS need\n"
+        f"  FROM ev e JOIN units u ON u.machine = e.equipment_id WHERE k BETWEEN 0 AND 3 AND {_IN_ERA})",
+    ),
+    ("SELECT DISTINCT equipment_id FROM ev)", "SELECT equipment_id FROM units)"),
+    ("SELECT equipment_id, ts, ord, tick, since FROM", "SELECT equipment_id, ts, ord, tick, since, need FROM"),
+    ("SELECT t.equipment_id, t.tick, t.since, t.ord, count", "SELECT t.equipment_id, t.tick, t.since, t.ord, t.need, count"),
+    (
+        "FROM found f JOIN eps e ON e.equipment_id = f.equipment_id AND e.start IS NOT DISTINCT FROM f.since",
+        "FROM found f JOIN units USING (equipment_id) JOIN eps e ON e.equipment_id = f.equipment_id AND e.start IS NOT DISTINCT FROM f.since",
+    ),
+    ("AND n >= 48 AND newest_usable - 6 >= fit_lo", "AND f.n >= need AND newest_usable - win >= fit_lo"),
+)
+ERAS = (EV, RD, UNITS, RD_UNITS, PTS.replace("FROM rd)", "FROM rd_units)"), GRID_UNITS, CONTROL_UNITS)
+MONITOR_UNITS = (
+    MONITOR[0],
+    _changed(MONITOR[1], ("seq - 6 >= fit_lo", "seq - win >= fit_lo"), ("FROM tagged", "FROM tagged JOIN (SELECT equipment_id, win FROM units) USING (equipment_id)")),
+    *MONITOR[2:],
+)
 # Readings as the messages carry them, in order of arrival.
 RD_MESSAGES = """rd AS (
   SELECT equipment_id, tag,
@@ -544,6 +611,15 @@ FROM (SELECT equipment_id, CAST(equipment_id[3:] AS INTEGER) AS n FROM ev)""",
     + "SELECT equipment_id, tick, round(anomaly_score, 5) AS anomaly_score FROM best",
     "monitor_alarms": _with(*CTL, *MONITOR)
     + f"SELECT equipment_id, model_version, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
+    "settings_intervals": _with(*ERAS)
+    + """SELECT machine AS equipment_id, CAST(era AS BIGINT) AS era, episode, state, coalesce(valid_from, after + 1) AS valid_from,
+  coalesce(valid_to, until + 1) AS valid_to, model_version, fit_lo, fit_hi,
+  CASE WHEN era = 1 AND valid_from IS NULL THEN CASE n WHEN 1 THEN 'tags differ' ELSE 'window_size differs' END END AS cause
+FROM ctl JOIN units USING (equipment_id)""",
+    "settings_alarms": _with(*ERAS, *MONITOR_UNITS)
+    + f"""SELECT machine AS equipment_id, CAST(era AS BIGINT) AS era, model_version, tick, anomaly_score, top_deviant_tag, alarm FROM (
+  SELECT equipment_id, model_version, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best)
+JOIN units USING (equipment_id)""",
     "message_alarms": _with(EV, MSG, ENTRIES, RD_MESSAGES, PTS, _grid(), CONTROL, *MONITOR)
     + f"SELECT equipment_id, tick, round(anomaly_score, 4) AS anomaly_score, top_deviant_tag, {ALARM} AS alarm FROM best",
     "stream_pipeline": _with(*STREAMED, CONTROL, *MONITOR)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millwatch.functions.scalars import floored_std, normalized, parse_command, parse_duration
 from millwatch.operators import control, inspection, model, parse, risk, scoring, snapshots
 from millwatch.operators.train_hook import train_hook
-from millwatch.plans.monitor import Settings, fit_models, monitor, score_rows, windowed_snapshots
+from millwatch.plans.monitor import Settings, control_history, fit_models, monitor, monitor_history, score_rows, windowed_snapshots
 from millwatch.session import configure, scratch_path, stage
 from millwatch.sources import calibration, inspections, messages, models, volume
 from millwatch.streaming import minutes, telemetry
@@ -519,6 +519,19 @@ def control_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return _intervals(spark, sf)[1]
 
 
+@query
+def settings_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """State intervals of machines whose settings change half-way."""
+    return control_history(volume.readings(spark, sf), _commands(spark, sf), volume.settings_history(spark, sf), SETTINGS)
+
+
+@query
+def settings_alarms(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores and alarms of machines whose settings change half-way."""
+    rows = monitor_history(volume.readings(spark, sf), _commands(spark, sf), volume.settings_history(spark, sf), SETTINGS)
+    return rounded(rows, 4, "anomaly_score")
+
+
 @query
 def state_asof(spark: SparkSession, sf: str) -> DataFrame:
     rows, spans = _intervals(spark, sf)

@@ -84,6 +84,23 @@ def _config_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settings_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings with a change half-way through the events: of four machines one keeps all, one loses a tag, one gets another
+    window, and one another tag order and a smaller sample count, which break nothing."""
+    config = equipment_config(spark, sf_dir)
+    lo, hi = table(spark, sf_dir, "events").agg(*(f(F.unix_micros(F.col("ts").cast("timestamp"))) for f in (F.min, F.max))).first()
+    n = F.substring("equipment_id", 3, 10).cast("int") % 4
+    later = config.filter(n > 0).withColumns(
+        {
+            "tags": F.when(n == 1, F.slice("tags", 1, 4)).when(n == 3, F.reverse("tags")).otherwise(F.col("tags")),
+            "window_size": F.when(n == 2, F.lit(4)).otherwise(F.col("window_size")),
+            "min_samples": F.when(n == 3, F.lit(24)).otherwise(F.col("min_samples")),
+        }
+    )
+    since = F.lit(None).cast("timestamp")
+    return config.withColumn("valid_from", since).unionByName(later.withColumn("valid_from", F.timestamp_micros(F.lit((lo + hi) // 2))))
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Command messages: k = 0 recalibrates, 1 to 3 train, 4 to 6 are payloads to be ignored."""
     e = event_rows(spark, sf_dir).filter(F.col("k").between(0, 6))
