@@ -34,13 +34,14 @@ BLOCK_TAGS = frozenset(
     "tbody td tfoot th thead title tr ul button label".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style textarea noscript template iframe svg math object".split())
+RAW_TAGS = frozenset("script style textarea template iframe svg".split())
 CLOSED_BY_BLOCK = "p"
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPES = frozenset("ul ol dl table select menu".split())
 
+#: Quotes enclose an attribute's value only right after an equals sign; elsewhere they are characters like any other.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)""", re.S
 )
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TARGET = re.compile(r"data-target=(\d)")
@@ -348,7 +349,8 @@ def learn(pages: DataFrame, seed: int = 11) -> Labeller:
     notices, adverts, forms, sidebars, comments and footers of many names surround the content, filled with other rows' prose.
     """
     usable = F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") < LONGEST_SAMPLED)
-    some = hash_sample(pages, 4 * SAMPLE, "page_id", "url").where(usable)
+    # Of the usable rows only, so that a table with few of them trains as well as one with many.
+    some = hash_sample(pages.where(usable), 2 * SAMPLE, "page_id", "url")
     rows = some.orderBy(F.xxhash64("page_id", "url"), "html").select("html").limit(SAMPLE).collect()
     rng = np.random.default_rng(seed)
     real = [weakly_labelled(r["html"]) for r in rows]

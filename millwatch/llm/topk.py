@@ -99,8 +99,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
 
     Both tables have ``vec_id, embedding``. A component x becomes floor(1024 * x). A query's own row, and a row of
     another length, is no candidate; fewer candidates than ``k`` are all returned. Rows with a null vec_id, and vectors
-    that are null, empty or hold null or non-finite components, take no part. Rows that repeat a vec_id count once, with the
-    smallest vector. An empty table gives an empty result. Other columns are ignored.
+    that are null, empty or hold null or non-finite components, take no part. Rows that repeat a vec_id are candidates each, so an id may
+    be returned more than once; no row with the query's own id is a candidate. A query that repeats counts once, with its smallest vector. An empty table gives an empty result. Other columns are ignored.
     Components so large that a score could leave 62 bits are an error.
 
     Query blocks meet candidate blocks, and every round scores all of them anew: it sums a histogram of each query's
@@ -113,9 +113,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     def whole(df: DataFrame) -> DataFrame:
         v = F.transform("embedding", lambda x: F.floor(F.lit(SCALE) * x.cast("double"))).alias("v")
         good = df.where(F.col("vec_id").isNotNull() & finite("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), v)
-        return good.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+        return good.withColumn("dims", F.size("v"))
 
-    cand, quer = stage(whole(rows), "candidates"), stage(whole(queries), "queries")
+    cand = stage(whole(rows), "candidates")
+    quer = stage(whole(queries).groupBy("vec_id").agg(F.min_by(F.struct("v", "dims"), "v").alias("q")).select("vec_id", "q.*"), "queries")
     n, dims, most = cand.agg(F.count("*"), F.max("dims"), F.max(F.array_max(F.transform("v", F.abs)))).first()
     peak = quer.agg(F.max(F.array_max(F.transform("v", F.abs))), F.count("*")).first()
     bound = int(dims or 1) * int(most or 1) * int(peak[0] or 1) + 1
@@ -125,7 +126,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     blocks = partitions_for(peak[1], QUERIES_PER_BLOCK, 1)
     part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("part")
     packed = "part long, dims int, ids binary, data binary"
-    cand = cand.select(part(parts), "dims", "vec_id", "v").repartition(parts, "part")
+    # By place in the staged table, so that rows of one id, however many, are spread.
+    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).alias("part")
+    cand = cand.select(spread, "dims", "vec_id", "v").repartition(parts, "part")
     cand = stage(cand.mapInArrow(_blocks(ROWS_PER_BLOCK), packed), "candidate-blocks")
     quer = quer.select(part(blocks), "dims", "vec_id", "v")
     rounds = -(-(2 * bound).bit_length() // ROUND_BITS)

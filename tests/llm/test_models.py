@@ -1,5 +1,7 @@
 """Language ID, SentencePiece, chat transcripts and HTML extraction."""
 
+from html.parser import HTMLParser
+
 import random
 import zlib
 
@@ -234,3 +236,54 @@ def test_a_document_may_hold_every_language():
     share, size = mixtures(words, np.array([len(s) for s in spoken]))
     assert size.tolist() == [7, 1, 2]
     assert np.allclose(share[0], 1 / 7, atol=0.01) and share[1, 2] == 1 and np.allclose(share[2, :2], 0.5, atol=0.01)
+
+
+def test_stray_quotes_and_plain_elements_lose_no_text():
+    """Quotes delimit only after an equals sign; elements that hold ordinary text are read."""
+    source = "<article><p>one</p><p title=Bob's>two</p><p title='it > is' data-x = \"a>b\">three</p><p class=\"a\"b>four \"five\"</p>"
+    source += "<noscript>six</noscript> <math><mi>x</mi>=<mn>7</mn></math> <object>eight</object><p it's>nine</p></article><p>ten"
+    assert " ".join(page.parse(source).texts) == 'one two three four "five" six x=7 eight nine ten'
+
+
+class Reader(HTMLParser):
+    """The article's text as Python's own parser sees it, without any labelling."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.inside, self.blocks = 0, 0, [""]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style")
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "h2", "li", "article", "ul", "blockquote", "figure", "figcaption", "table", "tr", "td", "th", "pre", "h3"):
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style")
+        self.inside -= tag == "article"
+        if tag not in ("a", "b", "em", "i", "span", "strong", "code", "br"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+    def text(self):
+        return [" ".join(b.split()) for b in self.blocks if b.split()]
+
+
+def test_article_blocks_equal_an_independent_reader(spark, sf):
+    """Of every page with one article, the parser's blocks inside it are those that Python's parser finds, joined text against joined text."""
+    rows = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect() if r["html"]]
+    checked = 0
+    for source in rows:
+        if source.count("<article") != 1 or "</article>" not in source:
+            continue
+        inner = source[source.index("<article") : source.index("</article>") + len("</article>")]
+        assert "\n".join(page.parse(inner).texts) == "\n".join(Reader(inner).text())
+        checked += 1
+    assert checked > 20

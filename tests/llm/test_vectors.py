@@ -25,16 +25,17 @@ def vectors(seed, n, dims=8):
 @pytest.mark.parametrize("k", [3, 500])
 def test_top_k(spark, k):
     rows = vectors(1, 200) + [(400 + i, [0.5] * 8) for i in range(30)] + [(100, [9.0] * 8)] + ODD + [(None, [1.0] * 8), (950, [1.0, 2.0])]
+    rows += [(7, [8.0] * 8), (7, [8.0] * 8), (407, [-1.0] * 8), (409, [0.5] * 8)]  # repeated ids are candidates each
     df = table(spark, rows)
     got = top_k(df.where("vec_id % 50 = 0"), df, k)
-    held = {}
+    held = []
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            q = tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)
-            held[i] = min(held.get(i, q), q)
+            held.append((i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)))
+    asked = {i: min(v for j, v in held if j == i) for i, _ in held if i % 50 == 0}
     want = []
-    for q in (i for i in held if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q and len(v) == len(held[q]))
+    for q, query in asked.items():
+        scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in held if i != q and len(v) == len(query))
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
