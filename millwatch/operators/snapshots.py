@@ -61,21 +61,29 @@ def bucket_seeds(points: DataFrame, config: DataFrame, size: int, until: Column
     """One row per equipment, tag and bucket of its tick range, with the value carried in.
 
     ``points`` shrinks to one row per tag and bucket; everything after works on that small
-    table. A row's value reaches all buckets up to and including the tag's next row, and a row
+    table, and no window is wider than one tag of one equipment. A row's value reaches all buckets up to and including the tag's next row, and a row
     placed before the first bucket stands for "nothing seen yet".
     """
     per_bucket = points.groupBy("equipment_id", "pos", BUCKET).agg(
         F.min("tick").alias("lo"), F.max("tick").alias("hi"), F.max_by("value", "tick").alias("value")
     )
+    # Asking for the values too keeps this branch equal to the one above up to its exchange, which Spark then
+    # uses twice; without it the readings would be read once more.
+    span = per_bucket.groupBy("equipment_id").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("value").alias("seen")
+    )
     end = F.lit(None).cast("long") if until is None else until.cast("long")
-    unseen = config.select("equipment_id", end.alias("hi"), F.posexplode("tags").alias("pos", "tag")).drop("tag")
-    # A join with the equipment's span would read the readings once more.
-    whole = W.partitionBy("equipment_id")
-    tag = W.partitionBy("equipment_id", "pos").orderBy(BUCKET)
+    unseen = config.select("equipment_id", end.alias("end"), F.posexplode("tags").alias("pos", "tag"))
+    # The span comes first, so that a filter on the equipment goes down to the readings.
+    unseen = span.filter("seen >= 0").join(unseen, KEYS).select(
+        "equipment_id", "pos", F.col("lo").alias("first"), F.greatest("hi", "end").alias("final")
+    )
+    whole = W.partitionBy("equipment_id", "pos")
+    tag = whole.orderBy(BUCKET)
     return (
-        per_bucket.unionByName(unseen, allowMissingColumns=True)
-        .withColumns({"lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole)})
-        .filter(F.col("lo").isNotNull())
+        per_bucket.drop("lo", "hi")
+        .unionByName(unseen, allowMissingColumns=True)
+        .withColumns({"lo": F.max("first").over(whole), "hi": F.max("final").over(whole)})
         .withColumn(BUCKET, F.coalesce(BUCKET, floor_div(F.col("lo"), size) - 1))
         .withColumn("last", F.coalesce(F.lead(BUCKET).over(tag), floor_div(F.col("hi"), size)))
         .filter(F.col("last") > F.col(BUCKET))

@@ -617,7 +617,7 @@ def calibration_prune(spark: SparkSession, sf: str) -> DataFrame:
     at = calibration.sample_time(F.col("tick"), F.col("resample_interval_ms")).alias("ts")
     calibration.calibration_append(rows.select("equipment_id", F.lit(0).cast("long").alias("episode"), "tick", at, "values"), path)
     now = volume.readings(spark, sf).groupBy("equipment_id").agg(F.max("ts").alias("now"))
-    calibration.calibration_rewrite(spark, path, lambda stored: calibration.calibration_prune(stored, config, now))
+    calibration.prune_store(spark, path, config, now)
     return spark.read.schema(calibration.STORED_SCHEMA).parquet(path).select("equipment_id", "tick")
 
 

@@ -35,13 +35,14 @@ def calibration_samples(tagged: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def calibration_append(samples: DataFrame, path: str) -> None:
-    """Append samples. Rows are grouped by partition first, so a task writes few files.
+    """Append samples. Rows are grouped by partition first, so a task writes few files; partitions larger than
+    Spark's advisory size are split over several tasks and small ones share one.
 
     An append that is repeated adds rows again; readers take one row per equipment, episode and tick.
     """
     bucket = F.pmod(F.xxhash64("equipment_id"), F.lit(BUCKETS)).cast("int")
     placed = samples.withColumns({"day": F.to_date("ts"), "bucket": bucket})
-    placed.repartition(*PARTITION).write.mode("append").partitionBy(*PARTITION).parquet(path)
+    placed.hint("rebalance", *PARTITION).write.mode("append").partitionBy(*PARTITION).parquet(path)
 
 
 def calibration_table(spark: SparkSession, path: str) -> DataFrame:
@@ -50,18 +51,25 @@ def calibration_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(*PARTITION, "equipment_id", "episode", "tick", "ts").agg(F.max("values").alias("values"))
 
 
-def calibration_rewrite(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Make files hold only what ``keep`` leaves of the stored samples, e.g. a prune or a clear.
+def calibration_rewrite(
+    spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame], touched: Column | None = None
+) -> None:
+    """Make files hold only what ``keep`` leaves of the stored samples, e.g. a prune or a clear. ``keep`` decides by key and time.
 
-    Only partitions that lose rows are written again, each in place of its old files; partitions that lose all of them are
-    removed. The counts that decide this are one row per partition.
+    First only the keys are read, of the partitions for which ``touched`` (over ``day`` and ``bucket``) holds. Partitions that
+    lose all rows are removed without reading their values, those that lose some are written again, each in place of its
+    old files, and the others stay as they are. The counts that decide this are one row per partition.
     """
     stored = spark.read.schema(STORED_SCHEMA).parquet(path)
-    kept = stage(keep(calibration_table(spark, path)).select(*[c.split()[0] for c in STORED_SCHEMA.split(", ")]), "kept-samples")
-    left = kept.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("left"))
-    counts = stored.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("n")).join(left, PARTITION, "left")
+    keys = stored.select(*PARTITION, "equipment_id", "episode", "tick", "ts")
+    if touched is not None:
+        keys = keys.filter(touched)
+    left = keep(keys).groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("left"))
+    counts = keys.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("n")).join(left, PARTITION, "left")
     losing = stage(counts.filter("left IS NULL OR left < n"), "losing-partitions")
-    again = kept.join(losing.select(*PARTITION), PARTITION, "left_semi").repartition(*PARTITION)
+    partly = losing.filter("left IS NOT NULL").select(*PARTITION)
+    rows = calibration_table(spark, path).join(partly, PARTITION, "left_semi")
+    again = stage(keep(rows).select(*stored.columns), "kept-samples").hint("rebalance", *PARTITION)
     again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path
     for r in losing.filter("left IS NULL").toLocalIterator():
@@ -69,6 +77,18 @@ def calibration_rewrite(spark: SparkSession, path: str, keep: Callable[[DataFram
         empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)
 
 
+def prune_store(spark: SparkSession, path: str, config: DataFrame, now: DataFrame) -> None:
+    """``calibration_prune`` on the stored files.
+
+    A sample lies in the folder of its day, so a folder's day bounds its samples. Days after the last day that holds a cutoff keep
+    all they have and are not listed for reading; of earlier days the keys are read, and the values only where a cutoff
+    falls inside the folder.
+    """
+    last = _cutoffs(config, now).agg(F.to_date(F.max("cutoff"))).first()[0]
+    if last is not None:
+        calibration_rewrite(spark, path, lambda stored: calibration_prune(stored, config, now), F.col("day") <= F.lit(last))
+
+
 def calibration_export(samples: DataFrame, config: DataFrame, path: str) -> None:
     """Samples as JSON lines: ``{"timestamp": …, "values": {tag: number or null}}``."""
     tagged = samples.join(config.select("equipment_id", "tags"), KEYS)
@@ -100,13 +120,20 @@ def retention_cutoff(now: Column, max_duration: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(now) - parse_duration(max_duration) * 1_000_000)
 
 
-def calibration_prune(samples: DataFrame, config: DataFrame, now: DataFrame) -> DataFrame:
-    """Samples not older than the equipment's ``max_duration`` at its time in ``now(equipment_id, now)``."""
-    limits = (
-        now.join(config.select("equipment_id", "max_duration"), KEYS)
-        .select("equipment_id", retention_cutoff(F.col("now"), F.col("max_duration")).alias("cutoff"))
+def _cutoffs(config: DataFrame, now: DataFrame) -> DataFrame:
+    """``(equipment_id, cutoff)``: the oldest time that each equipment in ``now`` keeps."""
+    return now.join(config.select("equipment_id", "max_duration"), KEYS).select(
+        "equipment_id", retention_cutoff(F.col("now"), F.col("max_duration")).alias("cutoff")
     )
-    return samples.join(limits, KEYS).filter(F.col("ts") >= F.col("cutoff")).drop("cutoff")
+
+
+def calibration_prune(samples: DataFrame, config: DataFrame, now: DataFrame) -> DataFrame:
+    """Samples not older than the equipment's ``max_duration`` at its time in ``now(equipment_id, now)``.
+
+    An equipment without a time in ``now``, or without a readable ``max_duration``, keeps all its samples.
+    """
+    limited = samples.join(_cutoffs(config, now), KEYS, "left")
+    return limited.filter(F.col("cutoff").isNull() | (F.col("ts") >= F.col("cutoff"))).drop("cutoff")
 
 
 def calibration_clear(samples: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,46 @@ def test_sample_store(spark, tmp_path):
     assert sorted(r["tick"] - tick(0) for r in left.collect()) == [6, 7, 8, 9]
 
 
+def test_prune_reads_border_days_only(spark, tmp_path):
+    """Files of days without a cutoff are removed or left as they are; only the border day is written again."""
+    path = str(tmp_path / "s")
+    day = 86400
+    samples = spark.range(6 * 24).select(
+        F.lit("m1").alias("equipment_id"), F.lit(0).cast("long").alias("episode"), F.col("id").alias("tick"),
+        F.timestamp_seconds(F.lit(10 * day) + F.col("id") * 3600).alias("ts"), F.array(F.col("id").cast("double")).alias("values"),
+    )
+    other = samples.filter("tick < 3").withColumn("equipment_id", F.lit("m2"))
+    calibration.calibration_append(samples.unionByName(other), path)
+    before = {str(f): f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    config = config_table(spark, config_row(tags=("a",), keep="60h"), config_row("m2", tags=("a",)))
+    now = spark.createDataFrame([("m1", 15 * day + 23 * 3600)], "equipment_id string, s long")
+    calibration.prune_store(spark, path, config, now.select("equipment_id", F.timestamp_seconds("s").alias("now")))
+    after = {str(f): f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    left = calibration.calibration_table(spark, path).select("equipment_id", "tick").collect()
+    assert sorted(r["tick"] for r in left if r["equipment_id"] == "m1") == list(range(5 * 24 + 23 - 60, 6 * 24))
+    # An equipment that ``now`` leaves out keeps its samples.
+    assert sorted(r["tick"] for r in left if r["equipment_id"] == "m2") == [0, 1, 2]
+    days = lambda files: {f.split("day=")[1][:10] for f in files}
+    border = "1970-01-14"
+    assert days(after.keys() - before.keys()) == {border}
+    assert {f for f in before if days([f]) > {border}} <= after.keys() and not any("bucket" in f and days([f]) == {"1970-01-12"} for f in after)
+    calibration.prune_store(spark, path, config, now.select("equipment_id", F.timestamp_seconds("s").alias("now")))
+    assert {str(f): f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")} == after
+
+
+def test_append_splits_a_hot_day(spark, tmp_path):
+    """One day and bucket larger than the advisory size is written by several tasks."""
+    samples = spark.range(200_000).select(
+        F.lit("m1").alias("equipment_id"), F.lit(0).cast("long").alias("episode"), F.col("id").alias("tick"),
+        F.timestamp_millis(F.col("id")).alias("ts"), F.array(F.rand(1), F.rand(2)).alias("values"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    calibration.calibration_append(samples.repartition(8), str(tmp_path / "s"))
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "s").rglob("*.parquet"))) > 1
+    assert calibration.calibration_table(spark, str(tmp_path / "s")).count() == 200_000
+
+
 def test_damaged_sample_lines_are_skipped(spark, tmp_path):
     lines = [
         '{"timestamp": "2026-08-03T00:00:00+00:00", "values": {"a": 1.5, "b": null}}',

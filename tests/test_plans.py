@@ -58,6 +58,16 @@ def test_window_chain_never_partitions_by_equipment_alone_on_rows(stored):
             assert "bucket#" in line.split("windowspecdefinition")[1]
 
 
+def test_no_window_of_a_snapshot_takes_a_whole_equipment_and_readings_are_read_once(spark, stored):
+    readings, config = stored
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    text = plan(asof_snapshot(readings, config, 16))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    windows = [line.split("windowspecdefinition(")[1] for line in text.splitlines() if "+- Window" in line]
+    assert windows and all("pos#" in w.split("specifiedwindowframe")[0] for w in windows)
+    assert text.count("FileScan") - text.count("InMemoryTableScan") <= 2 and "ReusedExchange" in text
+
+
 @pytest.mark.parametrize("broadcast_limit", ["10MB", "-1"])
 def test_one_hot_equipment_is_spread_over_tasks(spark, stored, broadcast_limit):
     readings, config = stored
