@@ -22,6 +22,7 @@ RUNTIME_SETTINGS = {
 
 
 _STAGED: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -67,8 +68,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A fresh catalog name for a table that lives below ``scratch_path`` and leaves the catalog with it."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all that this session has staged. Results that still read it must have been written before."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for path in _STAGED.pop(spark.sparkContext.applicationId, []):
         folder = hadoop(path)

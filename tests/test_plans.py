@@ -1,11 +1,13 @@
 """Physical plans: what reaches the scan, what is shuffled, what must never appear."""
 
+import os
 import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from millwatch import session
 from millwatch.operators import inspection, model
 from millwatch.operators.model import VERSION
 from millwatch.operators.scoring import debounce
@@ -125,11 +127,21 @@ def test_fitting_exchanges_rows_by_bucket_and_again_before_error_sums(spark, sto
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():
-    def session(master, **settings):
+    def fake(master, **settings):
         return SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_path(session("spark://host:7077"), "x")
-    assert scratch_path(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://store/tmp"}), "x").startswith("hdfs://store/tmp/")
-    one, two = (scratch_path(session("local[2]"), "x") for _ in range(2))
+        scratch_path(fake("spark://host:7077"), "x")
+    assert scratch_path(fake("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://store/tmp"}), "x").startswith("hdfs://store/tmp/")
+    one, two = (scratch_path(fake("local[2]"), "x") for _ in range(2))
     assert one != two and one.split("millwatch/")[0] == two.split("millwatch/")[0]
+
+
+def test_scratch_tables_leave_the_catalog_with_their_files(spark, monkeypatch):
+    monkeypatch.setattr(session, "_STAGED", {})
+    monkeypatch.setattr(session, "_TABLES", {})
+    path, name = scratch_path(spark, "rows"), session.scratch_table(spark, "rows")
+    spark.range(5).write.option("path", path).saveAsTable(name)
+    assert spark.catalog.tableExists(name)
+    session.clear_scratch(spark)
+    assert not spark.catalog.tableExists(name) and not os.path.exists(path)
