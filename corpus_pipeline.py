@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millwatch.llm.common import prepare, stage, table
+from millwatch.llm.common import carried, prepare, stage, table
 from millwatch.llm.language_id import drop_unidentified
 from millwatch.llm.line_dedup import dedup_lines
 from millwatch.llm.mixing import mixed
@@ -21,10 +21,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go; ``n_chars``, where there is one, follows the text."""
     prepare(spark)
-    done = dedup_lines(docs).drop("n_lines", "n_dropped", "kept_sha256")
+    packed, columns = carried(docs, keys=("doc_id", "text"))
+    done = dedup_lines(packed).select(*columns)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return done.select(*docs.columns)
+    return done
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,15 +33,15 @@ def named(column: str) -> Column:
     return F.col(f"`{column.replace('`', '``')}`")
 
 
-def carried(docs: DataFrame, new: Iterable[str]) -> tuple[DataFrame, list[Column]]:
-    """``docs`` as ``(__row, text)`` for an Arrow task, and the columns that restore it less those named, in any case, like ``new``."""
+def carried(docs: DataFrame, new: Iterable[str] = (), keys: tuple[str, ...] = ("text",)) -> tuple[DataFrame, list[Column]]:
+    """``docs`` as ``(__row, *keys)``, and the columns that restore it less those named, in any case, like ``new``."""
     gone = {n.lower() for n in new}
     names = [c for c in docs.columns if c.lower() not in gone]
-    others = [c for c in names if c != "text"]
+    others = [c for c in names if c not in keys]
     # Fields get plain names on the way, so that any name comes back as it was.
     row = F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(others))) if others else F.struct(F.lit(0).alias("c0"))
     back = {c: F.col(f"__row.c{i}").alias(c) for i, c in enumerate(others)}
-    return docs.select(row.alias("__row"), F.col("text")), [back.get(c, F.col("text")) for c in names]
+    return docs.select(row.alias("__row"), *keys), [back[c] if c in back else F.col(c) for c in names]
 
 
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millwatch.llm.common import binaries, shuffle_partitions
+from millwatch.llm.common import binaries, carried, shuffle_partitions
 
 UNKNOWN = "und"
 #: Character trigrams fall in so many hashed cells; a language model is one row of them.
@@ -188,20 +188,20 @@ def identify(docs: DataFrame) -> DataFrame:
 
     A text that is null or has no letter, and any text if nothing can be learned, gets ``und``, score 0 and an empty set.
     Rows with a null doc_id count as not held out. Repeated rows are all returned, and are counted as often as they occur. An empty
-    table gives an empty result. Input columns named like a new one are replaced.
+    table gives an empty result. Input columns named like a new one, in any case, are replaced.
+    Very long texts are read whole; one of any length is one row of its task.
     """
     new = ("held_out", "lang_pred", "score", "languages")
     langs, logs = learn(docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    others = [c for c in docs.columns if c not in ("text", *new)]
-    packed = docs.select(F.struct(*others).alias("__row"), "text")
+    packed, columns = carried(docs, new)
     row = packed.schema["__row"].dataType.simpleString()
     done = packed.mapInArrow(_predicted(langs, logs), f"__row {row}, text string, lang_pred string, score double, languages array<string>")
-    columns = [F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in new]
     done = done.select(*columns, "lang_pred", "score", "languages")
     return done.withColumn("held_out", held_out())
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found, ``lang`` set to it; the columns of ``docs``."""
-    found = identify(docs).where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred"))
-    return found.select(*docs.columns)
+    """The documents in which a language was found, ``lang`` set to it; the columns of ``docs``, whatever their names."""
+    packed, columns = carried(docs, keys=("doc_id", "text", "lang"))
+    found = identify(packed).where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred"))
+    return found.select(*columns)

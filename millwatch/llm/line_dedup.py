@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -10,8 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millwatch.llm.common import binaries, shuffle_partitions, stage
-from millwatch.session import scratch_path
+from millwatch.llm.common import binaries, carried, shuffle_partitions, stage
+from millwatch.session import scratch_path, scratch_table
 
 #: Shorter keys (in code points) never count as repeated.
 LEAST_KEY = 10
@@ -74,7 +73,7 @@ class LineRuns:
         return keys
 
     def _write(self, rows: DataFrame, level: int) -> str:
-        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        name = scratch_table(self.spark, f"line_run_{level}")
         writer = rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h")
         writer.option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
@@ -152,14 +151,13 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3) -> DataFrame
 
     A null text counts as one empty line and stays null. Rows with a null doc_id take no part and stay as they are. Rows
     that share a doc_id are one document: they lose the same keys. A document all of whose lines go keeps the
-    empty text. An empty table gives an empty result. Input columns named like a new one are replaced.
+    empty text. An empty table gives an empty result. Input columns named like a new one, in any case, are
+    replaced. A text of any length is one row of its task.
     """
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped", "kept_sha256")]
-    packed = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("__")).alias("__row"))
+    packed, columns = carried(docs, ("n_lines", "n_dropped", "kept_sha256"), ("doc_id", "text"))
     lost = repeated_lines(docs, batches, fanout).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("h").alias("__lost"))
     joined = packed.join(stage(lost, "lost-lines"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    row = next(f.dataType.simpleString() for f in packed.schema if f.name == "__row")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, __row {row}, text string, n_lines long, n_dropped long, kept_sha256 string"
+    row = packed.schema["__row"].dataType.simpleString()
+    schema = f"__row {row}, doc_id {dict(docs.dtypes)['doc_id']}, text string, n_lines long, n_dropped long, kept_sha256 string"
     done = joined.mapInArrow(_rebuilt, schema)
-    kept = [F.col(c) if c in ("doc_id", "text") else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256")]
-    return done.select(*kept, "n_lines", "n_dropped", "kept_sha256")
+    return done.select(*columns, "n_lines", "n_dropped", "kept_sha256")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millwatch.llm.common import stage
+from millwatch.llm.common import carried, stage
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -90,7 +90,7 @@ def copy_counts(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns unchanged.
+    """The rows of ``docs`` as often as the mix takes them, all columns unchanged, whatever their names.
 
     Counts meet their rows by doc_id and the hash of the text; rows equal in both share their counts evenly in
     order of source. Rows with a null doc_id are matched by their text alone.
@@ -101,11 +101,12 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     summed = counts.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     summed = summed.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_hash"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"), F.col("rows").alias("__mix_rows"))
     on = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.xxhash64("text") == F.col("__mix_hash")) & F.col("source").eqNullSafe(F.col("__mix_source"))
-    joined = docs.join(summed, on)
+    packed, columns = carried(docs, keys=("doc_id", "text", "source"))
+    joined = packed.join(summed, on)
     place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "source").orderBy(F.lit(1)))
     alone = joined.where("__mix_rows = 1").withColumn("__mix_n", F.col("__mix_copies"))
     again = joined.where("__mix_rows > 1").withColumn("__mix_place", place)
     share = F.floor(F.col("__mix_copies") * F.col("__mix_place") / F.col("__mix_rows")) - F.floor(F.col("__mix_copies") * (F.col("__mix_place") - 1) / F.col("__mix_rows"))
     again = again.withColumn("__mix_n", share.cast("long")).drop("__mix_place")
     every = alone.unionByName(again).where("__mix_n > 0")
-    return every.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*docs.columns)
+    return every.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*columns)

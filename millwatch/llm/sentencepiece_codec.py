@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millwatch.llm.common import carried
+
 #: The public vocabulary the queries use; any SentencePiece BPE model with byte fallback will do.
 MODEL = os.environ.get("LLM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -260,14 +262,15 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFram
     decode to the text again (U+2581 read as a blank).
 
     A null text has null ids and ``n_ids`` 0; an empty one has no ids. Texts are never cut. Rows are independent: repeated
-    ones and those with a null doc_id get their own ids. An empty table gives an empty result. Input columns named like a new one
-    are replaced. ``model`` is a path that every executor can read.
+    ones and those with a null doc_id get their own ids. An empty table gives an empty result. Input columns named like a new one,
+    in any case, are replaced. ``model`` is a path that every executor can read.
     """
     new = ["ids", "n_ids", *(["round_trip"] if check else [])]
-    kept = docs.select(*(c for c in docs.columns if c not in ("ids", "n_ids", "round_trip")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    packed, columns = carried(docs, ("ids", "n_ids", "round_trip"))
+    row = packed.schema["__row"].dataType.simpleString()
     kinds = {"ids": "array<int>", "n_ids": "long", "round_trip": "boolean"}
-    return kept.mapInArrow(_encoded(model, check), schema + "".join(f", {n} {kinds[n]}" for n in new))
+    done = packed.mapInArrow(_encoded(model, check), f"__row {row}, text string" + "".join(f", {n} {kinds[n]}" for n in new))
+    return done.select(*columns, *new)
 
 
 def _decoded(path: str):
@@ -283,6 +286,6 @@ def _decoded(path: str):
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """``rows`` with ``decoded string``, the text of ``ids array<int>``; null ids give null. An input ``decoded`` is replaced."""
-    kept = rows.select(*(c for c in rows.columns if c != "decoded"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(_decoded(model), f"{schema}, decoded string")
+    packed, columns = carried(rows, ("decoded",), ("ids",))
+    row = packed.schema["__row"].dataType.simpleString()
+    return packed.mapInArrow(_decoded(model), f"__row {row}, ids array<int>, decoded string").select(*columns, "decoded")

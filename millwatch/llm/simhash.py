@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from millwatch.llm.common import binaries, components, numpy_batches, partitions_for, shuffle_partitions, stage
+from millwatch.llm.common import binaries, carried, components, numpy_batches, partitions_for, shuffle_partitions, stage
 
 SHINGLE = 3
 SEED = 42
@@ -217,5 +217,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     stays are one document and stay together.
     """
     groups = simhash_groups(docs)
+    packed, columns = carried(docs, keys=("doc_id",))
     kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return packed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*columns)
