@@ -322,6 +322,58 @@ EWMA = f"""ewma AS (
 MIN = (INSP, SCALED, JUDGED, MINUTES)
 FEAT = (*MIN, FILLED, ROLLED)
 
+# Boosting by hand: classes of equal bins, then five levels of splits for each tree.
+RISK_FEATURES = ("ng_sum_30", "ng_mean_30", "ng_std_30", "ng_max_30", "ng_slope_30", "ewma_gap")
+_LATE = "minute - lo >= floor(floor((hi - lo + 1) * 0.8::DOUBLE) * 0.8::DOUBLE)"
+_RANKS = "[" + ", ".join(f"{k} / 64::DOUBLE" for k in range(1, 64)) + "]"
+RISK_ROWS = f"""risk_rows AS MATERIALIZED (
+  SELECT series_id, minute, target, part, part = 'train' AND NOT ({_LATE}) AS fit,
+    [{", ".join(f"{f}::DOUBLE" for f in RISK_FEATURES)}] AS x FROM rolled JOIN ewma USING (series_id, minute)),
+risk_weight AS (SELECT CASE WHEN count_if(target = 1) > 0 THEN count_if(target = 0)::DOUBLE / count_if(target = 1) ELSE 1::DOUBLE END AS pos_weight
+  FROM risk_rows WHERE part = 'train'),
+cuts AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {i} AS f, list_sort(list_distinct(quantile_disc(x[{i}], {_RANKS}))) AS c FROM risk_rows WHERE fit" for i in range(1, 7))}),
+binned AS MATERIALIZED (SELECT series_id, minute, target, fit,
+    [{", ".join(f"len(list_filter((SELECT c FROM cuts WHERE f = {i}), lambda v: v < x[{i}]))" for i in range(1, 7))}] AS b FROM risk_rows),
+cls_0 AS MATERIALIZED (SELECT b, count_if(fit AND target = 1) AS pos, count_if(fit AND target = 0) AS neg, 0::DOUBLE AS margin FROM binned GROUP BY b)"""
+
+
+def _risk_tree(t: int) -> str:
+    """``cls_{t + 1}``: classes with margins after tree t; ``nodes_{t}``: its nodes."""
+    parts = [
+        f"""at_{t}_0 AS MATERIALIZED (SELECT *, 1 AS node, pos + neg AS n, pos * pos_weight * (1 - p) - neg * p AS g,
+    (pos * pos_weight + neg) * p * (1 - p) AS h
+  FROM (SELECT *, 1 / (1 + exp(-margin)) AS p FROM cls_{t}), risk_weight)"""
+    ]
+    for d in range(5):
+        parts.append(
+            f"""split_{t}_{d} AS MATERIALIZED (
+  SELECT node, f, cut, gain FROM (
+    SELECT node, f, cut, nl, n - nl AS nr, round(gl * gl / nullif(hl, 0) + (g - gl) * (g - gl) / nullif(h - hl, 0) - g * g / h, 6) AS gain FROM (
+      SELECT node, f, cut, sum(n) OVER upto AS nl, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl,
+        sum(n) OVER node_ AS n, sum(g) OVER node_ AS g, sum(h) OVER node_ AS h
+      FROM (SELECT node, f, b[f] AS cut, sum(n) AS n, sum(g) AS g, sum(h) AS h FROM at_{t}_{d}, range(1, 7) r(f)
+        WHERE node >= {1 << d} AND n > 0 GROUP BY ALL)
+      WINDOW upto AS (PARTITION BY node, f ORDER BY cut), node_ AS (PARTITION BY node, f)))
+  WHERE nl >= 20 AND nr >= 20 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1),
+at_{t}_{d + 1} AS MATERIALIZED (SELECT a.* REPLACE (CASE WHEN s.node IS NULL THEN a.node ELSE 2 * a.node + CAST(b[s.f] > s.cut AS INTEGER) END AS node)
+  FROM at_{t}_{d} a LEFT JOIN split_{t}_{d} s ON a.node = s.node)"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM split_{t}_{d}" for d in range(5))
+    parts.append(
+        f"""split_{t} AS MATERIALIZED (SELECT * FROM ({every})
+  QUALIFY count(*) OVER () < 31 OR row_number() OVER (ORDER BY node < 16, gain, node) > 1),
+leaf_{t} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN node >= 32 AND node // 2 NOT IN (SELECT node FROM split_{t}) THEN node // 2 ELSE node END AS node) FROM at_{t}_5),
+value_{t} AS MATERIALIZED (SELECT k AS node, CAST(sum(n) AS BIGINT) AS n_rows, 0.03::DOUBLE * sum(g) / sum(h) AS value
+  FROM (SELECT *, unnest(list_filter([node, node // 2, node // 4, node // 8, node // 16, node // 32], lambda v: v > 0)) AS k FROM leaf_{t}) WHERE n > 0 GROUP BY k),
+cls_{t + 1} AS MATERIALIZED (SELECT b, pos, neg, margin + value AS margin FROM leaf_{t} JOIN value_{t} USING (node))"""
+    )
+    return ",\n".join(parts)
+
+
+RISK_TREES = tuple(map(_risk_tree, range(3)))
+RISK_NAMES = "[" + ", ".join(f"'{f}'" for f in RISK_FEATURES) + "]"
+EARLY_RISK = "SELECT series_id, minute, target, round(1 / (1 + exp(-margin)), 6) AS risk, 1 / (1 + exp(-margin)) >= {} AS alarm FROM binned JOIN cls_3 USING (b)"
+
 # --- messages --------------------------------------------------------------------------------
 
 _NUM = "printf('%.2f', value)"
@@ -478,13 +530,16 @@ SQL: dict[str, str] = {
     + "SELECT count_if(target = 0) AS negatives, count_if(target = 1) AS positives, "
     "round(CASE WHEN count_if(target = 1) > 0 THEN count_if(target = 0)::DOUBLE / count_if(target = 1) ELSE 1 END, 9) "
     "AS scale_pos_weight FROM rolled WHERE part = 'train'",
-    "risk_train": _with(*FEAT)
-    + """SELECT count(*) AS n, count_if(part = 'train') AS n_train, count_if(part = 'train' AND target = 1) AS n_positive,
-  round(CASE WHEN count_if(target = 1 AND part = 'train') > 0
-    THEN count_if(target = 0 AND part = 'train')::DOUBLE / count_if(target = 1 AND part = 'train') ELSE 1 END, 9) AS scale_pos_weight,
-  TRUE AS better_than_chance, TRUE AS has_trees FROM rolled""",
-    "risk_score": _with(*FEAT)
-    + "SELECT series_id, minute, CAST(target AS BIGINT) AS target, TRUE AS is_probability, TRUE AS alarm_follows FROM rolled",
+    "risk_train": _with(*FEAT, EWMA, RISK_ROWS, *RISK_TREES)
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT {t}::INTEGER AS tree, v.node::INTEGER AS node, {RISK_NAMES}[s.f] AS feature, (SELECT any_value(c[s.cut + 1]) FROM cuts WHERE cuts.f = s.f) AS cut,
+  n_rows, round(value, 6) AS value FROM value_{t} v LEFT JOIN split_{t} s USING (node)"""
+        for t in range(3)
+    )
+    + """), (SELECT count(*) AS n, count_if(part = 'train') AS n_train, count_if(part = 'train' AND target = 1) AS n_positive FROM risk_rows),
+  (SELECT round(pos_weight, 9) AS scale_pos_weight FROM risk_weight)""",
+    "risk_score": _with(*FEAT, EWMA, RISK_ROWS, *RISK_TREES) + EARLY_RISK.format(0.5),
     "forecast_fit_linear": _with(*MODEL, *_window_wide()).replace("WITH ", "WITH RECURSIVE ", 1)
     + f"""SELECT w.equipment_id, tag, tag_type, CAST(ceil(i / 5) AS INTEGER) AS lag,
   CASE WHEN i > 0 THEN {TAG_LIST}[(i - 1) % 5 + 1] END AS source, round(beta[i + 1], 4) AS weight
@@ -646,9 +701,8 @@ JOIN (SELECT series_id, max(minute) AS done FROM cnt
     "stream_minute_changes": _with(*FEAT, EWMA)
     + """SELECT series_id, minute, ng, ng_sum_30, ng_mean_30, ng_std_30, ng_max_30, ng_slope_30, ewma_gap
 FROM rolled JOIN ewma USING (series_id, minute)""",
-    "stream_minute_risk": _with(*FEAT, EWMA)
-    + """SELECT series_id, minute, TRUE AS is_probability, TRUE AS alarm_follows
-FROM rolled JOIN ewma USING (series_id, minute)
+    "stream_minute_risk": _with(*FEAT, EWMA, RISK_ROWS, *RISK_TREES)
+    + f"""SELECT series_id, minute, risk, alarm FROM ({EARLY_RISK.format(0.6)})
 JOIN (SELECT series_id, max(minute) AS done FROM cnt
   WHERE minute < (SELECT max(minute) FROM cnt) GROUP BY 1) USING (series_id) WHERE minute <= done""",
     "result_envelope": _with(EV)

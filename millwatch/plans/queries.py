@@ -167,37 +167,33 @@ def class_weight(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(weights, 9, "scale_pos_weight")
 
 
+# Trees that SQL grows again.
+EARLY_ROUNDS = 3
+
+
 @query
 def risk_train(spark: SparkSession, sf: str) -> DataFrame:
-    """What a training run can be held to: its rows, its class weight, and a model better than chance on unseen rows."""
-    rows = stage(inspection.ml_feature_table(_labelled(spark, sf)), "features")
+    """Rows and class weight of a training run, and every node of its first three trees."""
+    rows = stage(_features(spark, sf), "features")
     fitted = risk.risk_train(rows)
-    trees = fitted.model.stages[-1].getNumTrees
-    return rows.agg(
+    counts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("part") == "train").alias("n_train"),
         F.count_if((F.col("part") == "train") & (F.col("target") == 1)).alias("n_positive"),
-        F.lit(round(fitted.scale_pos_weight, 9)).alias("scale_pos_weight"),
-        F.lit(0.5 < fitted.report_auc <= 1).alias("better_than_chance"),
-        F.lit(trees > 0).alias("has_trees"),
-    )
+    ).first()
+    nodes = rounded(fitted.first(EARLY_ROUNDS).nodes(spark), 6, "value")
+    about = {**counts.asDict(), "scale_pos_weight": round(fitted.scale_pos_weight, 9)}
+    return nodes.select("tree", "node", "feature", "cut", "n_rows", "value", *(F.lit(v).alias(k) for k, v in about.items()))
 
 
 @query
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Every minute scored by a model that went through storage; its risk and alarm held to their rules."""
-    rows = stage(inspection.ml_feature_table(_labelled(spark, sf)), "features")
-    fitted = risk.risk_train(rows)
+    """Every minute's risk under a model of three rounds that went through storage; alarms at even odds, which so few rounds can reach."""
+    rows = stage(_features(spark, sf), "features")
     path = scratch_path(spark, "risk-model")
-    fitted.model.write().overwrite().save(path)
-    scored = risk.risk_score(type(fitted.model).load(path), rows)
-    return scored.select(
-        "series_id",
-        "minute",
-        F.col("target").cast("long").alias("target"),
-        F.col("risk").between(0, 1).alias("is_probability"),
-        (F.col("alarm") == (F.col("risk") >= 0.6)).alias("alarm_follows"),
-    )
+    risk.risk_train(rows, EARLY_ROUNDS).first(EARLY_ROUNDS).save(spark, path)
+    scored = risk.risk_score(risk.RiskModel.load(spark, path), rows, limit=0.5)
+    return rounded(scored.select("series_id", "minute", "target", "risk", "alarm"), 6, "risk")
 
 
 # --- messages and settings -----------------------------------------------------------------
@@ -850,15 +846,11 @@ def stream_minute_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_minute_risk(spark: SparkSession, sf: str) -> DataFrame:
-    """Risk and alarm of each finished minute of the stream, under a model trained on the whole history."""
-    fitted = risk.risk_train(stage(inspection.ml_feature_table(_labelled(spark, sf)), "features"))
-    rows = _stream_minutes(spark, sf, minutes.risk_step(fitted.model)).all_batches("risk", minutes.RISK_SCHEMA)
-    return rows.select(
-        "series_id",
-        "minute",
-        F.col("risk").between(0, 1).alias("is_probability"),
-        (F.col("alarm") == (F.col("risk") >= 0.6)).alias("alarm_follows"),
-    )
+    """Risk of each finished minute of the stream under a model of three rounds trained on the whole history."""
+    step = minutes.risk_step(risk.risk_train(stage(_features(spark, sf), "features"), EARLY_ROUNDS).first(EARLY_ROUNDS))
+    alike = lambda rows, tables, batch: step(rounded(rows, 6, "ng_mean_30", "ng_std_30", "ng_slope_30", "ewma_gap"), tables, batch)
+    rows = _stream_minutes(spark, sf, alike).all_batches("risk", minutes.RISK_SCHEMA)
+    return rounded(rows.select("series_id", "minute", "risk", "alarm"), 6, "risk")
 
 
 def all_queries() -> dict[str, Query]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,7 +16,7 @@ from millwatch.operators.inspection import (
     minute_grid,
     with_features,
 )
-from millwatch.operators.risk import risk_score
+from millwatch.operators.risk import RiskModel, risk_score
 from millwatch.streaming.state import BatchTables
 
 RISK_SCHEMA = "series_id STRING, minute BIGINT, risk DOUBLE, alarm BOOLEAN"
@@ -136,7 +135,7 @@ def stream_minute_changes(
     return labelled.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/offsets").trigger(**trigger).start()
 
 
-def risk_step(model: PipelineModel) -> Callable[[DataFrame, BatchTables, int], DataFrame]:
+def risk_step(model: RiskModel) -> Callable[[DataFrame, BatchTables, int], DataFrame]:
     """For ``on_features``: risk and alarm of the newly finished minutes, written as the ``risk`` table."""
 
     def step(features: DataFrame, tables: BatchTables, batch: int) -> DataFrame:

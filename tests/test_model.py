@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from millwatch.operators import model
 from millwatch.operators.linear import fit_windows, pack_windows, solve_normal
-from millwatch.operators.risk import ROUNDS, best_round, risk_score, risk_train
+from millwatch.operators.inspection import FEATURES
+from millwatch.operators.risk import ROUNDS, RiskModel, best_round, risk_score, risk_train
 from millwatch.operators.snapshots import asof_snapshot
 from millwatch.operators.train_hook import train_hook
 from millwatch.plans.monitor import Settings, fit_models, score_rows, windowed_snapshots
@@ -260,40 +261,97 @@ def test_scores_follow_tags_not_positions(spark, tmp_path):
         assert score_rows(training.withColumn("target", F.col("usable")), models, config_table(spark, other)).isEmpty()
 
 
-def test_risk_model_learns_and_survives_storage(spark, tmp_path):
+@pytest.fixture(scope="module")
+def risk_rows(spark):
     from millwatch.operators.inspection import ml_feature_table
     from tests.test_inspection import minutes
 
-    counts = {m: (3 if m % 240 < 60 else 0) for m in range(4000)}
-    rows = ml_feature_table(minutes(spark, counts)).cache()
-    fitted = risk_train(rows, rounds=8, step=0.3)
+    return stage(ml_feature_table(minutes(spark, {m: (3 if m % 240 < 60 else 0) for m in range(4000)})), "risk-rows")
+
+
+def test_risk_model_learns_and_survives_storage(spark, risk_rows, tmp_path):
+    """A stored model gives the same risks; its splits, applied by SQL, give them too."""
+    import duckdb
+
+    fitted = risk_train(risk_rows, rounds=8, step=0.3)
     assert fitted.report_auc > 0.75 and fitted.scale_pos_weight > 0
-    fitted.model.write().overwrite().save(str(tmp_path / "risk"))
-    scored = risk_score(type(fitted.model).load(str(tmp_path / "risk")), rows)
-    assert scored.filter("risk < 0 OR risk > 1 OR alarm <> (risk >= 0.6)").count() == 0
-    assert scored.filter("alarm").count() > 0
+    fitted.save(spark, str(tmp_path / "risk"))
+    loaded = RiskModel.load(spark, str(tmp_path / "risk"))
+    assert (loaded.report_auc, loaded.scale_pos_weight, len(loaded.trees)) == (fitted.report_auc, fitted.scale_pos_weight, len(fitted.trees))
+    scored = risk_score(loaded, risk_rows).toPandas()
+    assert scored["risk"].equals(risk_score(fitted, risk_rows).toPandas()["risk"])
+    assert (scored["alarm"] == (scored["risk"] >= 0.6)).all() and scored["alarm"].any() and not scored["alarm"].all()
+    nodes = fitted.nodes(spark).toPandas()  # noqa: F841
+    names = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
+    want = duckdb.sql(f"""WITH RECURSIVE walk AS (
+        SELECT minute, tree, 1 AS node, [{", ".join(f"{f}::DOUBLE" for f in FEATURES)}] AS x FROM scored, (SELECT DISTINCT tree FROM nodes)
+        UNION ALL SELECT minute, tree, 2 * w.node + CAST(x[list_position({names}, feature)] > cut AS INTEGER), x
+        FROM walk w JOIN nodes USING (tree, node) WHERE feature IS NOT NULL)
+      SELECT minute, 1 / (1 + exp(-sum(value))) AS risk FROM walk JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY 1 ORDER BY 1""").df()
+    assert np.allclose(want["risk"], scored.sort_values("minute")["risk"], rtol=0, atol=1e-12)
+
+
+def test_report_auc_is_that_of_its_risks(spark, risk_rows):
+    fitted = risk_train(risk_rows, rounds=8, step=0.3)
+    rows = risk_score(fitted, risk_rows).where("part = 'test'").toPandas()
+    up, down = (rows.loc[rows["target"] == side, "risk"].to_numpy()[:, None] for side in (1, 0))
+    brute = (up > down.T).mean() + (up == down.T).mean() / 2
+    assert abs(brute - fitted.report_auc) < 1e-3
+
+
+def test_trees_do_not_depend_on_the_slice(risk_rows):
+    some, other = (risk_train(risk_rows, rounds=5, step=0.3, slice_rounds=n) for n in (1, 4))
+    assert len(some.grown) == len(other.grown) == 5 and len(some.trees) == len(other.trees)
+    for a, b in zip(some.grown, other.grown):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.value == b.value).all()
+
+
+def test_trees_keep_to_their_limits(risk_rows):
+    from millwatch.operators.risk import NODES, Tree, _limit_leaves
+
+    for tree in risk_train(risk_rows, rounds=3, step=0.3).grown:
+        leaves = (tree.feature < 0) & (tree.n_rows > 0)
+        assert leaves.sum() <= 31 and (tree.n_rows[leaves] >= 20).all() and tree.n_rows[leaves].sum() == tree.n_rows[1]
+    full = Tree(np.where(np.arange(NODES) < 32, 0, -1), np.ones(NODES), np.ones(NODES, np.int64), np.ones(NODES))
+    full.feature[0] = -1
+    gains = np.arange(NODES, 0, -1).astype(float)
+    _limit_leaves(full, gains)
+    assert (full.feature >= 0).sum() == 30 and full.feature[31] == -1 and not full.n_rows[[62, 63]].any()
+
+
+def test_risk_of_missing_rows_and_targets(spark, risk_rows):
+    empty = risk_train(risk_rows.where("false"))
+    assert (empty.trees, empty.report_auc) == ((), 0.5)
+    assert {r["risk"] for r in risk_score(empty, risk_rows.limit(3)).collect()} == {0.5}
+    for side in (0, 1):  # one class only
+        alone = risk_train(risk_rows.withColumn("target", F.lit(side)), rounds=2)
+        assert alone.report_auc == 0.5 and all(0 <= r["risk"] <= 1 for r in risk_score(alone, risk_rows.limit(3)).collect())
+    fitted = risk_train(risk_rows.withColumn("target", F.when(F.col("minute") % 2 == 0, F.col("target"))), rounds=1)
+    part = risk_rows.where("part = 'train' AND minute % 2 = 0").count()
+    assert fitted.grown[0].n_rows[1] < part
+    gap = risk_rows.limit(1).withColumn("ng_sum_30", F.lit(None).cast("double"))
+    assert 0 < risk_score(fitted, gap).first()["risk"] < 1
 
 
 def test_boosting_waits_out_idle_rounds():
-    assert best_round([5.0, 4.0, 4.5, 4.4, 3.0, 3.5, 3.6, 3.7, 1.0], patience=3) == (5, True)
-    assert best_round([5.0, 4.0, 4.5, 4.4], patience=3) == (2, False)
+    assert best_round([0.5, 0.6, 0.55, 0.56, 0.7, 0.6, 0.6, 0.6, 0.9], patience=3) == (5, True)
+    assert best_round([0.5, 0.6, 0.55, 0.55], patience=3) == (2, False)
+    assert best_round([], patience=3) == (0, False)
 
 
-def test_the_validation_part_ends_boosting():
-    """A loss that is lowest at round 130 is followed there, past an idle stretch, and not to the last round allowed."""
+def test_boosting_goes_on_past_idle_stretches(monkeypatch):
+    """An AUC that peaks at round 130 is followed there, each round grown once, and not to the last round allowed."""
     from inspect import signature
     from types import SimpleNamespace
 
-    from millwatch.operators.risk import _boosted
-
-    losses = [0.5 if 50 <= k < 80 else abs(k - 129) / 1000 for k in range(ROUNDS)]
-
-    class Trees:
-        maxIter = "maxIter"
-
-        def copy(self, extra):
-            n = extra["maxIter"]
-            return SimpleNamespace(fit=lambda rows: SimpleNamespace(n=n, evaluateEachIteration=lambda rows: losses[:n]))
-
-    assert _boosted(Trees(), None, None, signature(risk_train).parameters["rounds"].default).n == 130 < ROUNDS == 1000
-    assert _boosted(Trees(), None, None, 8).n == 8
+    from millwatch.operators import risk
+
+    areas = iter([0.9 - (0.4 if 50 <= k < 80 else abs(k - 129) / 1000) for k in range(ROUNDS)])
+    classes = SimpleNamespace(where=lambda condition: None)
+    monkeypatch.setattr(risk, "_grown", lambda *given: "tree")
+    monkeypatch.setattr(risk, "_moved", lambda given, trees: given)
+    monkeypatch.setattr(risk, "stage", lambda given, name: given)
+    monkeypatch.setattr(risk, "_packed", lambda given: given)
+    monkeypatch.setattr(risk, "round_areas", lambda given, trees: [next(areas) for _ in trees])
+    grown, best = risk.boosted(classes, 1.0, signature(risk_train).parameters["rounds"].default, 0.03)
+    assert best == 130 and 170 <= len(grown) < 130 + 40 + risk.SLICE < ROUNDS == 1000
