@@ -211,6 +211,25 @@ def test_mixing(spark):
     assert out.count() == sum(r["copies"] for r in rows)
 
 
+def test_blocks_of_ids_do_not_change_the_mix(spark, monkeypatch):
+    """Equal sizes, ids all multiples of 64, negative and null ids: blocks of 128 ids give the counts of one block."""
+    from millwatch.llm import mixing
+
+    docs = [(64 * i - 6400, "" if i % 2 else "a b c", "s" if i % 3 else "t") for i in range(300)] + [(None, f"x{i}", "s") for i in range(40)]
+    df = table(spark, docs, "doc_id long, text string, source string")
+    whole = sorted(map(str, copy_counts(df).collect()))
+    monkeypatch.setattr(mixing, "ID_BITS", 7)
+    monkeypatch.setattr(mixing, "HASH_BITS", 61)
+    assert sorted(map(str, copy_counts(df).collect())) == whole and len(whole) == 340
+
+
+def test_rows_alike_but_for_other_columns_are_taken_in_their_order(spark):
+    docs = [(7, "a b", "s", i) for i in range(5)] + [(8, "a b", "t", 0)] * 20
+    df = table(spark, docs, "doc_id long, text string, source string, note int")
+    again = [sorted(map(tuple, mixed(df.repartition(n)).collect())) for n in (1, 4)]
+    assert again[0] == again[1] and again[0]
+
+
 @pytest.mark.parametrize("op", [dedup_lines, dedup_substrings, simhash_groups, copy_counts, mixed])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string, source string")).isEmpty()
